@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, packing, quality, simhash, toxicity, urlfilter
+from . import bpe, html_extract, linededup, packing, quality, simhash, toxicity, urlfilter
 from .common import table
 
 
@@ -34,6 +34,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"), removed="lines_removed")
+    return kept.select("doc_id", "text", "lines_removed")
+
+
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -48,11 +53,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html": op4_html,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
+    "op7_linededup": op7_linededup,
     "op9_urlfilter": op9_urlfilter,
     "op10_packing": op10_packing,
 }
 
 ORACLE: dict[str, str] = {
+    "op7_linededup": """
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS k
+            FROM documents WHERE text IS NOT NULL
+        ), folded AS (
+            SELECT *, lower(trim(regexp_replace(line, '[ \\t\\r\\x0b\\f]+', ' ', 'g'))) AS n FROM lines
+        ), classes AS (
+            SELECT n, length(n) AS size, min({'d': doc_id, 'k': k}) AS at FROM folded WHERE length(n) >= 20 GROUP BY n
+        ), halves AS (
+            SELECT *, 0 AS side, (size - 1) // 2 AS m, left(n, (size - 1) // 2) AS half FROM classes
+            UNION SELECT *, 0, size // 2, left(n, size // 2) FROM classes
+            UNION SELECT *, 1, (size - 1) // 2, right(n, (size - 1) // 2) FROM classes
+            UNION SELECT *, 1, size // 2, right(n, size // 2) FROM classes
+        ), near AS (
+            SELECT DISTINCT a.n FROM halves a JOIN halves b USING (side, m, half)
+            WHERE a.at > b.at AND abs(a.size - b.size) <= 1 AND levenshtein(a.n, b.n) <= 1
+        ), judged AS (
+            SELECT f.doc_id, f.k, f.line,
+                   length(f.n) < 20 OR (f.n NOT IN (SELECT n FROM near) AND c.at.d = f.doc_id
+                   AND row_number() OVER (PARTITION BY f.doc_id, f.n ORDER BY f.k) = 1) AS stays
+            FROM folded f LEFT JOIN classes c USING (n)
+        ), kept AS (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY k) FILTER (stays) AS text, count(*) FILTER (NOT stays) AS removed
+            FROM judged GROUP BY doc_id
+        )
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+               coalesce(k.removed, 0) AS lines_removed
+        FROM documents d LEFT JOIN kept k USING (doc_id)
+    """,
     "op9_urlfilter": """
         WITH rest AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
