@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, linededup, packing, quality, simhash, toxicity, urlfilter
+from . import ann, bpe, embed_dedup, html_extract, linededup, packing, quality, simhash, toxicity, urlfilter
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.filter(F.col("vec_id") % 20 == 0))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -39,6 +44,10 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", "lines_removed")
 
 
+def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -50,10 +59,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
+    "op3_ann": op3_ann,
     "op4_html": op4_html,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_linededup": op7_linededup,
+    "op8_embed_dedup": op8_embed_dedup,
     "op9_urlfilter": op9_urlfilter,
     "op10_packing": op10_packing,
 }

@@ -288,13 +288,12 @@ def _compare_buckets(radius: int, words: int):
     return run
 
 
-def bucketed(classes: DataFrame, keys: list[Column], chunk: int = CHUNK) -> DataFrame:
-    """Rows ``bucket, part, side`` and the classes' columns for every bucket of two rows or more.
+def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Rows (``bucket``, ``rep``, more) with ``part`` and ``side``, for every bucket of two rows or more.
 
     A bucket of over ``chunk`` rows is dealt by hash into chunks; each chunk meets
     itself (side 2) and each other one (sides 0 and 1), in parts of their own.
     """
-    rows = classes.select("*", F.posexplode(F.array(*keys)).alias("k", "v")).withColumn("bucket", F.xxhash64("k", "v")).drop("k", "v")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     split = rows.join(sizes, "bucket").withColumn("chunks", F.ceil(F.col("n") / F.lit(chunk)).cast("int"))
     own = F.pmod(F.xxhash64("rep", "bucket"), F.col("chunks")).cast("int")
@@ -312,7 +311,8 @@ def bucketed(classes: DataFrame, keys: list[Column], chunk: int = CHUNK) -> Data
 def linked(classes: DataFrame, settings: SimHashSettings, n_classes: int) -> DataFrame:
     """Forest links (a, b) between classes ``rep, fp`` of distinct fingerprints."""
     keys = [_bits(F.col("fp"), t) for t in tables_for(settings, n_classes)]
-    rows = bucketed(classes, keys).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    met = classes.select("*", F.posexplode(F.array(*keys)).alias("k", "v")).withColumn("bucket", F.xxhash64("k", "v")).drop("k", "v")
+    rows = chunked(met).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
     return rows.mapInArrow(_compare_buckets(settings.radius, settings.words), "a bigint, b bigint").distinct()
 
 
