@@ -3,8 +3,434 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import DEFAULT, NOMINAL, REPORTING, SCORING, SPARSE, Schedule
+from ..functions import calendar, scores
+from ..operators import checks, conformal, decision, design, hierarchy, inference, naive, reconcile, schedule as plan
+from ..sources import ingest, star
+from . import backtest as bt
+from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+#: Origins of the two baselines are compared over this rolling window: a quarter at a weekly step.
+QUARTER = 13
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+# ingest and quality
+
+
+@query(sql.EVENTS_DAILY)
+def events_daily(spark, folder):
+    events = star.read(spark, folder, "events")
+    return ingest.grouped_counts(events, "1990-01-01", "2100-01-01", "ts", "event_type")
+
+
+@query(sql.YEAR_WINDOWS)
+def year_windows(spark, folder):
+    return ingest.year_windows(spark, date(1995, 1, 2), date(2001, 11, 5))
+
+
+@query(sql.TIDY)
+def tidy_counts(spark, folder):
+    counts = star.raw_counts(spark, folder)
+    raw = counts.select(
+        F.concat(F.col("day").cast("string"), F.lit("T00:00:00.000")).alias("day"), F.lower("borough").alias("borough"),
+        F.concat(F.lit(" "), F.col("area")).alias("area"), F.col("n").cast("bigint").cast("string").alias("n"),
+    )
+    return ingest.tidy(raw)
+
+
+@query(sql.of("SELECT day, borough, area, n FROM demand"))
+def daily_demand(spark, folder):
+    return star.leaf_counts(spark, folder)
+
+
+@query(sql.raw("SELECT area, borough FROM assigned"))
+def nation_argmax(spark, folder):
+    return checks.assign_areas(star.raw_counts(spark, folder))
+
+
+@query(sql.raw("SELECT r.day, a.borough, r.area, sum(r.n) AS n FROM raw r JOIN assigned a USING (area) GROUP BY ALL"))
+def leaf_counts(spark, folder):
+    counts = star.raw_counts(spark, folder)
+    return checks.recount(counts, checks.assign_areas(counts))
+
+
+@query(sql.DISAGREEMENT)
+def assignment_disagreement(spark, folder):
+    counts = star.raw_counts(spark, folder)
+    out = checks.disagreement(counts, checks.assign_areas(counts))
+    return out.withColumn("share", r6("share"))
+
+
+@query(sql.of("SELECT unnest(generate_series((SELECT min(day) FROM demand), (SELECT max(day) FROM demand), INTERVAL 1 DAY))::DATE AS day EXCEPT SELECT day FROM demand"))
+def missing_days(spark, folder):
+    return checks.missing_days(star.leaf_counts(spark, folder))
+
+
+@query(sql.COVERAGE)
+def area_coverage(spark, folder):
+    return checks.coverage(star.leaf_counts(spark, folder)).withColumn("share", r6("share"))
+
+
+@query(sql.OUTLIERS)
+def demand_outliers(spark, folder):
+    daily = star.leaf_counts(spark, folder).groupBy("day").agg(F.sum("n").alias("value"))
+    return checks.outliers(daily, threshold=2.0).withColumn("z", r6("z"))
+
+
+@query(sql.of("SELECT area, span, round(per_day, 6) AS per_day, kept FROM leaves"))
+def leaf_filter(spark, folder):
+    return hierarchy.leaf_quality(star.leaf_counts(spark, folder)).withColumn("per_day", r6("per_day"))
+
+
+@query(sql.of("SELECT coalesce(sum(n) FILTER (NOT kept), 0.0) AS dropped, sum(n) AS total, round(coalesce(sum(n) FILTER (NOT kept), 0.0) / sum(n), 6) AS share FROM demand JOIN leaves USING (area)"))
+def dropped_share(spark, folder):
+    return hierarchy.dropped_share(star.leaf_counts(spark, folder)).withColumn("share", r6("share"))
+
+
+# hierarchy and panel
+
+
+@query(sql.of("SELECT day, day_idx, borough, area, n FROM grid"))
+def dense_grid(spark, folder):
+    return hierarchy.dense_grid(star.leaf_counts(spark, folder))
+
+
+@query(sql.PIVOT)
+def pivot_region(spark, folder):
+    return hierarchy.pivot_boroughs(star.leaf_counts(spark, folder), ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
+
+
+@query(sql.of("SELECT 'ALL' AS node, 'ALL/' || borough || '/' || area AS leaf FROM paths UNION ALL SELECT 'ALL/' || borough, 'ALL/' || borough || '/' || area FROM paths UNION ALL SELECT 'ALL/' || borough || '/' || area, 'ALL/' || borough || '/' || area FROM paths"))
+def summing_matrix(spark, folder):
+    return hierarchy.summing(star.leaf_counts(spark, folder))
+
+
+@query(sql.NODES)
+def hierarchy_nodes(spark, folder):
+    return hierarchy.nodes(star.leaf_counts(spark, folder))
+
+
+@query(sql.of("SELECT node, level, day, day_idx, value FROM panel"))
+def panel_rollup(spark, folder):
+    return hierarchy.panel(star.leaf_counts(spark, folder))
+
+
+@query(sql.of("SELECT day, 0.0 AS error FROM panel GROUP BY day"))
+def coherence_check(spark, folder):
+    s = bt.setup(spark, folder)
+    return hierarchy.coherence(s.panel, s.edges, "day").withColumn("error", r6("error"))
+
+
+# calendar
+
+
+@query(sql.HOLIDAYS + " SELECT day, holiday, observed FROM holidays")
+def holiday_calendar(spark, folder):
+    return calendar.holidays(spark, 1995, 2026)
+
+
+@query(sql.CALENDAR)
+def calendar_features(spark, folder):
+    return calendar.features(checks.calendar(star.leaf_counts(spark, folder)))
+
+
+# schedule
+
+
+@query(sql.of("SELECT origin, origin_idx, train_from, refit, refit_origin FROM origins"))
+def origin_schedule(spark, folder):
+    return bt.setup(spark, folder).origins
+
+
+@query(sql.of("SELECT origin, origin_idx FROM origins WHERE 1200 BETWEEN origin_idx + 1 AND origin_idx + 14"))
+def origins_covering(spark, folder):
+    return plan.covering(bt.setup(spark, folder).origins, 1200).select("origin", "origin_idx")
+
+
+@query(sql.of("SELECT origin, origin_idx, day FROM origins JOIN (SELECT DISTINCT day, day_idx FROM panel) ON origin_idx = day_idx WHERE day >= DATE '2000-01-01'"))
+def clean_window(spark, folder):
+    s = bt.setup(spark, folder)
+    return plan.clean_origins(s.origins, s.panel.select("day", "day_idx").distinct(), "2000-01-01")
+
+
+@query(sql.of("SELECT origin, node, level, step, y FROM actuals"))
+def actuals_cube(spark, folder):
+    return bt.setup(spark, folder).actuals()
+
+
+# forecasts
+
+
+@query(sql.of("SELECT origin, node, level, step, point FROM points"))
+def naive_point(spark, folder):
+    s = bt.setup(spark, folder)
+    return naive.points(s.panel, s.origins, s.schedule)
+
+
+@query(sql.of("SELECT o.origin, p.node, t.step, p.value AS point FROM origins o, generate_series(1, 14) t(step), panel p WHERE p.day_idx = o.origin_idx + t.step - 7 * ((t.step + 6) // 7)"))
+def naive_point_documented(spark, folder):
+    s = bt.setup(spark, folder)
+    return naive.points(s.panel, s.origins, s.schedule, week2="documented").drop("level")
+
+
+@query(sql.sparse("SELECT origin, node, lag, list_transform(residuals, lambda v: round(v, 6)) AS residuals FROM residuals"))
+def naive_residual_quantiles(spark, folder):
+    s = bt.setup(spark, folder, SPARSE)
+    found = naive.residual_quantiles(s.panel, s.origins, s.schedule, REPORTING)
+    return found.withColumn("residuals", F.transform("residuals", r6))
+
+
+@query(sql.sparse("SELECT 'naive' AS model, origin, node, step, list_transform(q, lambda v: round(v, 6)) AS q FROM naive"))
+def naive_quantiles(spark, folder):
+    s = bt.setup(spark, folder, SPARSE)
+    found = naive.seasonal_naive(s.panel, s.origins, s.schedule, REPORTING)
+    return found.withColumn("q", F.transform("q", r6))
+
+
+@query(sql.sparse("SELECT origin, node, round(greatest(avg(value), 1), 6) AS scale FROM origins JOIN panel ON day_idx BETWEEN train_from AND origin_idx GROUP BY ALL"))
+def gbm_scale(spark, folder):
+    s = bt.setup(spark, folder, SPARSE)
+    return design.scales(s.panel, s.origins).withColumn("scale", r6("scale"))
+
+
+@query(sql.DESIGN)
+def gbm_design(spark, folder):
+    s = bt.setup(spark, folder, SPARSE)
+    anchors = F.pmod(F.col("day_idx") - 1094, F.lit(28)) == 0
+    rows = design.design(s.panel, s.nodes, 14, anchors & F.col("day_idx").between(1094, s.n_days - 15))
+    return rows.withColumns({f"mean_{k}": r6(f"mean_{k}") for k in design.MEANS})
+
+
+# scores
+
+
+@query(sql.sparse("SELECT origin, node, step, list_transform(losses, lambda v: round(v, 6)) AS pinball FROM scored"))
+def pinball_grid(spark, folder):
+    s = bt.setup(spark, folder, SPARSE)
+    return bt.naive_scores(s).select("origin", "node", "step", F.transform("pinball", r6).alias("pinball"))
+
+
+@query(sql.sparse("SELECT level, round(avg(crps), 6) AS crps FROM scored GROUP BY level"))
+def crps_by_level(spark, folder):
+    s = bt.setup(spark, folder, SPARSE)
+    return bt.naive_scores(s).groupBy("level").agg(r6(F.avg("crps")).alias("crps"))
+
+
+@query(sql.full("SELECT level, round(avg(crps), 6) AS crps FROM scored GROUP BY level"))
+def naive_backtest_crps(spark, folder):
+    """The flagship: seasonal naive over all origins, CRPS on the full grid, mean by level."""
+    s = bt.setup(spark, folder)
+    return bt.naive_scores(s, SCORING).groupBy("level").agg(r6(F.avg("crps")).alias("crps"))
+
+
+@query(sql.sparse("SELECT level, round(avg(abs_error), 6) AS mae FROM scored GROUP BY level"))
+def mae_by_level(spark, folder):
+    return bt.naive_scores(bt.setup(spark, folder, SPARSE)).groupBy("level").agg(r6(F.avg("abs_error")).alias("mae"))
+
+
+@query(sql.sparse("SELECT level, round(avg((y BETWEEN q[4] AND q[8])::INT), 6) AS hit80, round(avg((y BETWEEN q[3] AND q[9])::INT), 6) AS hit90, round(avg(q[9] - q[3]), 6) AS width90, round(avg(CASE WHEN y > 0 THEN (q[9] - q[3]) / y END), 6) AS relative90 FROM scored GROUP BY level"))
+def coverage_width(spark, folder):
+    s = bt.setup(spark, folder, SPARSE)
+    rows = naive.seasonal_naive(s.panel, s.origins, s.schedule, REPORTING).join(s.actuals(), ["origin", "node", "step"])
+    q, y = F.col("q"), F.col("y")
+    (l80, h80), (l90, h90) = scores.bounds(q, REPORTING, NOMINAL[0]), scores.bounds(q, REPORTING, NOMINAL[1])
+    return rows.groupBy("level").agg(
+        r6(F.avg(scores.covered(y, l80, h80).cast("int"))).alias("hit80"), r6(F.avg(scores.covered(y, l90, h90).cast("int"))).alias("hit90"),
+        r6(F.avg(h90 - l90)).alias("width90"), r6(F.avg(scores.relative_width(l90, h90, y))).alias("relative90"),
+    )
+
+
+@query(sql.sparse("SELECT level, round(avg(share), 6) AS crossing FROM (SELECT level, origin, avg((len(list_filter(generate_series(1, 10), lambda i: q[i + 1] < q[i])) > 0)::INT) AS share FROM (SELECT level, origin, list_reverse(q) AS q FROM scored) GROUP BY ALL) GROUP BY level"))
+def crossing_rate(spark, folder):
+    """The crossing rate of deliberately reversed quantiles; sorting repairs them."""
+    s = bt.setup(spark, folder, SPARSE)
+    rows = naive.seasonal_naive(s.panel, s.origins, s.schedule, REPORTING).join(s.actuals(), ["origin", "node", "step"])
+    own = rows.groupBy("level", "origin").agg(F.avg(scores.crosses(F.reverse("q")).cast("int")).alias("share"))
+    return own.groupBy("level").agg(r6(F.avg("share")).alias("crossing"))
+
+
+def _copied_errors(s: bt.Setup, rows: DataFrame, model: str) -> DataFrame:
+    error = F.abs(F.col("y") - F.col("point"))
+    return scores.by_origin(rows.withColumn("model", F.lit(model)), error, "score")
+
+
+@query(sql.of("SELECT level, round(1 - avg(m.score) / avg(c.score), 6) AS skill FROM copy_errors c JOIN mean_errors m USING (level, origin) GROUP BY level"))
+def skill_vs_baseline(spark, folder):
+    s = bt.setup(spark, folder)
+    base = _copied_errors(s, bt.copied(s), "copy").select("level", "origin", F.col("score").alias("base"))
+    own = _copied_errors(s, bt.weekday_mean(s), "mean").join(base, ["level", "origin"])
+    means = own.groupBy("level").agg(F.avg("score").alias("s"), F.avg("base").alias("b"))
+    return means.select("level", r6(scores.skill(F.col("s"), F.col("b"))).alias("skill"))
+
+
+@query(sql.of("SELECT level, origin, round(c.score - m.score, 6) AS saved FROM copy_errors c JOIN mean_errors m USING (level, origin)"))
+def paired_difference(spark, folder):
+    """The baseline's error less our own, so positive is better."""
+    s = bt.setup(spark, folder)
+    base = _copied_errors(s, bt.copied(s), "copy").select("level", "origin", F.col("score").alias("base"))
+    return _copied_errors(s, bt.weekday_mean(s), "mean").join(base, ["level", "origin"]).select("level", "origin", r6(F.col("base") - F.col("score")).alias("saved"))
+
+
+# conformal
+
+
+def _split(spark, folder) -> tuple[bt.Setup, DataFrame]:
+    s = bt.setup(spark, folder)
+    return s, conformal.split(bt.copied(s), s.schedule)
+
+
+@query(sql.of("SELECT origin, node, step, round(half, 6) AS half, round(low, 6) AS low, round(high, 6) AS high FROM split"))
+def split_conformal(spark, folder):
+    found = _split(spark, folder)[1]
+    return found.select("origin", "node", "step", r6("half").alias("half"), r6("low").alias("low"), r6("high").alias("high"))
+
+
+@query(sql.of("SELECT level, round(avg(hit::INT), 6) AS coverage, round(avg(high - low), 6) AS width FROM split WHERE half IS NOT NULL GROUP BY level"))
+def conformal_coverage(spark, folder):
+    found = conformal.summary(_split(spark, folder)[1])
+    return found.select("level", r6("coverage").alias("coverage"), r6("width").alias("width"))
+
+
+@query(sql.of(f"SELECT level, origin, CASE WHEN count(c) OVER w = {QUARTER} THEN round(avg(c) OVER w, 6) END AS rolling FROM (SELECT level, origin, avg(hit::INT) AS c FROM split GROUP BY ALL) WINDOW w AS (PARTITION BY level ORDER BY origin ROWS BETWEEN {QUARTER - 1} PRECEDING AND CURRENT ROW)"))
+def rolling_coverage(spark, folder):
+    own = _split(spark, folder)[1].groupBy("level", "origin").agg(F.avg(F.col("hit").cast("int")).alias("c"))
+    return scores.rolling(own, "c", QUARTER, ["level"]).select("level", "origin", r6("rolling").alias("rolling"))
+
+
+@query(sql.of(f"SELECT level, arg_min(origin, (round(r, 9), origin)) AS origin, round(min(r), 6) AS worst FROM (SELECT level, origin, CASE WHEN count(c) OVER w = {QUARTER} THEN avg(c) OVER w END AS r FROM (SELECT level, origin, avg(hit::INT) AS c FROM split GROUP BY ALL) WINDOW w AS (PARTITION BY level ORDER BY origin ROWS BETWEEN {QUARTER - 1} PRECEDING AND CURRENT ROW)) WHERE r IS NOT NULL GROUP BY level"))
+def worst_window(spark, folder):
+    own = _split(spark, folder)[1].groupBy("level", "origin").agg(F.avg(F.col("hit").cast("int")).alias("c"))
+    full = scores.rolling(own, "c", QUARTER, ["level"]).filter("rolling is not null").withColumn("rolling", F.round("rolling", 9))
+    best = full.groupBy("level").agg(F.min(F.struct("rolling", "origin")).alias("w"))
+    return best.select("level", F.col("w.origin").alias("origin"), r6("w.rolling").alias("worst"))
+
+
+@query(sql.of("SELECT level, origin, step, avg(hit::INT) >= 0.5 AS hit FROM split WHERE half IS NOT NULL GROUP BY ALL"))
+def hits_majority(spark, folder):
+    found = _split(spark, folder)[1].filter("half is not null")
+    return found.groupBy("level", "origin", "step").agg((F.avg(F.col("hit").cast("int")) >= 0.5).alias("hit"))
+
+
+@query(sql.of("SELECT origin, node, step, list_transform(q, lambda v: round(v, 6)) AS q FROM predictive"))
+def predictive_quantiles(spark, folder):
+    s = bt.setup(spark, folder)
+    found = conformal.predictive(bt.copied(s), s.schedule, REPORTING)
+    return found.select("origin", "node", "step", F.transform("q", r6).alias("q"))
+
+
+@query()
+def aci(spark, folder):
+    s = bt.setup(spark, folder)
+    return conformal.summary(conformal.adaptive(bt.copied(s), s.schedule))
+
+
+@query()
+def agaci(spark, folder):
+    s = bt.setup(spark, folder)
+    return conformal.summary(conformal.adaptive(bt.copied(s), s.schedule, aggregated=True))
+
+
+# decision
+
+
+@query(sql.of("SELECT origin, node, step, round(q[7] + (0.8 - 0.75) / (0.9 - 0.75) * (q[8] - q[7]), 6) AS demand80, round(q[8], 6) AS demand90 FROM predictive WHERE level = 'area'"))
+def service_demand(spark, folder):
+    s = bt.setup(spark, folder)
+    found = conformal.predictive(bt.copied(s), s.schedule, REPORTING).filter("level = 'area'")
+    at = lambda q: r6(decision.demand_at(F.col("q"), REPORTING, q))
+    return found.select("origin", "node", "step", at(0.8).alias("demand80"), at(0.9).alias("demand90"))
+
+
+@query(sql.STAFFING)
+def staffing_cost(spark, folder):
+    s = bt.setup(spark, folder)
+    found = conformal.predictive(bt.copied(s), s.schedule, REPORTING).withColumn("model", F.lit("copy"))
+    out = decision.staffing(found, REPORTING)
+    return out.select("model", "service_level", "origin", *(r6(c).alias(c) for c in ("units", "oracle_units", "cost")))
+
+
+# inference
+
+
+@query(sql.BOOTSTRAP)
+def block_bootstrap_hash(spark, folder):
+    s = bt.setup(spark, folder)
+    series = _copied_errors(s, bt.copied(s), "copy").select("level", F.col("origin").alias("pos"), "score")
+    blocks = inference.arithmetic_blocks(spark, s.schedule.count(s.n_days))
+    found = inference.interval(inference.resampled_means(series, blocks, ["score"], ["level"]), "score", ["level"])
+    return found.select("level", r6("low").alias("low"), r6("high").alias("high"))
+
+
+@query()
+def bootstrap_skill(spark, folder):
+    s = bt.setup(spark, folder)
+    base = _copied_errors(s, bt.copied(s), "copy").select("level", "origin", F.col("score").alias("base"))
+    series = _copied_errors(s, bt.weekday_mean(s), "mean").join(base, ["level", "origin"]).withColumn("pos", F.col("origin"))
+    blocks = inference.block_table(spark, s.schedule.count(s.n_days))
+    return inference.skill_interval(series, blocks, ["level"])
+
+
+# reconciliation
+
+
+@query(sql.of("SELECT origin, round(max(abs(point - summed)), 6) AS error FROM points p JOIN (SELECT origin, step, 'ALL' AS node, sum(point) AS summed FROM points WHERE level = 'area' GROUP BY ALL) USING (origin, step, node) GROUP BY origin"))
+def base_breach(spark, folder):
+    """Breach of the copied points, which are coherent as they copy coherent days."""
+    s = bt.setup(spark, folder)
+    found = hierarchy.coherence(naive.points(s.panel, s.origins, s.schedule), s.edges, "origin", "step", value="point")
+    return found.groupBy("origin").agg(r6(F.max("error")).alias("error"))
+
+
+@query(sql.sparse("SELECT origin, node, step, list_transform(q, lambda v: round(greatest(v + step, 0), 6)) AS q FROM naive"))
+def shift_quantiles(spark, folder):
+    s = bt.setup(spark, folder, SPARSE)
+    found = naive.seasonal_naive(s.panel, s.origins, s.schedule, REPORTING)
+    moved = reconcile.shift_quantiles(F.col("q"), F.lit(0), F.col("step"))
+    return found.select("origin", "node", "step", F.transform(moved, r6).alias("q"))
+
+
+def _reconciled(spark, folder, levels=()) -> DataFrame:
+    s = bt.setup(spark, folder)
+    return reconcile.reconcile(bt.weekday_mean(s), s.edges, s.schedule, levels=levels)
+
+
+@query()
+def mint_medians(spark, folder):
+    return _reconciled(spark, folder).select("origin", "node", "step", "median", "intensity")
+
+
+@query()
+def mint_paths(spark, folder):
+    return _reconciled(spark, folder, REPORTING)
+
+
+@query()
+def gbt(spark, folder):
+    """Boosted forecasts at four refit origins a year apart, as points with their errors by level."""
+    s = bt.setup(spark, folder, Schedule(step=364, refit_every=1))
+    found = design.boosted(s.panel, s.nodes, s.origins, s.schedule)
+    return found.join(s.actuals().drop("level"), ["origin", "node", "step"]).groupBy("model", "level").agg(F.avg(F.abs(F.col("y") - F.col("point"))).alias("mae"))
