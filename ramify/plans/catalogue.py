@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -10,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, NOMINAL, REPORTING, SCORING, SPARSE, Schedule
 from ..functions import calendar, scores
-from ..operators import checks, conformal, decision, design, hierarchy, inference, naive, reconcile, schedule as plan
+from ..operators import checks, conformal, decision, design, hierarchy, inference, naive, reconcile, schedule as plan, statistical
 from ..sources import ingest, star
+from ..streaming import online
 from . import backtest as bt
-from . import sql
+from . import report, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -434,3 +437,100 @@ def gbt(spark, folder):
     s = bt.setup(spark, folder, Schedule(step=364, refit_every=1))
     found = design.boosted(s.panel, s.nodes, s.origins, s.schedule)
     return found.join(s.actuals().drop("level"), ["origin", "node", "step"]).groupBy("model", "level").agg(F.avg(F.abs(F.col("y") - F.col("point"))).alias("mae"))
+
+
+#: Forecast origins half a year apart, for the slower models.
+YEARLY = Schedule(step=182)
+
+
+def _statistical(spark, folder, name: str) -> DataFrame:
+    s = bt.setup(spark, folder, YEARLY)
+    found = statistical.forecast(s.panel, s.origins, s.schedule, REPORTING, {name: statistical.MODELS[name]})
+    scored = scores.score_forecasts(found, s.actuals(), REPORTING, REPORTING, NOMINAL)
+    return scored.groupBy("model", "level").agg(F.avg("crps").alias("crps"), F.avg(F.col("hits")[1].cast("int")).alias("coverage90"))
+
+
+@query()
+def ets(spark, folder):
+    return _statistical(spark, folder, "ets")
+
+
+@query()
+def theta(spark, folder):
+    return _statistical(spark, folder, "theta")
+
+
+@query()
+def mstl(spark, folder):
+    return _statistical(spark, folder, "mstl")
+
+
+@query()
+def arima(spark, folder):
+    return _statistical(spark, folder, "arima")
+
+
+# report
+
+
+def _two_models(s: bt.Setup) -> tuple[DataFrame, DataFrame]:
+    """Scores of the weekday mean and of the copied week, both through the conformal distribution."""
+    out = []
+    for model, rows in (("mean", bt.weekday_mean(s)), ("copy", bt.copied(s))):
+        found = conformal.predictive(rows, s.schedule, REPORTING).select(F.lit(model).alias("model"), "origin", "node", "step", "q")
+        out.append(scores.score_forecasts(found, s.actuals(), REPORTING, REPORTING, NOMINAL))
+    return out[0], out[1]
+
+
+@query()
+def skill_table(spark, folder):
+    s = bt.setup(spark, folder)
+    own, base = _two_models(s)
+    first = conformal.first_valid_origin(s.schedule)
+    blocks = inference.block_table(spark, s.schedule.count(s.n_days) - first)
+    return report.skill_table(own, base, blocks, s.schedule)
+
+
+@query()
+def pinball_skill(spark, folder):
+    own, base = _two_models(bt.setup(spark, folder))
+    return report.pinball_skill(own, base, REPORTING)
+
+
+@query()
+def coverage_series(spark, folder):
+    s, found = _split(spark, folder)
+    return report.coverage_series(found, s.schedule, 0.9, "split")
+
+
+@query()
+def fan_chart(spark, folder):
+    s = bt.setup(spark, folder)
+    last = s.schedule.count(s.n_days) - 1
+    found = conformal.predictive(bt.copied(s), s.schedule, REPORTING).filter(F.col("origin") == last)
+    rows = found.join(F.broadcast(plan.targets(s.origins, s.schedule).filter(F.col("origin") == last).select("step", "target_idx")), "step")
+    return report.fan(rows, s.panel.select("day", F.col("day_idx").alias("target_idx")).distinct(), REPORTING)
+
+
+@query()
+def dashboard_payload(spark, folder):
+    """One row: the checked payload as JSON."""
+    s = bt.setup(spark, folder)
+    own, base = _two_models(s)
+    found = conformal.predictive(bt.copied(s), s.schedule, REPORTING).withColumn("model", F.lit("copy"))
+    split = conformal.split(bt.copied(s), s.schedule)
+    value = report.payload(
+        s.schedule, s.schedule.count(s.n_days), s.nodes, report.skill_table(own, base, None, s.schedule),
+        decision.staffing(found, REPORTING), report.coverage_series(split, s.schedule, 0.9, "split"),
+    )
+    return spark.createDataFrame([(json.dumps(value, allow_nan=False, separators=(",", ":")),)], "payload string")
+
+
+# streaming
+
+
+@query(sql.EVENTS_DAILY)
+def stream_daily_counts(spark, folder):
+    schema = star.read(spark, folder, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return online.collected(online.daily_counts(events, "event_type"), f"counts_{uuid.uuid4().hex}", "complete")
