@@ -110,17 +110,18 @@ def _classes(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``h, pieces, doc, line_no, line`` for wanted lines ``doc, hs: array<struct<h, pieces>>``."""
+    """``h, pieces, doc, line_no, line`` for wanted lines ``doc, hs: array<struct<h, keys>>``; pieces are those whose keys are wanted."""
 
     def run(batches):
         for ids, texts, wants in rows_of(batches, "doc", "x", "hs"):
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, x, hs in zip(ids, texts, wants, strict=True):
-                left = {w["h"]: w["pieces"] for w in hs}
+                left = {w["h"]: set(w["keys"]) for w in hs}
                 for k, line in enumerate((x or "").split("\n")):
                     folded = fold(line)
-                    pieces = left.pop(digest(folded), None) if left else None
-                    if pieces is not None:
+                    shared = left.pop(digest(folded), None) if left else None
+                    if shared is not None:
+                        pieces = [p for p, key in enumerate(piece_keys(folded)) if key in shared]
                         for column, value in zip(out, (digest(folded), pieces, doc, k, folded), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays(
@@ -181,12 +182,10 @@ def dedup_lines(
     if fuzzy:
         classes = checkpointed(classes)
         gone = classes.filter("n > 1").select("h", "first")
-        exploded = classes.select("h", F.col("first").alias("doc"), F.posexplode(F.array(*names)).alias("piece", "k"))
+        exploded = classes.select("h", F.explode(F.array(*names)).alias("k"))
         shared = exploded.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-        wanted = (
-            exploded.join(shared, "k").groupBy("doc", "h").agg(F.collect_set("piece").alias("pieces"))
-            .groupBy("doc").agg(F.collect_list(F.struct("h", "pieces")).alias("hs"))
-        )
+        few = exploded.join(shared, "k").groupBy("h").agg(F.collect_set("k").alias("keys"))
+        wanted = few.join(classes.select("h", F.col("first").alias("doc")), "h").groupBy("doc").agg(F.collect_list(F.struct("h", "keys")).alias("hs"))
         near = _near(checkpointed(_texts(docs, wanted, key, text)))
         gone = gone.join(near.withColumn("near", F.lit(True)), "h", "full").select("h", F.when(F.col("near"), None).otherwise(F.col("first")).alias("first"))
     dropped = (
