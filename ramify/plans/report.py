@@ -76,7 +76,7 @@ def skill_table(own: DataFrame, base: DataFrame, blocks: DataFrame | None, sched
     hit, width = F.col("hits")[coverage_at].cast("double"), F.col("widths")[coverage_at]
     mine = own.groupBy(*keys).agg(F.avg("crps").alias("score"), F.avg(middle).alias("mid"), F.avg(hit).alias("hit"), F.avg(width).alias("width"))
     theirs = base.groupBy("level", "origin").agg(F.avg("crps").alias("base"), F.avg(middle).alias("base_mid"))
-    both = mine.join(theirs, ["level", "origin"])
+    both = mine.join(theirs, ["level", "origin"]).cache()  # a row for each model, level and origin
     worst = scores.worst_window(both, "hit", ROLLING_DAYS // schedule.step, ["model", "level"]).select("model", "level", "worst")
     table = both.groupBy("model", "level").agg(
         F.avg("score").alias("crps"), (1 - F.avg("score") / F.avg("base")).alias("skill"), (1 - F.avg("mid") / F.avg("base_mid")).alias("median_skill"),
