@@ -70,16 +70,16 @@ def test_packing_is_gapless_whole_and_near_the_bound(spark, reference):
 def test_sum_of_squares_choice_by_brute_force():
     lengths = np.random.default_rng(0).integers(1, 21, 200)
     sequence, offset = packing.sum_of_squares(lengths, 20)
-    fill: dict[int, int] = defaultdict(int)
+    fill: dict[int, int] = {}
     for s, b, o in zip(lengths.tolist(), sequence.tolist(), offset.tolist(), strict=True):
-        assert o == fill[b]
+        assert o == fill.get(b, 0)
         room = [x for x in fill if fill[x] + s <= 20]
-        square = lambda x: sum(v * v for v in np.bincount([20 - (fill[y] + (s if y == x else 0)) for y in {*fill, x}], minlength=21)[1:].tolist())  # noqa: B023, E731
+        square = lambda x: sum(v * v for v in np.bincount([20 - (fill[y] + (s if y == x else 0)) for y in fill], minlength=21)[1:].tolist())  # noqa: B023, E731
         if room:
-            assert fill[b] and square(b) == min(square(x) for x in room)
+            assert b in room and square(b) == min(square(x) for x in room)
         else:
-            assert b not in fill or fill[b] == 0
-        fill[b] += s
+            assert b not in fill
+        fill[b] = fill.get(b, 0) + s
 
 
 def plain_fingerprint(text):
