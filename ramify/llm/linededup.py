@@ -34,6 +34,8 @@ from .common import checkpointed, rows_of, small_batches
 MIN_CHARS = 20
 #: Pieces of a line; one edit leaves all but one of them.
 PIECES = 3
+#: Bits of the table of wanted document ids: at most 2**18 rows of 64 bits are broadcast, whatever the input.
+ID_BITS = 1 << 24
 
 _SPACES = re.compile(r"[ \t\r\x0b\f]+")
 
@@ -109,6 +111,19 @@ def _classes(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     return docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("x")).mapInArrow(run, schema)
 
 
+def _maybe_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``doc`` may be one of ``wanted``: all that are, and few others while the bit table is sparse.
+
+    Spares the shuffle of texts that no join partner asks for. The table's size is
+    fixed; a full one lets every row through, and the join after it stays exact.
+    """
+    spot = F.pmod(F.xxhash64("doc"), F.lit(ID_BITS))
+    word, bit = F.floor(spot / 64).cast("bigint"), (spot % 64).cast("int")
+    table = wanted.groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("__bits"))
+    met = rows.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(table), "__word")
+    return met.filter(F.bit_get("__bits", "__bit") == 1).select(*rows.columns)
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """``h, pieces, doc, line_no, line`` for wanted lines ``doc, hs: array<struct<h, keys>>``; pieces are those whose keys are wanted."""
 
@@ -129,8 +144,9 @@ def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame
                 names=["h", "pieces", "doc", "line_no", "line"],
             )
 
-    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("x")).join(wanted, "doc")
-    return rows.mapInArrow(run, "h bigint, pieces array<int>, doc bigint, line_no bigint, line string").dropDuplicates(["h"])
+    wanted = checkpointed(wanted)
+    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("x"))
+    return _maybe_wanted(rows, wanted).join(wanted, "doc").mapInArrow(run, "h bigint, pieces array<int>, doc bigint, line_no bigint, line string").dropDuplicates(["h"])
 
 
 def _near(lines: DataFrame) -> DataFrame:
