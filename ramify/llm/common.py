@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,21 +27,30 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and cut its lineage in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder under ``spark.checkpoint.dir``, which all executors see.
 
-    The folder is ``spark.checkpoint.dir``; only where no folder is set, as in
-    tests on one machine, a temporary one is used.
+    Only where no folder is set, as in tests on one machine, a temporary one is used.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        )
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Run ``df`` once and cut its lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``checkpointed``, as a Parquet table: smaller than a checkpoint, and later reads take the columns they need."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

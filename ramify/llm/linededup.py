@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, rows_of, small_batches
+from .common import checkpointed, rows_of, small_batches, written
 
 #: Shorter lines, after folding, are never removed.
 MIN_CHARS = 20
@@ -192,11 +192,11 @@ def dedup_lines(
     """
     small_batches(docs.sparkSession)
     names = [f"k{i}" for i in range(2 * PIECES)]
-    lines = checkpointed(_classes(docs, key, text, min_chars))
+    lines = written(_classes(docs, key, text, min_chars))
     classes = lines.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in names))
     gone = classes.filter("n > 1").select("h", "first")
     if fuzzy:
-        classes = checkpointed(classes)
+        classes = written(classes)
         gone = classes.filter("n > 1").select("h", "first")
         exploded = classes.select("h", F.explode(F.array(*names)).alias("k"))
         shared = exploded.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
