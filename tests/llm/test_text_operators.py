@@ -195,6 +195,16 @@ def test_line_dedup_by_brute_force(spark):
     assert linededup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_bit_table_lets_all_wanted_rows_through(spark, monkeypatch):
+    rows = spark.range(-500, 500).select(F.col("id").alias("doc"), F.lit("x").alias("text"))
+    wanted = spark.createDataFrame([(i,) for i in range(-500, 500, 7)], "doc bigint")
+    for bits in (64, 1 << 24):
+        monkeypatch.setattr(linededup, "BITS", bits)
+        got = linededup._maybe_wanted(rows, wanted, "doc")
+        assert got.columns == ["doc", "text"] and got.join(wanted, "doc").count() == wanted.count() <= got.count()
+    assert got.count() == wanted.count() and linededup._maybe_wanted(rows, wanted.limit(0), "doc").count() == 0
+
+
 PAGE = """<html><head><title>t</title><script>var a = "<p>no</p>";</script></head><body class="has-sidebar"><header>Site</header><nav><a href=x>menu</a></nav>
 <div class="ad">Buy this, now.</div>{open}<h1>Title &amp; more</h1><p>First  paragraph, with text.<p>Second <b>bold</b> one; it goes on.<br>Line.</p>
 <aside>side</aside><div class="cookie-notice">We use cookies.</div><form><label>mail</label></form>{close}<section id="comments"><article class="comment"><p>Reader says, hi.</p></article></section>
