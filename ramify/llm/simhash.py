@@ -34,6 +34,8 @@ from .components import components
 CHUNK = 2048
 #: Comparisons of one fingerprint with 64 others that run side by side in numpy.
 SIDE_BY_SIDE = 1 << 16
+#: Comparisons whose hits are listed at a time: dense groups link all of their pairs.
+LISTED = 1 << 12
 #: Buckets of the pigeonhole tables should hold about so many classes at most.
 BUCKET_CLASSES = 2000
 #: Hashes whose bits are summed at a time.
@@ -142,8 +144,8 @@ def _bits(fp: Column, positions: list[int]) -> Column:
     return F.xxhash64(*parts) if parts else F.lit(0).cast("bigint")
 
 
-def _compare(query: np.ndarray, lanes: np.ndarray, q: np.ndarray, w: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query row, lane) within the radius.
+def _compare(query: np.ndarray, lanes: np.ndarray, q: np.ndarray, w: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query row, lane) within the radius, a bounded number at a time.
 
     ``query``: fingerprints (n, words). ``lanes``: bit planes (blocks, bits), 64
     fingerprints in each machine word. ``q``, ``w``: the query and the block of each
@@ -174,9 +176,10 @@ def _compare(query: np.ndarray, lanes: np.ndarray, q: np.ndarray, w: np.ndarray,
                 if not len(live):
                     break
     rows = np.flatnonzero(full != _ALL)
-    hits = np.unpackbits((~full[rows]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    r, lane = np.nonzero(hits)
-    return q[live[rows[r]]], w[live[rows[r]]] * 64 + lane
+    for part in (rows[at : at + LISTED] for at in range(0, len(rows), LISTED)):
+        hits = np.unpackbits((~full[part]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        r, lane = np.nonzero(hits)
+        yield q[live[part[r]]], w[live[part[r]]] * 64 + lane
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -191,9 +194,9 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").reshape(blocks, words * 64, 8).copy().view(np.uint64)[:, :, 0]
 
 
-def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smallest linked position for each of n positions, by hooking and pointer jumping."""
-    root = np.arange(n)
+def forest(n: int, x: np.ndarray, y: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """Smallest linked position for each of n positions, by hooking and pointer jumping; ``root`` holds earlier links."""
+    root = np.arange(n) if root is None else root
     while True:
         low = np.minimum(root[x], root[y])
         new = root.copy()
@@ -219,12 +222,15 @@ def _links(rep: np.ndarray, fps: np.ndarray, side: np.ndarray, ends: np.ndarray,
         q = np.concatenate([x for x, _ in batch])
         w = np.concatenate([x for _, x in batch])
         rows, lanes = np.concatenate(q_rows), np.concatenate(lane_rows)
-        a, b = _compare(fps[rows], np.concatenate(lane_planes), q, w, radius)
-        a, b = rows[a], lanes[b]
-        keep = (b >= 0) & (a != b)
-        a, b = a[keep], b[keep]
-        touched, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-        root = forest(len(touched), inverse[: len(a)], inverse[len(a) :])
+        touched, local = np.unique(np.concatenate([rows, lanes[lanes >= 0]]), return_inverse=True)
+        at_lane = np.full(len(lanes), -1)
+        at_lane[lanes >= 0] = local[len(rows) :]
+        root = np.arange(len(touched))
+        for a, b in _compare(fps[rows], np.concatenate(lane_planes), q, w, radius):
+            b = at_lane[b]
+            x, y = root[local[a[b >= 0]]], root[b[b >= 0]]
+            if (new := x != y).any():
+                root = forest(len(touched), x[new], y[new], root)
         moved = root != np.arange(len(touched))
         return rep[touched[moved]], rep[touched[root[moved]]]
 

@@ -126,7 +126,7 @@ def test_bit_sliced_distances():
                 row[b >> 6] ^= np.uint64(1) << np.uint64(b & 63)
         planes = simhash.planes(fps)
         q, w = np.repeat(np.arange(len(fps)), len(planes)), np.tile(np.arange(len(planes)), len(fps))
-        a, b = simhash._compare(fps, planes, q, w, radius)
+        a, b = (np.concatenate(x) for x in zip(*simhash._compare(fps, planes, q, w, radius), strict=True))
         found = {(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if y < len(fps)}
         bits = np.unpackbits(fps.view(np.uint8), axis=1).astype(int)
         near = (np.abs(bits[:, None] - bits[None]).sum(axis=2) <= radius).nonzero()
