@@ -141,6 +141,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> QualityModel:
             if not np.isnan(mean):
                 z[rows] += RATE * mean / max(float((p[rows] * (1 - p[rows])).mean()), 0.02)
     kept = list(rules)
+    if not kept:  # too few rows for a split: the labels' share alone
+        return QualityModel(float(np.log(y.mean() / (1 - y.mean()))))
     held = np.column_stack([r.holds(x, names) for r in kept]).astype(float)
     intercept, weights = logistic(held, y, l1=LASSO, steps=1500)
     return QualityModel(intercept, tuple((r, round(float(w), 6)) for r, w in zip(kept, weights, strict=True) if abs(w) > 1e-4))
