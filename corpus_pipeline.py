@@ -39,9 +39,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near duplicates (five words, similarity 0.8).
 
+    SimHash finds the candidates, and the similarity of whole shingle sets decides.
     Documents without an id are kept. Rows that repeat one id leave one row.
     """
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), simhash.SIMILAR)
+    groups = simhash.similar_documents(docs.select("doc_id", "text"), simhash.SIMILAR)
     losers = groups.filter(F.col("id").isNotNull() & (F.col("id") != F.col("component_id"))).select(F.col("id").alias("doc_id")).distinct()
     rest = docs.join(losers, "doc_id", "left_anti")
     known = rest.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])

@@ -13,10 +13,13 @@
 4. A bucket reports a spanning forest of its links, never all pairs, and
    connected components of all forests give the groups. Large buckets are cut
    into chunks, and every pair of chunks is a task of its own.
+5. Where a similarity is asked for, the groups are candidates only: the shingle
+   sets of their texts meet in chunks, and pairs that reach it are the links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -40,6 +43,8 @@ LISTED = 1 << 12
 BUCKET_CLASSES = 2000
 #: Hashes whose bits are summed at a time.
 SUMMED_HASHES = 1 << 16
+#: Shingles of a candidate group that meet in one task, and the least that a text counts for: 256 texts at most.
+VERIFIED_SHINGLES, LEAST_SHINGLES = 1 << 17, 1 << 9
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -50,6 +55,7 @@ class SimHashSettings:
 
     ``tables`` and ``sampled_bits``: 0 tables means exact pigeonhole tables. Otherwise
     each of the tables compares ``sampled_bits`` + log2(classes / 2**16) random bits.
+    ``similarity``: Jaccard of the shingle sets of a link.
     """
 
     shingle: int = 4
@@ -58,12 +64,14 @@ class SimHashSettings:
     seed: int = 42
     tables: int = 0
     sampled_bits: int = 14
+    similarity: float = 0.0
 
 
 EXACT = SimHashSettings()
-#: Five-word shingles at a Jaccard similarity of 0.8 or more: the features' cosine is
-#: 2J / (1 + J), so 15 % of the bits differ at 0.8; of 256 bits 39, with a deviation of 6.
-SIMILAR = SimHashSettings(shingle=5, words=4, radius=42, tables=24)
+#: Five-word shingles at a Jaccard similarity of 0.8 or more: the sets' cosine is at least
+#: 2J / (1 + J), so 15.2 % of the bits differ at 0.8; of 256 bits 39, with a deviation of 6.
+SIMILAR = SimHashSettings(shingle=5, words=4, radius=42, tables=24, similarity=0.8)
+
 
 
 def shingle_hashes(text: str | None, size: int, seed: int) -> np.ndarray:
@@ -294,14 +302,15 @@ def _compare_buckets(radius: int, words: int):
     return run
 
 
-def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def chunked(rows: DataFrame, chunk: int = CHUNK, weight: Column | None = None) -> DataFrame:
     """Rows (``bucket``, ``rep``, more) with ``part`` and ``side``, for every bucket of two rows or more.
 
-    A bucket of over ``chunk`` rows is dealt by hash into chunks; each chunk meets
-    itself (side 2) and each other one (sides 0 and 1), in parts of their own.
+    A bucket of over ``chunk`` rows, or of rows that weigh more, is dealt by hash into chunks; each
+    chunk meets itself (side 2) and each other one (sides 0 and 1), in parts of their own.
     """
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    split = rows.join(sizes, "bucket").withColumn("chunks", F.ceil(F.col("n") / F.lit(chunk)).cast("int"))
+    heavy = F.count("*") if weight is None else F.sum(weight)
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.least(F.count("*"), F.ceil(heavy / F.lit(chunk))).cast("int").alias("chunks")).filter("n > 1")
+    split = rows.join(sizes, "bucket")
     own = F.pmod(F.xxhash64("rep", "bucket"), F.col("chunks")).cast("int")
     meets = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
@@ -337,3 +346,127 @@ def near_duplicates(docs: DataFrame, settings: SimHashSettings = EXACT, key: str
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
     return prints.join(named, "fp", "left").select("id", "fp", "component_id")
+
+
+def shingle_set(text: str | None, settings: SimHashSettings) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(shingle_hashes(text, settings.shingle, settings.seed))
+
+
+def _set_of(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def set_prints(docs: DataFrame, settings: SimHashSettings) -> DataFrame:
+    """``id, fp, shingles, same`` of every row ``id, x``: the fingerprint, size and digest of its shingle set."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for ids, texts in rows_of(batches, "id", "x"):
+            sets = [shingle_set(x, settings) for x in texts]
+            fps = [fingerprint(s, settings.words).view(np.int64).tolist() for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_of(s) for s in sets], pa.binary())],
+                names=["id", "fp", "shingles", "same"],
+            )
+
+    return docs.mapInArrow(run, "id bigint, fp array<bigint>, shingles bigint, same binary")
+
+
+def similar_links(sets: list[np.ndarray], side: list[int], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose Jaccard similarity is at least ``similarity``; side 0 meets side 1, or itself (side 2).
+
+    Two sets so similar share one of the rarest shingles of each, of which a set
+    lists all but those that it may have alone.
+    """
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    listed: dict[int, list[list[int]]] = {}
+    root = list(range(len(sets)))
+    links = []
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, own in enumerate(sets):
+        alone = math.floor(len(own) * (1 - similarity) + 1e-9) + 1
+        rare = own[np.lexsort((own, counts[np.searchsorted(values, own)]))[:alone]].tolist()
+        met = {j for h in rare for k, rows in enumerate(listed.get(h, ())) if side[i] == 2 or k != side[i] for j in rows}
+        for j in sorted(met):
+            a, b = top(i), top(j)
+            if a == b or min(len(own), len(sets[j])) < similarity * max(len(own), len(sets[j])) - 1e-9:
+                continue
+            both = len(np.intersect1d(own, sets[j], assume_unique=True))
+            if both >= similarity * (len(own) + len(sets[j]) - both) - 1e-9:
+                root[max(a, b)] = min(a, b)
+                links.append((i, j))
+        for h in rare:
+            listed.setdefault(h, [[], []])[side[i] == 1].append(i)
+    return links
+
+
+def _verify(similarity: float):
+    """mapInArrow over rows (bucket, part, side, rep, hashes) that are sorted by bucket and part: links (a, b)."""
+
+    def links(held: list[tuple]) -> pa.RecordBatch:
+        found = similar_links([x for *_, x in held], [s for s, _, _ in held], similarity) if len(held) > 1 else []
+        ends = [pa.array([held[pair[k]][1] for pair in found], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            get = lambda name: batch.column(batch.schema.get_field_index(name))
+            buckets, parts, sides, reps, hashes = get("bucket"), get("part"), get("side"), get("rep"), get("hashes")
+            for k in range(batch.num_rows):
+                here = buckets[k].as_py(), parts[k].as_py()
+                if here != at:
+                    if held:
+                        yield links(held)
+                    at, held = here, []
+                held.append((sides[k].as_py(), reps[k].as_py(), hashes[k].values.to_numpy(zero_copy_only=False).view(np.uint64).copy()))
+        if held:
+            yield links(held)
+
+    return run
+
+
+def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, settings: SimHashSettings) -> DataFrame:
+    """Links (a, b) between classes of one candidate group whose shingle sets are similar enough.
+
+    The sets come from the whole texts of the classes' first rows. A large group
+    is cut into chunks, and every pair of chunks is a task of its own.
+    """
+    small_batches(docs.sparkSession)
+    members = classes.join(groups, classes.rep == groups.node).select("rep", "same", "shingles", F.col("component").alias("bucket"))
+    parts = chunked(members, VERIFIED_SHINGLES, F.greatest("shingles", F.lit(LEAST_SHINGLES))).select("rep", "same", "bucket", "part", "side")
+
+    def run(batches):
+        for ids, texts in rows_of(batches, "id", "x"):
+            sets = [shingle_set(x, settings) for x in texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([_set_of(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["rep", "same", "hashes"],
+            )
+
+    wanted = docs.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    sets = wanted.mapInArrow(run, "rep bigint, same binary, hashes array<bigint>")
+    rows = parts.join(sets, ["rep", "same"]).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    return rows.select("bucket", "part", "side", "rep", "hashes").mapInArrow(_verify(settings.similarity), "a bigint, b bigint").distinct()
+
+
+def similar_documents(docs: DataFrame, settings: SimHashSettings = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, component_id`` of every row of ``docs``, linked where shingle sets reach the similarity of the settings.
+
+    Fingerprints choose the candidates and whole shingle sets decide. Texts with equal
+    sets, those without words among them, are linked. Else as ``near_duplicates``.
+    """
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("x"))
+    prints = checkpointed(set_prints(rows, settings))
+    classes = checkpointed(prints.groupBy("same", "shingles", "fp").agg(F.min("id").alias("rep")).filter("rep is not null"))
+    groups = components(linked(classes.select("rep", "fp"), settings, classes.count()))
+    found = components(verified(rows, classes, groups, settings))
+    named = classes.join(found, classes.rep == found.node, "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, "same", "left").select("id", "component_id")
