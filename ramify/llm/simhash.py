@@ -6,7 +6,7 @@
    m blocks and every choice of m equal blocks is a table, so by the pigeonhole
    principle no pair within the radius is missed; m grows with the number of
    classes so that buckets stay small. For a wide radius the tables take random
-   bits instead.
+   bits instead, and more tables where they take more bits.
 3. In a bucket 64 fingerprints share a machine word: bit planes are stored
    vertically, and carry-save counters add up 64 distances at a time. A block of
    64 is given up once all of its distances exceed the radius.
@@ -54,8 +54,10 @@ class SimHashSettings:
     """``shingle`` words, a fingerprint of ``words`` x 64 bits, links at up to ``radius`` bits.
 
     ``tables`` and ``sampled_bits``: 0 tables means exact pigeonhole tables. Otherwise
-    each of the tables compares ``sampled_bits`` + log2(classes / 2**16) random bits.
-    ``similarity``: Jaccard of the shingle sets of a link.
+    each of the tables compares ``sampled_bits`` random bits, and more once buckets
+    would hold over ``CHUNK`` classes on average; each further bit raises the number
+    of tables, so that a pair that differs in the share ``differing`` of its bits is
+    found as often at any size. ``similarity``: Jaccard of the shingle sets of a link.
     """
 
     shingle: int = 4
@@ -64,13 +66,15 @@ class SimHashSettings:
     seed: int = 42
     tables: int = 0
     sampled_bits: int = 14
+    differing: float = 0.0
     similarity: float = 0.0
 
 
 EXACT = SimHashSettings()
 #: Five-word shingles at a Jaccard similarity of 0.8 or more: the sets' cosine is at least
-#: 2J / (1 + J), so 15.2 % of the bits differ at 0.8; of 256 bits 39, with a deviation of 6.
-SIMILAR = SimHashSettings(shingle=5, words=4, radius=42, tables=24, similarity=0.8)
+#: 2J / (1 + J), so 15.2 % of the bits differ at 0.8; of 256 bits 39, with a deviation of 6,
+#: and the radius lies three deviations above.
+SIMILAR = SimHashSettings(shingle=5, words=4, radius=57, tables=40, sampled_bits=12, differing=0.152, similarity=0.8)
 
 
 
@@ -128,9 +132,11 @@ def tables_for(settings: SimHashSettings, classes: int) -> list[list[int]]:
     """The bits that must be equal in each table, for so many distinct fingerprints."""
     bits = 64 * settings.words
     if settings.tables:
-        width = settings.sampled_bits + max(0, int(np.ceil(np.log2(max(classes, 1) / 2**16))))
+        wider = max(0, int(np.ceil(np.log2(max(classes, 1) / CHUNK))) - settings.sampled_bits)
+        width = min(settings.sampled_bits + wider, bits)
+        equal = [math.comb(bits - round(settings.differing * bits), k) / math.comb(bits, k) for k in (settings.sampled_bits, width)]
         draw = np.random.default_rng(settings.seed)
-        return [sorted(draw.choice(bits, min(width, bits), replace=False).tolist()) for _ in range(settings.tables)]
+        return [sorted(draw.choice(bits, width, replace=False).tolist()) for _ in range(math.ceil(settings.tables * equal[0] / equal[1]))]
     if settings.radius >= bits:
         return [[]]
     for m in (1, 2, 3):
