@@ -4,9 +4,11 @@ A page is read into blocks of text, each with its path of block elements from th
 root. For every path the text length and the punctuation of all its blocks are
 added up and divided by the number of blocks; the two ratios are smoothed along
 the page, fused and compared with a threshold of the page's own. The blocks over
-the threshold choose the content element, and every block inside it that is not
-marked as page furniture (navigation, adverts, notices, forms, comments and so
-on) belongs to the text, headings and short paragraphs included.
+the threshold choose the content element: the articles where they hold most of
+the chosen text, or else the deepest element that does. Every block inside it that
+is not marked as page furniture (navigation, adverts, notices, forms, comments and
+so on) belongs to the text, headings and short paragraphs included, and so do
+blocks outside which are over the threshold by their path and by themselves.
 
 Pages are independent rows in Arrow batches; nothing is shuffled.
 """
@@ -53,7 +55,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。，！？،।]")
 THRESHOLD = 0.6
 #: Share of the chosen text that the content element must hold.
 HELD = 0.75
-#: Blocks of which over this share is link text are no content where no article element is marked.
+#: Blocks of which over this share is link text are no content outside the articles chosen.
 LINKED = 0.8
 
 _TOKEN = re.compile(
@@ -189,8 +191,8 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def path_ratios(found: list[Block]) -> list[float]:
-    """The fused, smoothed ratio of each block's path."""
+def path_ratios(found: list[Block], smoothed: bool = True) -> list[float]:
+    """The fused ratio of each block's path, smoothed along the page or the path's own."""
     count: dict = defaultdict(int)
     chars: dict = defaultdict(int)
     marks: dict = defaultdict(int)
@@ -204,38 +206,44 @@ def path_ratios(found: list[Block]) -> list[float]:
     def smooth(x: list[float]) -> list[float]:
         return [(2 * x[i] + x[max(i - 1, 0)] + x[min(i + 1, len(x) - 1)]) / 4 for i in range(len(x))]
 
-    return [(a * (1 + b)) ** 0.5 for a, b in zip(smooth(text), smooth(mark), strict=True)]
+    if smoothed:
+        text, mark = smooth(text), smooth(mark)
+    return [(a * (1 + b)) ** 0.5 for a, b in zip(text, mark, strict=True)]
 
 
-def main_text(page: str | None) -> str:
-    """The page's article as one line of text, blocks joined by a space; empty if there is none."""
-    found = blocks(page or "")
-    if not found:
-        return ""
-    held: dict[int, int] = defaultdict(int)
-    for b in found:
-        if b.article:
-            held[b.article] += len(b.text)
-    ratios = path_ratios(found)
-    bound = THRESHOLD * sum(ratios) / len(ratios)
-    chosen = [b for b, r in zip(found, ratios, strict=True) if r >= bound] or found
-    if held:
-        inside = max(held, key=held.get)
-        if len(held) > 1:  # several articles: those that hold chosen text
-            own = {b.article for b in chosen if b.article} or {inside}
-            return " ".join(b.text for b in found if b.article in own)
-        return " ".join(b.text for b in found if b.article == inside)
+def _content(chosen: list[Block]) -> set[int]:
+    """The elements that hold most of the chosen text: articles if they do, else the deepest one."""
     weight: dict[int, int] = defaultdict(int)
     depth: dict[int, int] = {}
     for b in chosen:
         for k, e in enumerate(b.elements):
             weight[e] += len(b.text)
             depth[e] = k
-    total = weight[0]
-    content = max((e for e in weight if weight[e] >= HELD * total), key=lambda e: (depth[e], weight[e]))
+    articles = {b.article for b in chosen if b.article}
+    if articles and sum(weight[e] for e in articles) >= HELD * weight[0]:
+        return articles
+    content = max((e for e in weight if weight[e] >= HELD * weight[0]), key=lambda e: (depth[e], weight[e]))
     if len(chosen) > 1 and any(b.elements[-1] == content for b in chosen):  # a block of its own: its neighbours count too
         content = next(b.elements[-2] if len(b.elements) > 1 else 0 for b in chosen if b.elements[-1] == content)
-    return " ".join(b.text for b in found if content in b.elements and b.linked < LINKED * len(b.text))
+    return {content}
+
+
+def main_text(page: str | None) -> str:
+    """The page's article as one line of text, blocks joined by a space; empty if there is none."""
+    found = blocks(page or "")
+    if not found:
+        return ""
+    ratios = path_ratios(found)
+    bound = THRESHOLD * sum(ratios) / len(ratios)
+    content = _content([b for b, r in zip(found, ratios, strict=True) if r >= bound] or found)
+
+    def belongs(b: Block, r: float, own: float) -> bool:
+        if b.article in content:
+            return True
+        alone = ((len(b.text) - min(b.linked, len(b.text))) * (1 + len(PUNCTUATION.findall(b.text)))) ** 0.5
+        return b.linked < LINKED * len(b.text) and (not content.isdisjoint(b.elements) or min(r, own, alone) >= bound)
+
+    return " ".join(b.text for b, r, own in zip(found, ratios, path_ratios(found, smoothed=False), strict=True) if belongs(b, r, own))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -217,6 +217,29 @@ def test_html_keeps_the_article_only(open_, close):
     assert html_extract.main_text(page) == "Title & more First paragraph, with text. Second bold one; it goes on. Line."
 
 
+STORY = [f"Paragraph {k} of the story, which goes on for a while, names its people, and ends as it began; nothing is left out." for k in range(8)]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<div class=post><h1>Head</h1>{all}</div><div><p>Short</p></div>", ["Head", *STORY]),
+        ("<div class=post><h1>Head</h1>{all}</div><article><h3>Also</h3><p>Read on.</p></article>", ["Head", *STORY]),
+        ("<article><h3>Also</h3><p>Read on.</p></article><section><h1>Head</h1>{all}</section>", ["Head", *STORY]),
+        ("<article><h1>Head</h1>{first}</article><div>{last}</div>", ["Head", *STORY]),
+        ("<article><h1>Head</h1>{most}</article><div>{end}</div><div><p>Short</p></div>", ["Head", *STORY]),
+    ],
+)
+def test_html_content_is_chosen_by_ratios_not_by_the_article_tag(body, want):
+    parts = {"all": STORY, "first": STORY[:4], "last": STORY[4:], "most": STORY[:7], "end": STORY[7:]}
+    page = "<html><body><nav>menu</nav>" + body.format(**{k: paragraphs(v) for k, v in parts.items()}) + "<footer>us</footer></body></html>"
+    assert html_extract.main_text(page) == " ".join(want)
+
+
 def test_html_edge_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "plain &lt;text&gt;"), (3, "u", "plain &lt;text&gt;"), (4, "u", "<p>" + "word " * 20000)], "page_id bigint, url string, html string")
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract(pages).collect()]
