@@ -43,8 +43,6 @@ class Schedule:
 
 
 DEFAULT = Schedule()
-#: A sparser schedule for checks of the full quantile grid.
-SPARSE = Schedule(step=28)
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, NOMINAL, REPORTING, SCORING, SPARSE, Schedule
+from ..config import DEFAULT, NOMINAL, REPORTING, SCORING, Schedule
 from ..functions import calendar, scores
 from ..operators import checks, conformal, decision, design, hierarchy, inference, naive, reconcile, schedule as plan, statistical
 from ..sources import ingest, star
@@ -200,47 +200,46 @@ def naive_point_documented(spark, folder):
     return naive.points(s.panel, s.origins, s.schedule, week2="documented").drop("level")
 
 
-@query(sql.sparse("SELECT origin, node, lag, list_transform(residuals, lambda v: round(v, 6)) AS residuals FROM residuals"))
+@query(sql.reported("SELECT origin, node, lag, list_transform(residuals, lambda v: round(v, 6)) AS residuals FROM residuals"))
 def naive_residual_quantiles(spark, folder):
-    s = bt.setup(spark, folder, SPARSE)
+    s = bt.setup(spark, folder)
     found = naive.residual_quantiles(s.panel, s.origins, s.schedule, REPORTING)
     return found.withColumn("residuals", F.transform("residuals", r6))
 
 
-@query(sql.sparse("SELECT 'naive' AS model, origin, node, step, list_transform(q, lambda v: round(v, 6)) AS q FROM naive"))
+@query(sql.reported("SELECT 'naive' AS model, origin, node, step, list_transform(q, lambda v: round(v, 6)) AS q FROM naive"))
 def naive_quantiles(spark, folder):
-    s = bt.setup(spark, folder, SPARSE)
+    s = bt.setup(spark, folder)
     found = naive.seasonal_naive(s.panel, s.origins, s.schedule, REPORTING)
     return found.withColumn("q", F.transform("q", r6))
 
 
-@query(sql.sparse("SELECT origin, node, round(greatest(avg(value), 1), 6) AS scale FROM origins JOIN panel ON day_idx BETWEEN train_from AND origin_idx GROUP BY ALL"))
+@query(sql.of("SELECT origin, node, round(greatest(avg(value), 1), 6) AS scale FROM origins JOIN panel ON day_idx BETWEEN train_from AND origin_idx GROUP BY ALL"))
 def gbm_scale(spark, folder):
-    s = bt.setup(spark, folder, SPARSE)
+    s = bt.setup(spark, folder)
     return design.scales(s.panel, s.origins).withColumn("scale", r6("scale"))
 
 
 @query(sql.DESIGN)
 def gbm_design(spark, folder):
-    s = bt.setup(spark, folder, SPARSE)
-    anchors = F.pmod(F.col("day_idx") - 1094, F.lit(28)) == 0
-    rows = design.design(s.panel, s.nodes, 14, anchors & F.col("day_idx").between(1094, s.n_days - 15))
+    s = bt.setup(spark, folder)
+    rows = design.design(s.panel, s.nodes, s.schedule.horizon)
     return rows.withColumns({f"mean_{k}": r6(f"mean_{k}") for k in design.MEANS})
 
 
 # scores
 
 
-@query(sql.sparse("SELECT origin, node, step, list_transform(losses, lambda v: round(v, 6)) AS pinball FROM scored"))
+@query(sql.full("SELECT origin, node, step, list_transform(losses, lambda v: round(v, 6)) AS pinball FROM scored"))
 def pinball_grid(spark, folder):
-    s = bt.setup(spark, folder, SPARSE)
-    return bt.naive_scores(s).select("origin", "node", "step", F.transform("pinball", r6).alias("pinball"))
+    s = bt.setup(spark, folder)
+    return bt.naive_scores(s, SCORING, SCORING).select("origin", "node", "step", F.transform("pinball", r6).alias("pinball"))
 
 
-@query(sql.sparse("SELECT level, round(avg(crps), 6) AS crps FROM scored GROUP BY level"))
+@query(sql.full("SELECT level, round(avg(crps), 6) AS crps FROM scored GROUP BY level"))
 def crps_by_level(spark, folder):
-    s = bt.setup(spark, folder, SPARSE)
-    return bt.naive_scores(s).groupBy("level").agg(r6(F.avg("crps")).alias("crps"))
+    s = bt.setup(spark, folder)
+    return bt.naive_scores(s, SCORING).groupBy("level").agg(r6(F.avg("crps")).alias("crps"))
 
 
 @query(sql.full("SELECT level, round(avg(crps), 6) AS crps FROM scored GROUP BY level"))
@@ -250,14 +249,14 @@ def naive_backtest_crps(spark, folder):
     return bt.naive_scores(s, SCORING).groupBy("level").agg(r6(F.avg("crps")).alias("crps"))
 
 
-@query(sql.sparse("SELECT level, round(avg(abs_error), 6) AS mae FROM scored GROUP BY level"))
+@query(sql.full("SELECT level, round(avg(abs_error), 6) AS mae FROM scored GROUP BY level"))
 def mae_by_level(spark, folder):
-    return bt.naive_scores(bt.setup(spark, folder, SPARSE)).groupBy("level").agg(r6(F.avg("abs_error")).alias("mae"))
+    return bt.naive_scores(bt.setup(spark, folder), SCORING).groupBy("level").agg(r6(F.avg("abs_error")).alias("mae"))
 
 
-@query(sql.sparse("SELECT level, round(avg((y BETWEEN q[4] AND q[8])::INT), 6) AS hit80, round(avg((y BETWEEN q[3] AND q[9])::INT), 6) AS hit90, round(avg(q[9] - q[3]), 6) AS width90, round(avg(CASE WHEN y > 0 THEN (q[9] - q[3]) / y END), 6) AS relative90 FROM scored GROUP BY level"))
+@query(sql.reported("SELECT level, round(avg((y BETWEEN q[4] AND q[8])::INT), 6) AS hit80, round(avg((y BETWEEN q[3] AND q[9])::INT), 6) AS hit90, round(avg(q[9] - q[3]), 6) AS width90, round(avg(CASE WHEN y > 0 THEN (q[9] - q[3]) / y END), 6) AS relative90 FROM scored GROUP BY level"))
 def coverage_width(spark, folder):
-    s = bt.setup(spark, folder, SPARSE)
+    s = bt.setup(spark, folder)
     rows = naive.seasonal_naive(s.panel, s.origins, s.schedule, REPORTING).join(s.actuals(), ["origin", "node", "step"])
     q, y = F.col("q"), F.col("y")
     (l80, h80), (l90, h90) = scores.bounds(q, REPORTING, NOMINAL[0]), scores.bounds(q, REPORTING, NOMINAL[1])
@@ -267,11 +266,11 @@ def coverage_width(spark, folder):
     )
 
 
-@query(sql.sparse("SELECT level, round(avg(share), 6) AS crossing FROM (SELECT level, origin, avg((len(list_filter(generate_series(1, 10), lambda i: q[i + 1] < q[i])) > 0)::INT) AS share FROM (SELECT level, origin, list_reverse(q) AS q FROM scored) GROUP BY ALL) GROUP BY level"))
+@query(sql.full("SELECT level, round(avg(share), 6) AS crossing FROM (SELECT level, origin, avg((len(list_filter(generate_series(1, len(q) - 1), lambda i: q[i + 1] < q[i])) > 0)::INT) AS share FROM (SELECT level, origin, list_reverse(q) AS q FROM scored) GROUP BY ALL) GROUP BY level"))
 def crossing_rate(spark, folder):
     """The crossing rate of deliberately reversed quantiles; sorting repairs them."""
-    s = bt.setup(spark, folder, SPARSE)
-    rows = naive.seasonal_naive(s.panel, s.origins, s.schedule, REPORTING).join(s.actuals(), ["origin", "node", "step"])
+    s = bt.setup(spark, folder)
+    rows = naive.seasonal_naive(s.panel, s.origins, s.schedule, SCORING).join(s.actuals(), ["origin", "node", "step"])
     own = rows.groupBy("level", "origin").agg(F.avg(scores.crosses(F.reverse("q")).cast("int")).alias("share"))
     return own.groupBy("level").agg(r6(F.avg("share")).alias("crossing"))
 
@@ -408,9 +407,9 @@ def base_breach(spark, folder):
     return found.groupBy("origin").agg(r6(F.max("error")).alias("error"))
 
 
-@query(sql.sparse("SELECT origin, node, step, list_transform(q, lambda v: round(greatest(v + step, 0), 6)) AS q FROM naive"))
+@query(sql.reported("SELECT origin, node, step, list_transform(q, lambda v: round(greatest(v + step, 0), 6)) AS q FROM naive"))
 def shift_quantiles(spark, folder):
-    s = bt.setup(spark, folder, SPARSE)
+    s = bt.setup(spark, folder)
     found = naive.seasonal_naive(s.panel, s.origins, s.schedule, REPORTING)
     moved = reconcile.shift_quantiles(F.col("q"), F.lit(0), F.col("step"))
     return found.select("origin", "node", "step", F.transform(moved, r6).alias("q"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..config import DEFAULT, REPORTING, SCORING, SPARSE, Schedule
+from ..config import DEFAULT, REPORTING, SCORING, Schedule
 
 _DEMAND = """
 demand AS (
@@ -102,9 +102,9 @@ def of(select: str) -> str:
     return f"WITH {_DEMAND}{_schedule(DEFAULT)}{_WINDOWED} {select}"
 
 
-def sparse(select: str) -> str:
-    """Over the sparse schedule with naive quantiles on the reporting levels."""
-    return f"WITH {_DEMAND}{_schedule(SPARSE)}{_naive(REPORTING)} {select}"
+def reported(select: str) -> str:
+    """Over the default schedule with naive quantiles on the reporting levels."""
+    return f"WITH {_DEMAND}{_schedule(DEFAULT)}{_naive(REPORTING)} {select}"
 
 
 def full(select: str) -> str:
@@ -176,9 +176,10 @@ HOLIDAYS = "WITH " + _holidays(1995, 2026)
 _CALENDAR = """SELECT d.day, isodow(d.day) - 1 AS dow, isodow(d.day) >= 6 AS is_weekend, h.holiday, h.holiday IS NOT NULL AS is_holiday,
        d.day IN (SELECT observed FROM holidays) AS is_holiday_observed FROM days d LEFT JOIN holidays h ON h.day = d.day"""
 CALENDAR = of(f", {_holidays(1995, 2001)} {_CALENDAR}")
-DESIGN = sparse(f"""
-, {_NODES}, {_holidays(1995, 2001)}, calendar AS ({_CALENDAR}),
-anchors AS (SELECT node, level, a.origin_idx AS day_idx FROM ordered, origins a),
+DESIGN = of(f"""
+, {_NODES}, {_holidays(1995, 2001)}, ahead AS (SELECT (lo + CAST(i AS INTEGER)) AS day, CAST(i AS INTEGER) AS day_idx FROM bounds, generate_series(0, 20000) t(i) WHERE i < n_days + 14),
+calendar AS ({_CALENDAR.replace("FROM days d", "FROM ahead d")}),
+anchors AS (SELECT node, level, a.day_idx FROM ordered, days a WHERE a.day_idx >= 90),
 stepped AS (SELECT a.*, CAST(t.step AS INTEGER) AS step, CAST((t.step + 6) // 7 AS INTEGER) AS w FROM anchors a, generate_series(1, 14) t(step)),
 history AS (SELECT node, day_idx, value, list(value) OVER (PARTITION BY node ORDER BY day_idx ROWS BETWEEN 90 PRECEDING AND CURRENT ROW) AS h FROM panel)
 SELECT s.node, s.level, s.day_idx, CAST(s.day_idx + step AS INTEGER) AS target_idx, step, node_ord AS series,
@@ -188,7 +189,7 @@ SELECT s.node, s.level, s.day_idx, CAST(s.day_idx + step AS INTEGER) AS target_i
        round(list_avg(h[85:91]), 6) AS mean_7, round(list_avg(h[64:91]), 6) AS mean_28, round(list_avg(h), 6) AS mean_91,
        c.dow, dayofyear(c.day) AS day_of_year, c.is_holiday::INTEGER AS is_holiday, c.is_holiday_observed::INTEGER AS is_holiday_observed
 FROM stepped s JOIN history x ON x.node = s.node AND x.day_idx = s.day_idx JOIN ordered o ON o.node = s.node
-JOIN days d ON d.day_idx = s.day_idx + step JOIN calendar c ON c.day = d.day""")
+JOIN ahead d ON d.day_idx = s.day_idx + step JOIN calendar c ON c.day = d.day""")
 STAFFING = of("""
 , levels(service_level) AS (VALUES (0.8), (0.9), (0.95)), needs AS (
     SELECT origin, step, CAST(service_level AS DOUBLE) AS service_level, ceil(greatest(y, 0) / 10.0 - 1e-9) AS need,
