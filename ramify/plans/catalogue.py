@@ -438,14 +438,14 @@ def gbt(spark, folder):
     return found.join(s.actuals().drop("level"), ["origin", "node", "step"]).groupBy("model", "level").agg(F.avg(F.abs(F.col("y") - F.col("point"))).alias("mae"))
 
 
-#: Forecast origins half a year apart, for the slower models.
-YEARLY = Schedule(step=182)
+#: Forecast origins four weeks apart, for the statistical models.
+MONTHLY = Schedule(step=28)
 
 
 def _statistical(spark, folder, name: str) -> DataFrame:
-    s = bt.setup(spark, folder, YEARLY)
-    found = statistical.forecast(s.panel, s.origins, s.schedule, REPORTING, {name: statistical.MODELS[name]})
-    scored = scores.score_forecasts(found, s.actuals(), REPORTING, REPORTING, NOMINAL)
+    s = bt.setup(spark, folder, MONTHLY)
+    found = statistical.forecast(s.panel, s.origins, s.schedule, SCORING, {name: statistical.MODELS[name]})
+    scored = scores.score_forecasts(found, s.actuals(), SCORING, REPORTING, NOMINAL)
     return scored.groupBy("model", "level").agg(F.avg("crps").alias("crps"), F.avg(F.col("hits")[1].cast("int")).alias("coverage90"))
 
 

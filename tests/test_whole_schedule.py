@@ -25,3 +25,18 @@ def test_design_has_every_anchor_day(spark, data):
 def test_crps_by_level_is_the_flagship(spark, data):
     both = [{r["level"]: r["crps"] for r in catalogue.QUERIES[q](spark, data).collect()} for q in ("crps_by_level", "naive_backtest_crps")]
     assert both[0] == both[1]
+
+
+@pytest.mark.parametrize("name", ["ets", "theta", "mstl", "arima"])
+def test_statistical_models_have_four_weekly_origins_and_all_levels(spark, data, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def seen(panel, origins, schedule, levels, models):
+        raise Seen(origins.count(), tuple(levels), tuple(models))
+
+    monkeypatch.setattr(catalogue.statistical, "forecast", seen)
+    n = (bt.setup(spark, data).n_days - DEFAULT.min_train - DEFAULT.horizon) // 28 + 1
+    with pytest.raises(Seen) as caught:
+        catalogue.QUERIES[name](spark, data)
+    assert caught.value.args == (n, SCORING, (name,))
