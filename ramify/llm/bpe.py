@@ -6,7 +6,7 @@ been merged meanwhile. Decoding concatenates the vocabulary's byte strings.
 
 The encoder runs inside Arrow batches: Spark partitions the documents, no row
 depends on another, and nothing is shuffled. Every worker keeps the ids of the
-words it has met; that memory is bounded and refilled after it is cleared.
+words that it met last; that memory is bounded (about 60 MB for words of a text).
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import rows_of, small_batches, tokenizer_file
 
-#: Words whose ids one worker remembers before it starts anew.
-REMEMBERED_WORDS = 1_000_000
+#: Chunks between spaces whose ids one worker remembers, and pre-tokens of chunks that have several; at most twice as many are held.
+REMEMBERED_CHUNKS, REMEMBERED_WORDS = 1 << 17, 1 << 16
 #: Longer chunks are encoded but not remembered.
 REMEMBERED_LENGTH = 64
 
@@ -49,18 +49,22 @@ def byte_alphabet() -> list[str]:
 
 
 class _Memory(dict):
-    """Packed ids by text chunk, computed on first use, cleared when full."""
+    """Packed ids by text, computed on first use. A full memory becomes the old one, from which what is asked for again comes back."""
 
-    def __init__(self, compute, size: int = REMEMBERED_WORDS):
+    def __init__(self, compute, size: int):
         super().__init__()
-        self.compute, self.size = compute, size
+        self.compute, self.size, self.old = compute, size, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
-        if len(key) <= REMEMBERED_LENGTH:
-            if len(self) >= self.size:
-                self.clear()
-            self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > REMEMBERED_LENGTH:
+                return value
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
@@ -84,9 +88,8 @@ class BpeTokenizer:
         self.pieces |= {i: s.encode() for s, i in self.specials.items()}
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self._split = regex.compile(PATTERN).findall
-        self._words = _Memory(self._word)
-        self._chunks = _Memory(self._chunk)
-        self._spaced = _Memory(lambda chunk: self._chunk(" " + chunk))  # by the chunk without its space
+        self._words = _Memory(self._word, REMEMBERED_WORDS)
+        self._spaced = _Memory(lambda chunk: self._chunk(" " + chunk), REMEMBERED_CHUNKS)  # by the chunk without its space
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply the merges to the symbols of one word, lowest rank and leftmost first."""
@@ -121,8 +124,11 @@ class BpeTokenizer:
         return array("I", self.merge([ids[b] for b in word.encode("utf-8", "replace")])).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        found = self._split(chunk)
+        if len(found) == 1:  # remembered as a chunk
+            return self._word(found[0])
         words = self._words
-        return b"".join([words[w] for w in self._split(chunk)])
+        return b"".join([words[w] for w in found])
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text without special tokens.
@@ -132,10 +138,10 @@ class BpeTokenizer:
         """
         first, *rest = text.split(" ")
         if not rest:
-            return self._chunks[first] if first else b""
+            return self._chunk(first) if first else b""
         if not first or not rest[-1] or _SPACE_RUN(text):
             return self._chunk(text)
-        return self._chunks[first] + b"".join(map(self._spaced.__getitem__, rest))
+        return self._chunk(first) + b"".join(map(self._spaced.__getitem__, rest))
 
     def encode_packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
