@@ -19,14 +19,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "
     """``text, label`` of about ``rows`` labelled documents at most that aren't held out.
 
     The sampled labels are bounded by ``rows``, so they may be broadcast to the
-    documents, which needs no shuffle of texts. Null labels and ids are left out.
+    documents, which needs no shuffle of texts. Null labels and ids are left out,
+    and so are ids that are labelled both ways.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).filter(
         F.col("k").isNotNull() & F.col("label").isin(0, 1) & ~held_out("k")
     )
     share = min(1.0, rows / max(known.count(), 1))
     grid = 1 << 20
-    chosen = known.filter(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(grid)) < F.lit(int(share * grid))).dropDuplicates(["k"])
+    sampled = known.filter(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(grid)) < F.lit(int(share * grid)))
+    chosen = sampled.groupBy("k").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
     return docs.select(F.col(key).alias("k"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "k").select("text", "label")
 
 

@@ -16,9 +16,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -105,7 +107,11 @@ class Scorer:
                 cancelled.append((start, end))
         if not hits:
             return 0.0, 0.0
-        found = sum(w for at, w in hits.items() if not any(a <= at <= b for a, b in cancelled))
+        if cancelled:
+            starts, ends = zip(*sorted(cancelled), strict=True)
+            reach = list(accumulate(ends, max))
+            hits = {at: w for at, w in hits.items() if not (k := bisect_right(starts, at)) or reach[k - 1] < at}
+        found = sum(hits.values())
         return math.log1p(found), math.log1p(100 * found / (text.count(" ") + text.count("\n") + 1))
 
     def score(self, text: str) -> float:
@@ -203,21 +209,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT
         .limit(MOST_CANDIDATES)
         .collect()
     )
-    terms = {r["term"] for r in candidates}
+    place = {r["term"]: k for k, r in enumerate(candidates)}
 
     def find(batches):
         for texts, ids in rows_of(batches, "text", "id"):
-            pairs = [(t, i) for x, i in zip(texts, ids, strict=True) for t in _stems(x) & terms]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int64())], names=["term", "id"])
-
-    number: dict[int, int] = {}
-    texts: dict[str, list[int]] = defaultdict(list)
-    for r in sample.filter("label = 1").select("text", "id").mapInArrow(find, "term string, id bigint").orderBy("id", "term").collect():
-        texts[r["term"]].append(number.setdefault(r["id"], len(number)))
-    choice = _Choice(
-        {t: np.array(x) for t, x in texts.items()}, {r["term"]: r["clean"] for r in candidates}, np.ones(len(number))
-    )
-    weights = tuple(choice.run(odds, bound=math.log(max(len(terms), 1)) + 1))
+            bits = np.zeros((len(texts), len(place)), bool)
+            for row, x in zip(bits, texts, strict=True):
+                row[[place[t] for t in _stems(x) & place.keys()]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())], names=["id", "bits"])
+
+    # a bit for each candidate and toxic text of the sample: MOST_CANDIDATES * rows / 8 bytes at most
+    toxic = sample.filter("label = 1").select("text", "id").mapInArrow(find, "id bigint, bits binary").orderBy("id").collect() if place else []
+    held = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in toxic), np.uint8).reshape(len(toxic), -1), axis=1) if toxic else np.zeros((0, 0), np.uint8)
+    choice = _Choice({t: np.flatnonzero(held[:, k]) for t, k in place.items()}, {r["term"]: r["clean"] for r in candidates}, np.ones(len(toxic)))
+    weights = tuple(choice.run(odds, bound=math.log(max(len(place), 1)) + 1))
     lexicon = ToxicityModel(weights)
 
     def measure(batches):
