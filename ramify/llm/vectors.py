@@ -17,10 +17,16 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def element_type(df: DataFrame, vector: str) -> str:
+    """The type in which components are kept: float stays float, everything else becomes double."""
+    return "float" if df.schema[vector].dataType.elementType.simpleString() == "float" else "double"
+
+
 def valid(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id, vec array<double>`` of the rows that take part; negative zeros become zeros, so that equal vectors are equal keys."""
+    """``id, vec`` of the rows that take part; negative zeros become zeros, so that equal vectors are equal keys."""
     rows = df.filter(F.col(key).isNotNull() & usable(F.col(vector)))
-    return rows.select(F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda x: x.cast("double") + F.lit(0.0)).alias("vec"))
+    kind = element_type(df, vector)
+    return rows.select(F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda x: x.cast(kind) + F.lit(0.0).cast(kind)).alias("vec"))
 
 
 def matrix(column) -> np.ndarray:
