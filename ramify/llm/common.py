@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Most bytes that Spark puts into one Arrow batch for a Python worker.
 BATCH_BYTES = 16 << 20
 #: Most rows in one Arrow batch: very long texts must not meet by the thousand.
 BATCH_ROWS = 2000
+#: Bits of the tables of wanted keys: at most 2**18 rows of 64 bits are broadcast, whatever the input.
+BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +34,15 @@ def small_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The session's folder under ``spark.checkpoint.dir``, which all executors see.
 
-    Only where no folder is set, as in tests on one machine, a temporary one is used.
+    Only where no folder is set and driver and executors are one process, as in
+    tests, a temporary one is used; a cluster without one is refused.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -51,6 +59,36 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "node") -> DataFrame:
+    """The rows, written as a table, with a number for each that stays the same from then on."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def maybe_wanted(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """The rows whose ``on`` may be one of ``wanted``: all that are, and few others while the bit table is sparse.
+
+    Spares the shuffle of rows that have no partner in the join after it, which
+    stays exact. The table's size is fixed; a full one lets every row through.
+    """
+    word, bit, table = _bit_table(wanted, on)
+    met = rows.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(table), "__word")
+    return met.filter(F.bit_get("__bits", "__bit") == 1).select(*rows.columns)
+
+
+def maybe_wanted_mark(rows: DataFrame, wanted: DataFrame, on: str, mark: str) -> DataFrame:
+    """All rows with ``mark``: false where ``on`` is none of ``wanted`` for certain."""
+    word, bit, table = _bit_table(wanted, on)
+    met = rows.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(table), "__word", "left")
+    return met.withColumn(mark, F.coalesce(F.bit_get("__bits", "__bit") == 1, F.lit(False))).select(*rows.columns, mark)
+
+
+def _bit_table(wanted: DataFrame, on: str) -> tuple[Column, Column, DataFrame]:
+    spot = F.pmod(F.xxhash64(on), F.lit(BITS))
+    word, bit = F.floor(spot / 64).cast("bigint"), (spot % 64).cast("int")
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
+    return word, bit, wanted.groupBy(word.alias("__word")).agg(bits.alias("__bits"))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

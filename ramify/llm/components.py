@@ -1,7 +1,8 @@
 """Connected components of link tables by alternating large-star and small-star steps.
 
 Every step is a grouped minimum and a join, so a component of any size is spread
-over all tasks; nothing is gathered on the driver.
+over all tasks; nothing is gathered on the driver. Partitions follow the number
+of links: what one of them holds needs no shuffle.
 """
 
 from __future__ import annotations
@@ -13,19 +14,23 @@ from .common import checkpointed
 
 #: Steps after which the search gives up with an error; they grow with the log of the longest chain.
 MOST_STEPS = 60
+#: Links that one partition holds.
+PARTITION_LINKS = 1 << 16
+
+
+def _pairs(links: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Rows (a, b) of the named columns; unlike a union it keeps the partitions."""
+    each = F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs))
+    return links.select(F.explode(each).alias("p")).select("p.a", "p.b")
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One star step on links (a, b) with a > b."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = both if large else links
+    around = _pairs(links, ("a", "b"), ("b", "a")) if large else links
     least = around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
     joined = around.join(least, "a")
-    if large:
-        moved = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return moved.filter(F.col("a") > F.col("b")).distinct()
+    moved = _pairs(joined.filter("b > a"), ("b", "m")) if large else _pairs(joined, ("b", "m"), ("a", "m"))
+    return moved.filter("a > b").distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -41,10 +46,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = None
     for _ in range(MOST_STEPS):
         seen = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
+        now = now.coalesce(1) if seen[0] <= PARTITION_LINKS else now
         if not seen[0] or seen == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
+            return _pairs(now, ("a", "b"), ("b", "b")).distinct().select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = seen
         now = checkpointed(_star(_star(now, large=True), large=False))
     raise RuntimeError(f"components did not settle in {MOST_STEPS} steps")

@@ -28,14 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, rows_of, small_batches, written
+from .common import checkpointed, maybe_wanted, rows_of, small_batches, written
 
 #: Shorter lines, after folding, are never removed.
 MIN_CHARS = 20
 #: Pieces of a line; one edit leaves all but one of them.
 PIECES = 3
-#: Bits of the tables of wanted ids and keys: at most 2**18 rows of 64 bits are broadcast, whatever the input.
-BITS = 1 << 24
 
 _SPACES = re.compile(r"[ \t\r\x0b\f]+")
 
@@ -111,19 +109,6 @@ def _classes(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     return docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("x")).mapInArrow(run, schema)
 
 
-def _maybe_wanted(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
-    """The rows whose ``on`` may be one of ``wanted``: all that are, and few others while the bit table is sparse.
-
-    Spares the shuffle of rows that have no partner in the join after it, which
-    stays exact. The table's size is fixed; a full one lets every row through.
-    """
-    spot = F.pmod(F.xxhash64(on), F.lit(BITS))
-    word, bit = F.floor(spot / 64).cast("bigint"), (spot % 64).cast("int")
-    table = wanted.groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("__bits"))
-    met = rows.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(table), "__word")
-    return met.filter(F.bit_get("__bits", "__bit") == 1).select(*rows.columns)
-
-
 def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """``h, pieces, doc, line_no, line`` for wanted lines ``doc, hs: array<struct<h, keys>>``; pieces are those whose keys are wanted."""
 
@@ -146,7 +131,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame
 
     wanted = checkpointed(wanted)
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("x"))
-    return _maybe_wanted(rows, wanted, "doc").join(wanted, "doc").mapInArrow(run, "h bigint, pieces array<int>, doc bigint, line_no bigint, line string").dropDuplicates(["h"])
+    return maybe_wanted(rows, wanted, "doc").join(wanted, "doc").mapInArrow(run, "h bigint, pieces array<int>, doc bigint, line_no bigint, line string").dropDuplicates(["h"])
 
 
 def _near(lines: DataFrame) -> DataFrame:
@@ -200,7 +185,7 @@ def dedup_lines(
         gone = classes.filter("n > 1").select("h", "first")
         exploded = classes.select("h", F.explode(F.array(*names)).alias("k"))
         shared = checkpointed(exploded.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"))
-        few = _maybe_wanted(exploded, shared, "k").join(shared, "k").groupBy("h").agg(F.collect_set("k").alias("keys"))
+        few = maybe_wanted(exploded, shared, "k").join(shared, "k").groupBy("h").agg(F.collect_set("k").alias("keys"))
         wanted = few.join(classes.select("h", F.col("first").alias("doc")), "h").groupBy("doc").agg(F.collect_list(F.struct("h", "keys")).alias("hs"))
         near = _near(checkpointed(_texts(docs, wanted, key, text)))
         gone = gone.join(near.withColumn("near", F.lit(True)), "h", "full").select("h", F.when(F.col("near"), None).otherwise(F.col("first")).alias("first"))

@@ -29,12 +29,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import checkpointed, rows_of, small_batches
+from .common import checkpointed, maybe_wanted, maybe_wanted_mark, numbered, rows_of, small_batches, written
 from .components import components
 
 #: Rows of a bucket that meet in one task; larger buckets are cut into chunks of so many.
 CHUNK = 2048
+#: So many large buckets, of 12 bytes each, may be broadcast.
+FEW_BUCKETS = 1 << 16
 #: Comparisons of one fingerprint with 64 others that run side by side in numpy.
 SIDE_BY_SIDE = 1 << 16
 #: Comparisons whose hits are listed at a time: dense groups link all of their pairs.
@@ -309,14 +312,16 @@ def _compare_buckets(radius: int, words: int):
 
 
 def chunked(rows: DataFrame, chunk: int = CHUNK, weight: Column | None = None) -> DataFrame:
-    """Rows (``bucket``, ``rep``, more) with ``part`` and ``side``, for every bucket of two rows or more.
+    """Rows (``bucket``, ``rep``, more) with ``part`` and ``side``.
 
     A bucket of over ``chunk`` rows, or of rows that weigh more, is dealt by hash into chunks; each
-    chunk meets itself (side 2) and each other one (sides 0 and 1), in parts of their own.
+    chunk meets itself (side 2) and each other one (sides 0 and 1), in parts of their own. The
+    others are one part. Where the large buckets are few they are broadcast, and the rows aren't shuffled here.
     """
     heavy = F.count("*") if weight is None else F.sum(weight)
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.least(F.count("*"), F.ceil(heavy / F.lit(chunk))).cast("int").alias("chunks")).filter("n > 1")
-    split = rows.join(sizes, "bucket")
+    sizes = rows.groupBy("bucket").agg(F.least(F.count("*"), F.ceil(heavy / F.lit(chunk))).cast("int").alias("chunks"))
+    large = checkpointed(sizes.filter("chunks > 1"))
+    split = rows.join(F.broadcast(large) if large.count() <= FEW_BUCKETS else large, "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("rep", "bucket"), F.col("chunks")).cast("int")
     meets = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
@@ -325,7 +330,7 @@ def chunked(rows: DataFrame, chunk: int = CHUNK, weight: Column | None = None) -
         .withColumn("other", F.explode(meets))
         .withColumn("part", (lo * F.col("chunks") + hi).cast("bigint"))
         .withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("bigint"))
-        .drop("n", "chunks", "own", "other")
+        .drop("chunks", "own", "other")
     )
 
 
@@ -337,23 +342,35 @@ def linked(classes: DataFrame, settings: SimHashSettings, n_classes: int) -> Dat
     return rows.mapInArrow(_compare_buckets(settings.radius, settings.words), "a bigint, b bigint").distinct()
 
 
+def lowest(classes: DataFrame, groups: DataFrame, value: str) -> DataFrame:
+    """``node`` and the least ``value`` of its component, for the linked nodes of ``classes`` (``node``, ``value``)."""
+    least = groups.join(classes.select("node", value), "node").groupBy("component").agg(F.min(value).alias(value))
+    return groups.join(least, "component").select("node", value)
+
+
 def near_duplicates(docs: DataFrame, settings: SimHashSettings = EXACT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, fp, component_id`` of every row of ``docs``.
 
     ``component_id`` is the smallest id that links reach, the row's own included.
     Rows with equal fingerprints, exact copies and texts without words among them,
     are linked. Repeated rows give repeated results; an empty table gives none. A
-    row whose id is null takes part by its text and gets the group's smallest id.
+    row whose id is null takes part by its text and gets the group's smallest id,
+    which is null only where no row of the group has an id.
     """
-    prints = checkpointed(fingerprints(docs, settings, key, text))
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("rep")).filter("rep is not null"))
-    groups = components(linked(classes, settings, classes.count()))
-    named = classes.join(groups, classes.rep == groups.node, "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
+    prints = written(fingerprints(docs, settings, key, text))
+    classes = numbered(prints.groupBy("fp").agg(F.min("id").alias("low")))
+    groups = components(linked(classes.select(F.col("node").alias("rep"), "fp"), settings, classes.count()))
+    lows = lowest(classes, groups, "low").withColumnRenamed("low", "lower")
+    named = classes.join(lows, "node", "left").select("fp", F.least("low", "lower").alias("component_id"))
     return prints.join(named, "fp", "left").select("id", "fp", "component_id")
 
 
+def row_key(key: Column, text: Column) -> Column:
+    """16 bytes that stand for a row's id and text, nulls included."""
+    told = F.concat(F.coalesce(key.cast("string"), F.lit("-")), F.when(text.isNull(), "-").otherwise("+"), F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(told))
+
+
 def shingle_set(text: str | None, settings: SimHashSettings) -> np.ndarray:
     """The distinct shingle hashes of a text, in order."""
     return np.unique(shingle_hashes(text, settings.shingle, settings.seed))
@@ -363,20 +380,23 @@ def _set_of(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def set_prints(docs: DataFrame, settings: SimHashSettings) -> DataFrame:
-    """``id, fp, shingles, same`` of every row ``id, x``: the fingerprint, size and digest of its shingle set."""
-    small_batches(docs.sparkSession)
+def set_prints(rows: DataFrame, settings: SimHashSettings) -> DataFrame:
+    """``k, id, fp, shingles, same`` of every row ``k, id, x``: the fingerprint, size and digest of its shingle set."""
+    small_batches(rows.sparkSession)
 
     def run(batches):
-        for ids, texts in rows_of(batches, "id", "x"):
-            sets = [shingle_set(x, settings) for x in texts]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+            sets = [shingle_set(x, settings) for x in column("x").to_pylist()]
             fps = [fingerprint(s, settings.words).view(np.int64).tolist() for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_of(s) for s in sets], pa.binary())],
-                names=["id", "fp", "shingles", "same"],
+                [column("k"), column("id"), pa.array(fps, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_of(s) for s in sets], pa.binary())],
+                names=["k", "id", "fp", "shingles", "same"],
             )
 
-    return docs.mapInArrow(run, "id bigint, fp array<bigint>, shingles bigint, same binary")
+    return rows.mapInArrow(run, "k binary, id bigint, fp array<bigint>, shingles bigint, same binary")
 
 
 def similar_links(sets: list[np.ndarray], side: list[int], similarity: float) -> list[tuple[int, int]]:
@@ -439,40 +459,64 @@ def _verify(similarity: float):
     return run
 
 
-def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, settings: SimHashSettings) -> DataFrame:
+def verified(rows: DataFrame, classes: DataFrame, groups: DataFrame, settings: SimHashSettings) -> DataFrame:
     """Links (a, b) between classes of one candidate group whose shingle sets are similar enough.
 
-    The sets come from the whole texts of the classes' first rows. A large group
-    is cut into chunks, and every pair of chunks is a task of its own.
+    The sets come from the whole text of one row of each class. A large group is
+    cut into chunks, and every pair of chunks is a task of its own.
     """
-    small_batches(docs.sparkSession)
-    members = classes.join(groups, classes.rep == groups.node).select("rep", "same", "shingles", F.col("component").alias("bucket"))
-    parts = chunked(members, VERIFIED_SHINGLES, F.greatest("shingles", F.lit(LEAST_SHINGLES))).select("rep", "same", "bucket", "part", "side")
+    small_batches(rows.sparkSession)
+    members = checkpointed(classes.join(groups, "node").select(F.col("node").alias("rep"), "k", "shingles", F.col("component").alias("bucket")))
+    parts = chunked(members.drop("k"), VERIFIED_SHINGLES, F.greatest("shingles", F.lit(LEAST_SHINGLES))).select("rep", "bucket", "part", "side")
 
     def run(batches):
-        for ids, texts in rows_of(batches, "id", "x"):
+        for reps, texts in rows_of(batches, "rep", "x"):
             sets = [shingle_set(x, settings) for x in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([_set_of(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["rep", "same", "hashes"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "hashes"])
 
-    wanted = docs.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    sets = wanted.mapInArrow(run, "rep bigint, same binary, hashes array<bigint>")
-    rows = parts.join(sets, ["rep", "same"]).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return rows.select("bucket", "part", "side", "rep", "hashes").mapInArrow(_verify(settings.similarity), "a bigint, b bigint").distinct()
+    wanted = members.select("k", "rep")
+    texts = maybe_wanted(rows.select("k", "x"), wanted, "k").join(wanted, "k").dropDuplicates(["rep"])
+    sets = texts.select("rep", "x").mapInArrow(run, "rep bigint, hashes array<bigint>")
+    met = parts.join(sets, "rep").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    return met.select("bucket", "part", "side", "rep", "hashes").mapInArrow(_verify(settings.similarity), "a bigint, b bigint").distinct()
 
 
-def similar_documents(docs: DataFrame, settings: SimHashSettings = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, component_id`` of every row of ``docs``, linked where shingle sets reach the similarity of the settings.
+def similar_rows(docs: DataFrame, settings: SimHashSettings = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``k, id, group`` of the rows that have a near duplicate, repeats of one row included; ``k`` as ``row_key``.
 
     Fingerprints choose the candidates and whole shingle sets decide. Texts with equal
-    sets, those without words among them, are linked. Else as ``near_duplicates``.
+    sets, those without words among them, are linked.
     """
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("x"))
-    prints = checkpointed(set_prints(rows, settings))
-    classes = checkpointed(prints.groupBy("same", "shingles", "fp").agg(F.min("id").alias("rep")).filter("rep is not null"))
-    groups = components(linked(classes.select("rep", "fp"), settings, classes.count()))
+    rows = docs.select(row_key(F.col(key), F.col(text)).alias("k"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("x"))
+    prints = written(set_prints(rows, settings))
+    classes = numbered(prints.groupBy("same", "shingles", "fp").agg(F.min("k").alias("k"), F.count("*").alias("n")))
+    groups = components(linked(classes.select(F.col("node").alias("rep"), "fp"), settings, classes.count()))
     found = components(verified(rows, classes, groups, settings))
-    named = classes.join(found, classes.rep == found.node, "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "same", "left").select("id", "component_id")
+    named = classes.join(found, "node", "left").filter((F.col("n") > 1) | F.col("component").isNotNull())
+    return prints.select("k", "id", "same").join(named.select("same", F.coalesce("component", "node").alias("group")), "same").select("k", "id", "group")
+
+
+def similar_documents(docs: DataFrame, settings: SimHashSettings = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, component_id`` of the rows of ``docs`` that have a near duplicate: the smallest id of each group of them. Else as ``near_duplicates``."""
+    rows = checkpointed(similar_rows(docs, settings, key, text))
+    least = rows.groupBy("group").agg(F.min("id").alias("component_id"))
+    return rows.join(least, "group").select("id", "component_id")
+
+
+def one_of_each(docs: DataFrame, settings: SimHashSettings = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the smallest id, null last, and of rows with one id the least ``row_key``.
+
+    All columns stay. Rows are told apart by id and text, so a row whose id is also
+    that of a removed one stays. Only rows that may go or be repeated are shuffled.
+    """
+    rows = checkpointed(similar_rows(docs, settings, key, text))
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "k")).alias("first"))
+    each = rows.groupBy("k", "group").agg(F.count("*").alias("n")).join(first, "group")
+    touched = checkpointed(each.select("k", (F.col("k") == F.col("first.k")).alias("stays"), "n").filter("n > 1 or not stays"))
+    columns = docs.columns
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), row_key(F.col(key), F.col(text)).alias("k"))
+    marked = maybe_wanted_mark(keyed, touched, "k", "maybe")
+    met = marked.filter("maybe").join(touched.select("k", "stays"), "k", "left").filter("coalesce(stays, true)")
+    place = F.row_number().over(Window.partitionBy("k").orderBy("stays"))
+    once = met.withColumn("place", F.when(F.col("stays"), place).otherwise(1)).filter("place = 1")
+    return marked.filter("not maybe").select("row.*").unionByName(once.select("row.*"))

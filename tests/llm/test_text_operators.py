@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from ramify.llm import bpe, html_extract, linededup, packing, quality, simhash, toxicity, urlfilter
+from ramify.llm import bpe, common, html_extract, linededup, packing, quality, simhash, toxicity, urlfilter
 from ramify.llm.common import tokenizer_file
 from ramify.llm.components import components
 from tokenizers import Tokenizer
@@ -140,7 +140,7 @@ def test_large_buckets_are_cut_into_chunks_without_loss(spark, monkeypatch):
     met = set()
     parts = defaultdict(list)
     for r in got:
-        parts[r["part"]].append(r)
+        parts[r["bucket"], r["part"]].append(r)
     for own in parts.values():
         met |= {(a["rep"], b["rep"]) for a in own for b in own if (a["side"], b["side"]) in ((2, 2), (0, 1)) and a["rep"] != b["rep"]}
     assert {tuple(sorted(p)) for p in met} == {(a, b) for a in range(50) for b in range(a + 1, 50)}
@@ -199,10 +199,10 @@ def test_bit_table_lets_all_wanted_rows_through(spark, monkeypatch):
     rows = spark.range(-500, 500).select(F.col("id").alias("doc"), F.lit("x").alias("text"))
     wanted = spark.createDataFrame([(i,) for i in range(-500, 500, 7)], "doc bigint")
     for bits in (64, 1 << 24):
-        monkeypatch.setattr(linededup, "BITS", bits)
-        got = linededup._maybe_wanted(rows, wanted, "doc")
+        monkeypatch.setattr(common, "BITS", bits)
+        got = common.maybe_wanted(rows, wanted, "doc")
         assert got.columns == ["doc", "text"] and got.join(wanted, "doc").count() == wanted.count() <= got.count()
-    assert got.count() == wanted.count() and linededup._maybe_wanted(rows, wanted.limit(0), "doc").count() == 0
+    assert got.count() == wanted.count() and common.maybe_wanted(rows, wanted.limit(0), "doc").count() == 0
 
 
 PAGE = """<html><head><title>t</title><script>var a = "<p>no</p>";</script></head><body class="has-sidebar"><header>Site</header><nav><a href=x>menu</a></nav>
