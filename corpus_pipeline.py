@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramify.llm import linededup, packing, quality, simhash, toxicity
-from ramify.llm.common import table
+from ramify.llm.common import shared_folder, table
 
 #: Fixed value: the columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,16 +37,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates (five words, similarity 0.8).
+    """Keep one document of each group of near duplicates (five words, similarity 0.8): the one with the smallest id.
 
     SimHash finds the candidates, and the similarity of whole shingle sets decides.
-    Documents without an id are kept. Rows that repeat one id leave one row.
+    Documents without an id come last in their group. Repeated rows leave one row;
+    rows that share an id and not their text are told apart.
     """
-    groups = simhash.similar_documents(docs.select("doc_id", "text"), simhash.SIMILAR)
-    losers = groups.filter(F.col("id").isNotNull() & (F.col("id") != F.col("component_id"))).select(F.col("id").alias("doc_id")).distinct()
-    rest = docs.join(losers, "doc_id", "left_anti")
-    known = rest.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return known.unionByName(rest.filter(F.col("doc_id").isNull())).select(*COLUMNS)
+    return simhash.one_of_each(docs, simhash.SIMILAR).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, writing each result to the folder that the cluster shares."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="pipeline-")
+    base = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
