@@ -4,8 +4,8 @@ A line counts as repeated when an earlier line, by document id and line number,
 is equal to it or one edit away, after case and white space are folded. Lines
 under ``min_chars`` characters always stay.
 
-1. Lines travel as hashes only. Equal lines are one class; its earliest document
-   keeps it.
+1. Lines travel as 128-bit hashes only. Equal lines are one class; its earliest
+   document keeps it.
 2. One edit changes one of three pieces of a line, so lines can only be neighbours
    if they share a key made from the other two. Classes without a shared key leave
    here; only the others' texts are fetched.
@@ -34,6 +34,8 @@ from .common import checkpointed, maybe_wanted, rows_of, small_batches, written
 MIN_CHARS = 20
 #: Pieces of a line; one edit leaves all but one of them.
 PIECES = 3
+#: Variants of lines that one batch holds, and those of one line more.
+VARIANTS = 1 << 15
 
 _SPACES = re.compile(r"[ \t\r\x0b\f]+")
 
@@ -49,6 +51,11 @@ def digest(data: str, seed: int = 0) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def line_key(line: str) -> bytes:
+    """The 128-bit hash that stands for a folded line: among 10**12 lines two share one with a chance of 10**-15."""
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "replace"))
+
+
 def piece_keys(line: str) -> list[int]:
     """Keys shared with every line one edit away, by piece and by the shorter one's length (own - 1, own)."""
     n, out = len(line), []
@@ -95,17 +102,17 @@ def _classes(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
                 seen = set()
                 for line in (x or "").split("\n"):
                     folded = fold(line)
-                    if len(folded) >= min_chars and (h := digest(folded)) not in seen:
+                    if len(folded) >= min_chars and (h := line_key(folded)) not in seen:
                         seen.add(h)
                         out[0].append(doc)
                         out[1].append(h)
                         out[2].append(piece_keys(folded))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array([k[i] for k in out[2]], pa.int64()) for i in range(2 * PIECES))],
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), *(pa.array([k[i] for k in out[2]], pa.int64()) for i in range(2 * PIECES))],
                 names=["doc", "h", *(f"k{i}" for i in range(2 * PIECES))],
             )
 
-    schema = "doc bigint, h bigint, " + ", ".join(f"k{i} bigint" for i in range(2 * PIECES))
+    schema = "doc bigint, h binary, " + ", ".join(f"k{i} bigint" for i in range(2 * PIECES))
     return docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("x")).mapInArrow(run, schema)
 
 
@@ -119,19 +126,19 @@ def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame
                 left = {w["h"]: set(w["keys"]) for w in hs}
                 for k, line in enumerate((x or "").split("\n")):
                     folded = fold(line)
-                    shared = left.pop(digest(folded), None) if left else None
+                    shared = left.pop(line_key(folded), None) if left else None
                     if shared is not None:
                         pieces = [p for p, key in enumerate(piece_keys(folded)) if key in shared]
-                        for column, value in zip(out, (digest(folded), pieces, doc, k, folded), strict=True):
+                        for column, value in zip(out, (line_key(folded), pieces, doc, k, folded), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.string())],
+                [pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.string())],
                 names=["h", "pieces", "doc", "line_no", "line"],
             )
 
     wanted = checkpointed(wanted)
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("x"))
-    return maybe_wanted(rows, wanted, "doc").join(wanted, "doc").mapInArrow(run, "h bigint, pieces array<int>, doc bigint, line_no bigint, line string").dropDuplicates(["h"])
+    return maybe_wanted(rows, wanted, "doc").join(wanted, "doc").mapInArrow(run, "h binary, pieces array<int>, doc bigint, line_no bigint, line string").dropDuplicates(["h"])
 
 
 def _near(lines: DataFrame) -> DataFrame:
@@ -139,17 +146,20 @@ def _near(lines: DataFrame) -> DataFrame:
 
     def run(batches):
         for hs, pieces, docs, numbers, texts in rows_of(batches, "h", "pieces", "doc", "line_no", "line"):
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: list[tuple] = []
             for h, own, doc, number, line in zip(hs, pieces, docs, numbers, texts, strict=True):
-                for k, kind in neighbourhood(line, set(own)):
-                    for column, value in zip(out, (k, kind, h, doc, number, line), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())],
-                names=["variant", "kind", "h", "doc", "line_no"],
-            )
-
-    variants = checkpointed(lines.mapInArrow(run, "variant bigint, kind int, h bigint, doc bigint, line_no bigint"))
+                out += [(k, kind, h, doc, number) for k, kind in neighbourhood(line, set(own))]
+                if len(out) >= VARIANTS:
+                    yield rows(out)
+                    out = []
+            if out:
+                yield rows(out)
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["variant", "kind", "h", "doc", "line_no"])
+
+    variants = checkpointed(lines.mapInArrow(run, "variant bigint, kind int, h binary, doc bigint, line_no bigint"))
     place = F.struct("doc", "line_no", "h")
     # substitutions: every line of a group is one edit from the group's earliest
     same = variants.filter("kind = 2").groupBy("variant").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -191,7 +201,7 @@ def dedup_lines(
         gone = gone.join(near.withColumn("near", F.lit(True)), "h", "full").select("h", F.when(F.col("near"), None).otherwise(F.col("first")).alias("first"))
     dropped = (
         lines.select("doc", "h").join(gone, "h").filter(F.col("first").isNull() | (F.col("doc") != F.col("first")))
-        .groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("h").alias("__gone"))
+        .groupBy("doc").agg(F.collect_set("h").alias("gone"))
     )
 
     @F.arrow_udf("struct<text: string, removed: long>")
@@ -205,7 +215,7 @@ def dedup_lines(
             for line in x.split("\n"):
                 folded = fold(line)
                 if len(folded) >= min_chars:
-                    h = digest(folded)
+                    h = line_key(folded)
                     if h in seen:
                         n += 1
                         continue
@@ -214,6 +224,7 @@ def dedup_lines(
             out.append({"text": "\n".join(kept), "removed": n})
         return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.int64())]))
 
-    columns = [F.col(c) if c != text else F.col("__new.text").alias(text) for c in docs.columns if c != removed]
-    joined = docs.join(dropped, F.col(key).cast("bigint") == F.col("__doc"), "left").withColumn("__new", without(F.col(text), F.col("__gone")))
-    return joined.select(*columns, *([F.col("__new.removed").alias(removed)] if removed else []))
+    columns = [F.col(f"row.`{c}`") if c != text else F.col("new.text").alias(text) for c in docs.columns if c != removed]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row"), F.col(key).cast("bigint").alias("doc"), F.col(text).alias("x"))
+    joined = rows.join(dropped, "doc", "left").select("row", without(F.col("x"), F.col("gone")).alias("new"))
+    return joined.select(*columns, *([F.col("new.removed").alias(removed)] if removed else []))
