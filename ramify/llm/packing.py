@@ -97,29 +97,32 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str
 def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Give every piece a sequence and an offset.
 
-    Rows need ``length``; all of their columns stay. Repeated rows are packed as
+    Rows need ``length``; all of their columns stay, but for a ``sequence_id`` or
+    ``offset`` that they had. Repeated rows are packed as
     often as they occur. An empty table gives an empty one. ``sequence_id`` is
     negative for a piece that fills its sequence.
     """
-    numbered = checkpointed(cut).withColumn("row", F.monotonically_increasing_id())
+    row, group = (next(n for k in range(len(cut.columns) + 1) if (n := f"{name}{k or ''}") not in cut.columns) for name in ("row", "group"))
+    numbered = checkpointed(cut).withColumn(row, F.monotonically_increasing_id())
     short = numbered.filter(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group_pieces))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "row"], ascending=[False, True], kind="stable")
+        rows = rows.sort_values(["length", row], ascending=[False, True], kind="stable")
         sequence, rows["offset"] = sum_of_squares(rows["length"].to_numpy(), capacity)
-        rows["sequence_id"] = rows["group"].to_numpy() << 32 | sequence
+        rows["sequence_id"] = rows[group].to_numpy() << 32 | sequence
         return rows[columns]
 
-    columns = [*cut.columns, "sequence_id", "offset"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id bigint, offset bigint"
+    kept = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    columns = [*kept, "sequence_id", "offset"]
+    schema = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in kept) + ", sequence_id bigint, offset bigint"
     packed = (
-        short.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-        .groupBy("group")
+        short.withColumn(group, F.pmod(F.xxhash64(row), F.lit(groups)))
+        .groupBy(group)
         .applyInPandas(run, schema)
     )
     alone = numbered.filter(F.col("length") >= capacity).select(
-        *cut.columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
+        *(F.col(f"`{c}`") for c in kept), (-1 - F.col(row)).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
     )
     return packed.unionByName(alone)
 
