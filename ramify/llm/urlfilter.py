@@ -171,10 +171,10 @@ def judge_urls(
     small_batches(spark)
     compiled = compile_rules(rules, listed_hosts)
     name = f"digests-{hashlib.sha256(compiled).hexdigest()[:24]}.bin"
-    path = os.path.join(tempfile.mkdtemp(), name)
-    with open(path, "wb") as file:
-        file.write(compiled)
     if name not in {os.path.basename(x) for x in spark.sparkContext.listFiles}:
+        path = os.path.join(tempfile.mkdtemp(), name)  # the driver's own copy, which Spark hands to every executor
+        with open(path, "wb") as file:
+            file.write(compiled)
         spark.sparkContext.addFile(path)
 
     def run(batches):
