@@ -25,12 +25,16 @@ LASSO = 8e-4
 GOOD_AT = 0.3
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text by name; a null text counts as empty, and every value is defined for it."""
+def parts(text: Column) -> dict[str, Column]:
+    """The text (empty for null), its words and its lines that aren't blank, which several statistics share."""
     t = F.coalesce(text, F.lit(""))
+    return {"text": t, "words": F.filter(F.split(t, r"\s+"), lambda w: w != ""), "lines": F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")}
+
+
+def statistics(part: dict[str, Column]) -> dict[str, Column]:
+    """Statistics of a text by name, from its ``parts``; every value is defined for an empty one."""
+    t, words, lines = part["text"], part["words"], part["lines"]
     chars = F.greatest(F.length(t), F.lit(1)).cast("double")
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
     n_words, n_lines = F.greatest(F.size(words), F.lit(1)).cast("double"), F.greatest(F.size(lines), F.lit(1)).cast("double")
 
     def share_of(signs: str) -> Column:
@@ -151,17 +155,19 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT_ROWS) -> QualityModel:
     """Learn from ``labels.quality`` of rows that aren't held out; only statistics of at most ``rows`` texts reach the driver."""
     sample = labelled_sample(docs, labels, "quality", key, rows)
-    values = statistics(F.col("text"))
-    seen = sample.select(*(c.alias(n) for n, c in values.items()), "label").toPandas()
+    values = statistics({n: F.col(n) for n in parts(F.col("text"))})
+    cut = sample.select("label", *(c.alias(n) for n, c in parts(F.col("text")).items()))
+    seen = cut.select(*(c.alias(n) for n, c in values.items()), "label").toPandas()
     names = list(values)
     return fit_rules(seen[names].to_numpy(float), seen["label"].to_numpy(float), names)
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", column: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score, from 0 to 1. A null text counts as empty; repeated rows stay."""
-    stats = statistics(F.col(text))
-    inner = docs.withColumn("__statistics", F.struct(*(c.alias(n) for n, c in stats.items())))
-    return inner.withColumn(column, model.score({n: F.col(f"__statistics.{n}") for n in stats})).drop("__statistics")
+    cut = {f"__{n}": c for n, c in parts(F.col(text)).items()}  # a projection of its own, so that a text is split once
+    stats = statistics({n.removeprefix("__"): F.col(n) for n in cut})
+    inner = docs.withColumns(cut).withColumn("__statistics", F.struct(*(c.alias(n) for n, c in stats.items())))
+    return inner.withColumn(column, model.score({n: F.col(f"__statistics.{n}") for n in stats})).drop("__statistics", *cut)
 
 
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
