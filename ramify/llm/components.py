@@ -18,18 +18,20 @@ MOST_STEPS = 60
 PARTITION_LINKS = 1 << 16
 
 
-def _pairs(links: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
-    """Rows (a, b) of the named columns; unlike a union it keeps the partitions."""
-    each = F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs))
-    return links.select(F.explode(each).alias("p")).select("p.a", "p.b")
+def _pairs(links: DataFrame, small: bool, *pairs: tuple[str, str]) -> DataFrame:
+    """Rows (a, b) of the named columns, in one partition where they are few."""
+    out = links.select(F.col(pairs[0][0]).alias("a"), F.col(pairs[0][1]).alias("b"))
+    for x, y in pairs[1:]:
+        out = out.union(links.select(F.col(x).alias("a"), F.col(y).alias("b")))
+    return out.coalesce(1) if small else out
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One star step on links (a, b) with a > b."""
-    around = _pairs(links, ("a", "b"), ("b", "a")) if large else links
+def _star(links: DataFrame, large: bool, small: bool) -> DataFrame:
+    """One star step on links (a, b) with a > b; ``small`` links are in one partition and stay there."""
+    around = _pairs(links, small, ("a", "b"), ("b", "a")) if large else links
     least = around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
     joined = around.join(least, "a")
-    moved = _pairs(joined.filter("b > a"), ("b", "m")) if large else _pairs(joined, ("b", "m"), ("a", "m"))
+    moved = _pairs(joined.filter("b > a"), small, ("b", "m")) if large else _pairs(joined, small, ("b", "m"), ("a", "m"))
     return moved.filter("a > b").distinct()
 
 
@@ -46,9 +48,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = None
     for _ in range(MOST_STEPS):
         seen = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
-        now = now.coalesce(1) if seen[0] <= PARTITION_LINKS else now
+        small = seen[0] <= PARTITION_LINKS
+        now = now.coalesce(1) if small else now
         if not seen[0] or seen == state:
-            return _pairs(now, ("a", "b"), ("b", "b")).distinct().select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return _pairs(now, small, ("a", "b"), ("b", "b")).distinct().select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = seen
-        now = checkpointed(_star(_star(now, large=True), large=False))
+        now = checkpointed(_star(_star(now, True, small), False, small))
     raise RuntimeError(f"components did not settle in {MOST_STEPS} steps")
