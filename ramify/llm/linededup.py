@@ -34,8 +34,8 @@ from .common import checkpointed, maybe_wanted, rows_of, small_batches, written
 MIN_CHARS = 20
 #: Pieces of a line; one edit leaves all but one of them.
 PIECES = 3
-#: Variants of lines that one batch holds, and those of one line more.
-VARIANTS = 1 << 15
+#: Lines that one batch of a worker's results holds; variants of lines, and those of one line more.
+LINES, VARIANTS = 1 << 13, 1 << 14
 
 _SPACES = re.compile(r"[ \t\r\x0b\f]+")
 
@@ -96,21 +96,25 @@ def _classes(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     """``doc, h, keys`` of every line that is long enough."""
 
     def run(batches):
+        out: list[tuple] = []
         for ids, texts in rows_of(batches, "doc", "x"):
-            out: tuple[list, ...] = ([], [], [])
             for doc, x in zip(ids, texts, strict=True):
                 seen = set()
                 for line in (x or "").split("\n"):
                     folded = fold(line)
                     if len(folded) >= min_chars and (h := line_key(folded)) not in seen:
                         seen.add(h)
-                        out[0].append(doc)
-                        out[1].append(h)
-                        out[2].append(piece_keys(folded))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), *(pa.array([k[i] for k in out[2]], pa.int64()) for i in range(2 * PIECES))],
-                names=["doc", "h", *(f"k{i}" for i in range(2 * PIECES))],
-            )
+                        out.append((doc, h, *piece_keys(folded)))
+                        if len(out) >= LINES:
+                            yield batch_of(out)
+                            out = []
+        if out:
+            yield batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.binary(), *[pa.int64()] * (2 * PIECES))
+        names = ["doc", "h", *(f"k{i}" for i in range(2 * PIECES))]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     schema = "doc bigint, h binary, " + ", ".join(f"k{i} bigint" for i in range(2 * PIECES))
     return docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("x")).mapInArrow(run, schema)
@@ -206,12 +210,14 @@ def dedup_lines(
 
     @F.arrow_udf("struct<text: string, removed: long>")
     def without(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        out = []
-        for x, own in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
+        out, removed = [], []
+        for at in range(len(texts)):
+            x = texts[at].as_py()
             if x is None:
-                out.append({"text": None, "removed": 0})
+                out.append(None)
+                removed.append(0)
                 continue
-            seen, kept, n = set(own or ()), [], 0
+            seen, kept, n = set(lists[at].as_py() or ()), [], 0
             for line in x.split("\n"):
                 folded = fold(line)
                 if len(folded) >= min_chars:
@@ -221,8 +227,9 @@ def dedup_lines(
                         continue
                     seen.add(h)
                 kept.append(line)
-            out.append({"text": "\n".join(kept), "removed": n})
-        return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.int64())]))
+            out.append("\n".join(kept))
+            removed.append(n)
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(removed, pa.int64())], names=["text", "removed"])
 
     columns = [F.col(f"row.`{c}`") if c != text else F.col("new.text").alias(text) for c in docs.columns if c != removed]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row"), F.col(key).cast("bigint").alias("doc"), F.col(text).alias("x"))
