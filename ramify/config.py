@@ -6,11 +6,13 @@ from dataclasses import dataclass
 
 #: Quantile levels that reports show.
 REPORTING = (0.01, 0.025, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.975, 0.99)
-#: Quantile levels that scores integrate over: 199 of them, evenly spaced from 0.005 to 0.995.
+#: Quantile levels that scores integrate over: 199 of them, evenly spaced from 0.005 to 0.995.
 SCORING = tuple(round(0.005 * k, 3) for k in range(1, 200))
-#: Nominal coverages of reported intervals.
+#: Nominal coverages of reported intervals.
 NOMINAL = (0.80, 0.90, 0.95)
-#: Levels of the hierarchy from the root to the leaves.
+#: Service levels between which a planner may choose, besides those of the inputs.
+SLIDER = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+#: Levels of the hierarchy from the root to the leaves.
 LEVELS = ("city", "borough", "area")
 ROOT = "ALL"
 SEASON = 7
@@ -20,7 +22,7 @@ SEASON = 7
 class Schedule:
     """Forecast origins: every ``step`` days once ``min_train`` days have passed, ``horizon`` days ahead each.
 
-    ``train_window`` limits the history a forecast sees; None lets it grow.
+    The defaults are fixed values. ``train_window`` limits the history a forecast sees; None lets it grow.
     """
 
     horizon: int = 14
@@ -85,3 +87,10 @@ def level_index(levels, wanted: float) -> int:
         if abs(q - wanted) < 1e-12:
             return k
     raise ValueError(f"level {wanted} is not on the grid")
+
+
+def check_level(name: str) -> str:
+    """The name of a level of the hierarchy; any other is refused."""
+    if name not in LEVELS:
+        raise ValueError(f"{name} is not a level; the levels are {', '.join(LEVELS)}")
+    return name

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,25 @@ RULED = (
     ("mlk", 1, 0, 3), ("washington", 2, 0, 3), ("memorial", 5, 0, -1), ("labor", 9, 0, 1), ("columbus", 10, 0, 2), ("thanksgiving", 11, 3, 4),
 )
 JUNETEENTH_FROM = 2021
+#: First days of the regimes that change demand.
+REGIMES = (("sandy", date(2012, 10, 29)), ("covid", date(2020, 3, 1)))
+
+
+def regimes(days: DataFrame, marks=REGIMES) -> DataFrame:
+    """``days`` (``day``) with ``regime``: the last regime that had begun, null before the first."""
+    require_dates(days, "day")
+    out = F.lit(None).cast("string")
+    for name, first in sorted(marks, key=lambda x: x[1]):
+        out = F.when(F.col("day") >= F.lit(first), F.lit(name)).otherwise(out)
+    return days.withColumn("regime", out)
+
+
+def require_dates(df: DataFrame, *columns: str) -> None:
+    """Raise unless the columns are whole days: a timestamp or a string is never narrowed silently."""
+    for name in columns:
+        kind = df.schema[name].dataType.simpleString()
+        if kind != "date":
+            raise TypeError(f"{name} must be a date, not {kind}")
 
 
 def nth_weekday(year: Column, month: int, weekday: int, n: int) -> Column:

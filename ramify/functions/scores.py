@@ -110,3 +110,11 @@ def worst_window(rows: DataFrame, value: str, window: int, keys: list[str], orde
     full = rolling(rows, value, window, keys, order).filter("rolling is not null")
     best = F.min(F.struct(F.col("rolling").alias("worst"), F.col(order))).alias("w")
     return full.groupBy(*keys).agg(best).select(*keys, f"w.{order}", "w.worst")
+
+
+def extent(rows: DataFrame, value: str, keys: list[str], order: str = "origin") -> DataFrame:
+    """``keys, mean, lowest, lowest_at, low, high`` of the finite values of a series; the lowest is the first of its size."""
+    own = rows.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    least = F.min(F.struct(F.col(value).alias("v"), F.col(order).alias("at"))).alias("w")
+    found = own.groupBy(*keys).agg(F.avg(value).alias("mean"), least, F.min(value).alias("low"), F.max(value).alias("high"))
+    return found.select(*keys, "mean", F.col("w.v").alias("lowest"), F.col("w.at").alias("lowest_at"), "low", "high")

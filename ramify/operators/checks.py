@@ -39,9 +39,13 @@ def calendar(counts: DataFrame) -> DataFrame:
     return bounds(counts).select(F.explode(F.sequence("lo", "hi")).alias("day"))
 
 
-def missing_days(counts: DataFrame) -> DataFrame:
-    """Days inside the record on which there is no row at all."""
-    return calendar(counts).join(counts.select("day").distinct(), "day", "left_anti")
+def missing_days(counts: DataFrame, *keys: str) -> DataFrame:
+    """``keys, day``: days inside the record on which there is no row at all, or none of a key."""
+    if not keys:
+        return calendar(counts).join(counts.select("day").distinct(), "day", "left_anti")
+    span = bounds(counts).select(F.sequence("lo", "hi").alias("days"))
+    wanted = counts.select(*keys).distinct().join(F.broadcast(span)).select(*keys, F.explode("days").alias("day"))
+    return wanted.join(counts.select(*keys, "day").distinct(), [*keys, "day"], "left_anti")
 
 
 def coverage(counts: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import check_levels
+from ..config import SLIDER, Schedule, check_levels
+from . import naive
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,11 @@ class DecisionInputs:
         """Service levels with the one that the costs imply."""
         return sorted({round(self.critical_ratio, 9), *self.service_levels})
 
+    @property
+    def slider_levels(self) -> list[float]:
+        """Those and the levels that a planner may slide between."""
+        return sorted({*self.levels, *SLIDER})
+
 
 def load_inputs(path: str) -> DecisionInputs:
     with open(path, "rb") as file:
@@ -75,3 +81,20 @@ def staffing(forecasts: DataFrame, levels, inputs: DecisionInputs = DecisionInpu
     cost = realised_cost(F.col("units"), F.col("need"), inputs)
     daily = rows.groupBy("model", "service_level", "origin", "step").agg(F.sum("units").alias("units"), F.sum("need").alias("oracle_units"), F.sum(cost).alias("cost"))
     return daily.groupBy("model", "service_level", "origin").agg(*(F.avg(c).alias(c) for c in ("units", "oracle_units", "cost")))
+
+
+def naive_demand(panel: DataFrame, origins: DataFrame, schedule: Schedule, service_levels) -> DataFrame:
+    """``origin, node, step, service_level, demand``: the seasonal naive asked for the service levels themselves, for areas."""
+    areas = panel.filter(F.col("level") == "area")
+    found = naive.seasonal_naive(areas, origins, schedule, service_levels)
+    each = F.arrays_zip(F.array(*(F.lit(float(s)) for s in service_levels)).alias("service_level"), F.col("q").alias("demand"))
+    return found.select("origin", "node", "step", F.explode(each).alias("d")).select("origin", "node", "step", "d.service_level", "d.demand")
+
+
+def service_quantile(bands: Column, levels, wanted: float) -> Column:
+    """Demand at a service level from a few exported bands: on the line between the two around it, held inside the outermost."""
+    check_levels(levels)
+    held = min(max(wanted, levels[0]), levels[-1])
+    k = max(i for i in range(len(levels) - 1) if i == 0 or levels[i] < held)
+    low, high = F.element_at(bands, k + 1), F.element_at(bands, k + 2)
+    return low + (held - levels[k]) / (levels[k + 1] - levels[k]) * (high - low)

@@ -24,8 +24,8 @@ def scales(panel: DataFrame, origins: DataFrame) -> DataFrame:
     """``origin, node, scale``: mean of the training window, 1 at least. Prefix sums, so no window is scanned twice."""
     w = Window.partitionBy("node").orderBy("day_idx")
     sums = panel.select("node", (F.col("day_idx") + 1).alias("end"), F.sum("value").over(w).alias("s"))
-    ends = sums.join(F.broadcast(origins.withColumn("end", F.col("origin_idx") + 1)), "end").select("origin", "node", "origin_idx", "train_from", F.col("s").alias("s1"))
-    starts = sums.join(F.broadcast(origins.select("origin", F.col("train_from").alias("end"))), "end").select("origin", "node", F.col("s").alias("s0"))
+    ends = sums.join(origins.withColumn("end", F.col("origin_idx") + 1), "end").select("origin", "node", "origin_idx", "train_from", F.col("s").alias("s1"))
+    starts = sums.join(origins.select("origin", F.col("train_from").alias("end")), "end").select("origin", "node", F.col("s").alias("s0"))
     both = ends.join(starts, ["origin", "node"], "left")
     mean = (F.col("s1") - F.coalesce("s0", F.lit(0.0))) / (F.col("origin_idx") + 1 - F.col("train_from"))
     return both.select("origin", "node", F.greatest(mean, F.lit(1.0)).alias("scale"))
@@ -59,7 +59,7 @@ def design(panel: DataFrame, node_ord: DataFrame, horizon: int, anchors: Column
     )
     code = F.array_position(F.array(*(F.lit(x) for x in LEVELS)), F.col("level")) - 1
     series = node_ord.select("node", F.col("node_ord").alias("series"))
-    return own.join(F.broadcast(dates), "target").join(F.broadcast(series), "node").withColumn("level_code", code.cast("int")).select("node", "level", "day_idx", "target_idx", *FEATURES)
+    return own.join(dates, "target").join(series, "node").withColumn("level_code", code.cast("int")).select("node", "level", "day_idx", "target_idx", *FEATURES)
 
 
 def boosted(panel: DataFrame, node_ord: DataFrame, origins: DataFrame, schedule: Schedule, rounds: int = 20, depth: int = 5, anchor_step: int = 7, seed: int = 0) -> DataFrame:
@@ -85,10 +85,10 @@ def boosted(panel: DataFrame, node_ord: DataFrame, origins: DataFrame, schedule:
         scale = scales(panel, fitted).select("node", "scale")
         inside = (F.col("target_idx") <= refit["origin_idx"]) & (F.col("day_idx") >= refit["train_from"] + LOOKBACK - 1)
         rows = whole.filter(inside & (F.pmod(F.lit(refit["origin_idx"]) - F.col("day_idx"), F.lit(anchor_step)) == 0))
-        train = scaled(rows.join(outcome, ["node", "target_idx"]).join(F.broadcast(scale), "node")).withColumn("label", F.col("y") / F.col("scale"))
+        train = scaled(rows.join(outcome, ["node", "target_idx"]).join(scale, "node")).withColumn("label", F.col("y") / F.col("scale"))
         model = GBTRegressor(lossType="absolute", maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=seed, maxBins=64).fit(train.select("features", "label"))
         served = origins.filter(F.col("refit_origin") == refit["origin"]).select("origin", F.col("origin_idx").alias("day_idx"))
-        ahead = scaled(whole.join(F.broadcast(served), "day_idx").join(F.broadcast(scale), "node"))
+        ahead = scaled(whole.join(served, "day_idx").join(scale, "node"))
         point = F.greatest(F.col("prediction") * F.col("scale"), F.lit(0.0)).alias("point")
         own = model.transform(ahead).select(F.lit(f"gbt-refit{schedule.refit_every}").alias("model"), "origin", "node", "level", "step", point)
         out = own if out is None else out.unionByName(own)

@@ -31,8 +31,14 @@ def nodes(paths: DataFrame) -> DataFrame:
     rolled = paths.select("borough", "area").distinct().rollup("borough", "area").agg(F.count("*").alias("c"))
     own = rolled.select(node_id("borough", "area").alias("node"), level_of(F.col("borough"), F.col("area")).alias("level"), "borough", "area")
     rank = F.when(F.col("level") == LEVELS[0], 0).when(F.col("level") == LEVELS[1], 1).otherwise(2)
-    order = Window.orderBy(rank, "borough", "area")  # one row per node: a dimension
-    return own.select("node", "level", (F.row_number().over(order) - 1).alias("node_ord"))
+    # areas are numbered within their borough, and only boroughs in one row; a borough's areas follow those of the boroughs before it
+    place = F.row_number().over(Window.partitionBy("level", "borough").orderBy("area"))
+    placed = own.withColumn("rank", rank).withColumn("place", place)
+    groups = placed.groupBy("rank", "borough").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("rank", "borough").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = groups.select("rank", F.col("borough").alias("of"), before.alias("before"))
+    joined = placed.join(starts, (placed["rank"] == starts["rank"]) & placed["borough"].eqNullSafe(starts["of"]))
+    return joined.select("node", "level", (F.col("before") + F.col("place") - 1).cast("int").alias("node_ord"))
 
 
 def summing(paths: DataFrame) -> DataFrame:
@@ -52,7 +58,7 @@ def leaf_quality(counts: DataFrame, rule: Panel = Panel()) -> DataFrame:
 
 def dropped_share(counts: DataFrame, rule: Panel = Panel()) -> DataFrame:
     """One row ``dropped, total, share``."""
-    judged = counts.join(F.broadcast(leaf_quality(counts, rule)), "area")
+    judged = counts.join(leaf_quality(counts, rule), "area")
     dropped = F.coalesce(F.sum(F.when(~F.col("kept"), F.col("n"))), F.lit(0.0))
     return judged.agg(dropped.alias("dropped"), F.sum("n").alias("total")).withColumn("share", F.coalesce(F.try_divide("dropped", "total"), F.lit(0.0)))
 
@@ -63,7 +69,7 @@ def dense_grid(counts: DataFrame, rule: Panel = Panel()) -> DataFrame:
     The days come from an array on each area's row, so nothing is cross-joined.
     """
     kept = leaf_quality(counts, rule).filter("kept").select("area")
-    own = counts.join(F.broadcast(kept), "area")
+    own = counts.join(kept, "area")
     leaves = own.select("borough", "area").distinct().join(F.broadcast(bounds(counts).select("lo", "hi")))
     days = leaves.select("borough", "area", F.posexplode(F.sequence("lo", "hi")).alias("day_idx", "day"))
     return days.join(own.select("day", "area", "n"), ["day", "area"], "left").select("day", "day_idx", "borough", "area", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
@@ -84,5 +90,12 @@ def pivot_boroughs(counts: DataFrame, boroughs: list[str]) -> DataFrame:
 def coherence(values: DataFrame, edges: DataFrame, *keys: str, value: str = "value") -> DataFrame:
     """``keys, error``: the largest breach of a node by the sum of its leaves."""
     leaves = values.select(*keys, F.col("node").alias("leaf"), F.col(value).alias("part"))
-    sums = leaves.join(F.broadcast(edges), "leaf").groupBy(*keys, "node").agg(F.sum("part").alias("summed"))
+    sums = leaves.join(edges, "leaf").groupBy(*keys, "node").agg(F.sum("part").alias("summed"))
     return values.join(sums, [*keys, "node"]).groupBy(*keys).agg(F.max(F.abs(F.col(value) - F.col("summed"))).alias("error"))
+
+
+def coherent(values: DataFrame, edges: DataFrame, *keys: str, value: str = "value", tolerance: float = 1e-8) -> DataFrame:
+    """``keys, coherent``: whether every node is the sum of its leaves, to a tolerance that grows with values over one."""
+    size = values.groupBy(*keys).agg(F.greatest(F.max(F.abs(value)), F.lit(1.0)).alias("size"))
+    found = coherence(values, edges, *keys, value=value).join(size, list(keys))
+    return found.select(*keys, (F.col("error") <= tolerance * F.col("size")).alias("coherent"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,7 +28,7 @@ def block_table(spark: SparkSession, n: int, block: int = BLOCK, resamples: int
     return spark.createDataFrame(rows, "resample int, lo int, hi int")
 
 
-def arithmetic_blocks(spark: SparkSession, n: int, block: int = BLOCK, resamples: int = 200) -> DataFrame:
+def arithmetic_blocks(spark: SparkSession, n: int, block: int = BLOCK, resamples: int = RESAMPLES) -> DataFrame:
     """Blocks whose starts follow from the resample's number, for comparison with other engines."""
     count = -(-n // block)
     ids = spark.range(resamples * count).select((F.col("id") / count).cast("int").alias("resample"), (F.col("id") % count).cast("int").alias("k"))
@@ -37,25 +37,46 @@ def arithmetic_blocks(spark: SparkSession, n: int, block: int = BLOCK, resamples
     return ids.select("resample", lo.alias("lo"), (lo + size).cast("int").alias("hi"))
 
 
-def resampled_means(series: DataFrame, blocks: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
-    """Means of every resample by block sums: two prefix sums a block instead of a row for each origin.
+def _resamples(blocks: DataFrame) -> DataFrame:
+    """One row ``draws``: the blocks of every resample, resamples times blocks of them and no more."""
+    each = blocks.groupBy("resample").agg(F.collect_list(F.struct("lo", "hi")).alias("blocks"))
+    return each.agg(F.collect_list(F.struct("resample", "blocks")).alias("draws"))
+
 
-    ``series`` has ``keys, pos`` (0 to n - 1 without gaps) and the values.
+def _drawn(series: DataFrame, blocks: DataFrame, values: list[str], keys: list[str], *more: Column) -> DataFrame:
+    """A row for each key and resample with its sums by block and ``__n`` origins; ``more`` are aggregates of the key's series.
+
+    A series becomes one array of running sums, so that a block costs two look-ups
+    and the series is computed once.
     """
     w = Window.partitionBy(*keys).orderBy("pos")
-    sums = [F.sum(v).over(w).alias(f"__{v}") for v in values]
-    prefix = series.select(*keys, (F.col("pos") + 1).alias("pos"), *sums)
-    zero = series.select(*keys).distinct().select(*keys, F.lit(0).alias("pos"), *(F.lit(0.0).alias(f"__{v}") for v in values))
-    prefix = prefix.unionByName(zero)
-    at = lambda end: prefix.select(*keys, F.col("pos").alias(end), *(F.col(f"__{v}").alias(f"{v}_{end}") for v in values))
-    joined = at("lo").join(F.broadcast(blocks), "lo").join(at("hi"), [*keys, "hi"])
-    total = F.sum(F.col("hi") - F.col("lo"))
-    return joined.groupBy(*keys, "resample").agg(*((F.sum(F.col(f"{v}_hi") - F.col(f"{v}_lo")) / total).alias(v) for v in values))
+    running = series.select("*", F.struct("pos", *(F.sum(v).over(w).alias(v) for v in values)).alias("__run"))
+    sums = F.transform(F.array_sort(F.collect_list("__run")), lambda r: F.struct(*(r[v].alias(v) for v in values))).alias("__sums")
+    rows = running.groupBy(*keys).agg(sums, *more).join(F.broadcast(_resamples(blocks)))
+    each = rows.withColumn("__draw", F.explode("draws")).drop("draws")
+    upto = lambda k, v: F.when(k > 0, F.element_at("__sums", k)[v]).otherwise(0.0)
+    totals = [F.aggregate("__draw.blocks", F.lit(0.0), _adder(upto, v)).alias(v) for v in values]
+    n = F.aggregate("__draw.blocks", F.lit(0), lambda a, b: a + b["hi"] - b["lo"]).alias("__n")
+    kept = [c for c in rows.columns if c not in ("__sums", "draws", *values)]
+    return each.select(*kept, F.col("__draw.resample").alias("resample"), *totals, n)
+
+
+def _adder(upto, value: str):
+    return lambda a, b: a + upto(b["hi"], value) - upto(b["lo"], value)
+
+
+def resampled_means(series: DataFrame, blocks: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
+    """``keys, resample`` and the means of every resample. ``series`` has ``keys, pos`` (0 to n - 1 without gaps) and the values."""
+    found = _drawn(series.select(*keys, "pos", *values), blocks, values, keys)
+    return found.select(*keys, "resample", *((F.col(v) / F.col("__n")).alias(v) for v in values))
+
+
+_ENDS = (0.025, 0.975)
 
 
 def interval(resampled: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """``keys, low, high``: the 2.5 % and 97.5 % points."""
-    both = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("b")
+    both = F.percentile(value, F.array(*map(F.lit, _ENDS))).alias("b")
     return resampled.groupBy(*keys).agg(both).select(*keys, F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
 
 
@@ -63,3 +84,15 @@ def skill_interval(series: DataFrame, blocks: DataFrame, keys: list[str], score:
     """Interval of 1 - mean(score) / mean(base); both means come from the same drawn origins."""
     means = resampled_means(series, blocks, [score, base], keys)
     return interval(means.withColumn("skill", 1 - F.col(score) / F.col(base)), "skill", keys)
+
+
+def with_skill_interval(series: DataFrame, blocks: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+    """``keys``, aggregates of the series (``keys, pos, score, base``), and ``low, high`` of its skill, in one pass over it.
+
+    Fewer than ``LEAST_ORIGINS`` origins get no interval.
+    """
+    drawn = _drawn(series, blocks, ["score", "base"], keys, F.count("*").alias("__origins"), *(c.alias(n) for n, c in aggregates.items()))
+    ends = F.percentile(1 - F.col("score") / F.col("base"), F.array(*map(F.lit, _ENDS))).alias("b")
+    found = drawn.groupBy(*keys).agg(ends, F.first("__origins").alias("__origins"), *(F.first(n).alias(n) for n in aggregates))
+    enough = F.col("__origins") >= LEAST_ORIGINS
+    return found.select(*keys, *aggregates, F.when(enough, F.col("b")[0]).alias("low"), F.when(enough, F.col("b")[1]).alias("high"))

@@ -25,7 +25,7 @@ def source_idx(week2: str = "as_built") -> Column:
 def points(panel: DataFrame, origins: DataFrame, schedule: Schedule, week2: str = "as_built") -> DataFrame:
     """``origin, node, level, step, point``: an equality join on the copied day."""
     wanted = targets(origins, schedule).withColumn("source_idx", source_idx(week2).cast("int"))
-    return panel.join(F.broadcast(wanted), panel.day_idx == wanted.source_idx).select("origin", "node", "level", "step", F.col("value").alias("point"))
+    return panel.join(wanted, panel.day_idx == wanted.source_idx).select("origin", "node", "level", "step", F.col("value").alias("point"))
 
 
 def seasonal_naive(panel: DataFrame, origins: DataFrame, schedule: Schedule, levels, model: str = "naive", week2: str = "as_built") -> DataFrame:
@@ -74,5 +74,5 @@ def residual_quantiles(panel: DataFrame, origins: DataFrame, schedule: Schedule,
         old = old.union(more)
     differences = panel.select("node", "day_idx", "value").join(old, ["node", "day_idx"]).withColumn("d", F.col("value") - F.col("old"))
     windows = origins.select("origin", F.explode(F.sequence("train_from", "origin_idx")).alias("day_idx"), "train_from")
-    inside = differences.join(F.broadcast(windows), "day_idx").filter(F.col("old_idx") >= F.col("train_from"))
+    inside = differences.join(windows, "day_idx").filter(F.col("old_idx") >= F.col("train_from"))
     return inside.groupBy("origin", "node", "lag").agg(F.percentile("d", F.array(*(F.lit(q) for q in levels))).alias("residuals"))

@@ -1,7 +1,7 @@
 """MinT reconciliation with a shrunk covariance of known errors.
 
-Origins of one step are independent, so a task holds one step: all nodes' errors
-at each origin are needed together, which is nodes x origins numbers.
+All nodes' errors at an origin are needed together. A task holds one step and a
+block of origins, with the origins before it whose errors it may know.
 """
 
 from __future__ import annotations
@@ -11,39 +11,39 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Schedule
-from .conformal import available_upto, first_valid_origin, ranks
+from ..config import Schedule, level_index
+from .conformal import first_valid_origin, horizon_lag, ranks
 
 RIDGE = 2e-8
+#: Origins that one task reconciles.
+BLOCK = 64
 
 
-def shrunk_covariance(errors: np.ndarray) -> tuple[np.ndarray, float]:
-    """Covariance of the rows shrunk to its diagonal by the Schaefer-Strimmer intensity, with a small ridge."""
-    n = len(errors)
+def shrunk_covariance(errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Covariance of error rows (..., n, nodes) shrunk to its diagonal by the Schaefer-Strimmer intensity, with a small ridge."""
+    n = errors.shape[-2]
     if n < 2:
         raise ValueError("at least two observations are needed")
-    x = errors - errors.mean(axis=0)
-    cov = x.T @ x / (n - 1)
-    deviation = np.sqrt(np.diag(cov))
-    if not (deviation > 0).all():
+    x = errors - errors.mean(axis=-2, keepdims=True)
+    across = lambda a, b: np.matmul(np.swapaxes(a, -1, -2), b)
+    cov = across(x, x) / (n - 1)
+    diagonal = np.diagonal(cov, axis1=-2, axis2=-1)
+    if not (diagonal > 0).all():
         raise ValueError("a node's errors never vary")
-    z = x / deviation
-    total, squares = z.T @ z, (z**2).T @ (z**2)
-    spread = n / (n - 1) ** 3 * (squares - total**2 / n)  # variance of each correlation
-    np.fill_diagonal(spread, 0.0)
-    r = total / (n - 1)
-    np.fill_diagonal(r, 0.0)
-    below = float((r**2).sum())
-    intensity = min(max(float(spread.sum()) / below, 0.0), 1.0) if below else 1.0
-    out = (1 - intensity) * cov
-    np.fill_diagonal(out, np.diag(cov) + RIDGE)
-    return out, intensity
+    z = x / np.sqrt(diagonal)[..., None, :]
+    total, squares = across(z, z), across(z**2, z**2)
+    off = 1 - np.eye(errors.shape[-1])
+    spread = (n / (n - 1) ** 3 * (squares - total**2 / n) * off).sum(axis=(-1, -2))  # variances of the correlations
+    below = ((total / (n - 1) * off) ** 2).sum(axis=(-1, -2))
+    intensity = np.clip(np.where(below > 0, spread / np.where(below > 0, below, 1.0), 1.0), 0.0, 1.0)
+    kept = 1 - intensity[..., None, None] * off
+    return cov * kept + RIDGE * np.eye(errors.shape[-1]), intensity
 
 
 def projection(s: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """S (S' W^-1 S)^-1 S' W^-1: the projection on coherent vectors."""
-    ws = np.linalg.solve(w, s)
-    return s @ np.linalg.solve(s.T @ ws, ws.T)
+    """S (S' W^-1 S)^-1 S' W^-1 for each matrix W: the projection on coherent vectors."""
+    ws = np.linalg.solve(w, np.broadcast_to(s, (*w.shape[:-2], *s.shape)))
+    return s @ np.linalg.solve(s.T @ ws, np.swapaxes(ws, -1, -2))
 
 
 def reconcile(forecasts: DataFrame, edges: DataFrame, schedule: Schedule, window: int = 52, levels=()) -> DataFrame:
@@ -56,34 +56,59 @@ def reconcile(forecasts: DataFrame, edges: DataFrame, schedule: Schedule, window
     pairs = [(r["node"], r["leaf"]) for r in edges.orderBy("node", "leaf").collect()]  # three a leaf: the hierarchy itself
     leaves = sorted({leaf for _, leaf in pairs})
     names = sorted({node for node, _ in pairs} - set(leaves)) + leaves
+    at, below = {node: k for k, node in enumerate(names)}, {leaf: k for k, leaf in enumerate(leaves)}
     s = np.zeros((len(names), len(leaves)))
     for node, leaf in pairs:
-        s[names.index(node), leaves.index(leaf)] = 1.0
+        s[at[node], below[leaf]] = 1.0
     chosen = np.array(ranks(levels, window), int)
     first = first_valid_origin(schedule, window)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        step = int(rows["step"].iloc[0])
-        base = rows.pivot(index="origin", columns="node", values="point")[names].to_numpy()
-        errors = rows.pivot(index="origin", columns="node", values="y")[names].to_numpy() - base
-        out = []
-        for origin in range(first, len(base)):
-            end = available_upto(origin, step, schedule.step)
-            known = errors[end - window : end]
-            w, intensity = shrunk_covariance(known)
-            p = projection(s, w)
-            median = p @ base[origin]
-            paths = (base[origin] + known) @ p.T
-            breach = float(np.abs(paths - paths[:, len(names) - len(leaves) :] @ s.T).max())
-            q = np.sort(paths, axis=0)[chosen].T
-            share = float((paths < 0).mean())
-            out.append(pd.DataFrame({"origin": origin, "node": names, "step": step, "median": median, "q": list(q), "intensity": intensity, "coherence": breach, "negative": share}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["origin", "node", "step", "median", "q", "intensity", "coherence", "negative"])
+        step, block = int(rows["step"].iloc[0]), int(rows["block"].iloc[0])
+        lag = horizon_lag(step, schedule.step)
+        wide = rows.pivot(index="origin", columns="node", values=["point", "y"]).sort_index()
+        base = wide["point"][names].to_numpy(float)
+        errors = wide["y"][names].to_numpy(float) - base
+        origins = wide.index.to_numpy()
+        own = np.flatnonzero((origins >= max(first, block * BLOCK)) & (origins < (block + 1) * BLOCK))
+        if not len(own):
+            return pd.DataFrame(columns=["origin", "node", "step", "median", "q", "intensity", "coherence", "negative"])
+        known = errors[own[:, None] + np.arange(1 - lag - window, 1 - lag)]  # (own, window, nodes)
+        w, intensity = shrunk_covariance(known)
+        p = projection(s, w)
+        median = np.matmul(p, base[own][:, :, None])[:, :, 0]
+        paths = np.matmul(base[own][:, None, :] + known, np.swapaxes(p, 1, 2))
+        breach = np.abs(paths - paths[:, :, len(names) - len(leaves) :] @ s.T).max(axis=(1, 2))
+        q = np.sort(paths, axis=1)[:, chosen].transpose(0, 2, 1).reshape(len(own) * len(names), -1)
+        repeat = lambda x: np.repeat(x, len(names))
+        return pd.DataFrame(
+            {"origin": repeat(origins[own]), "node": names * len(own), "step": step, "median": median.ravel(), "q": list(q), "intensity": repeat(intensity),
+             "coherence": repeat(breach), "negative": repeat((paths < 0).mean(axis=(1, 2)))}
+        )
 
     schema = "origin int, node string, step int, median double, q array<double>, intensity double, coherence double, negative double"
-    return forecasts.select("origin", "node", "step", "point", "y").groupBy("step").applyInPandas(run, schema)
+    reach = window + horizon_lag(schedule.horizon, schedule.step)  # origins that may know an origin's error
+    serves = F.explode(F.sequence(F.floor(F.col("origin") / BLOCK), F.floor((F.col("origin") + reach) / BLOCK))).alias("block")
+    rows = forecasts.select("origin", "node", "step", "point", "y", serves)
+    return rows.groupBy("step", "block").applyInPandas(run, schema)
 
 
 def shift_quantiles(q: Column, old: Column, new: Column) -> Column:
     """Quantiles moved with their median, floored at 0."""
     return F.transform(q, lambda x: F.greatest(x + (new - old), F.lit(0.0)))
+
+
+def reconciled_quantiles(forecasts: DataFrame, edges: DataFrame, schedule: Schedule, levels, window: int = 52) -> DataFrame:
+    """``model, origin, node, step, q``: a model's own quantiles, moved with its medians when those are reconciled.
+
+    Rows need ``model, origin, node, step, q, y`` with every node; each model is
+    reconciled by itself. Origins without a full window have no rows.
+    """
+    middle = F.element_at("q", level_index(levels, 0.5) + 1)
+    out = None
+    for model in [r["model"] for r in forecasts.select("model").distinct().orderBy("model").collect()]:
+        own = forecasts.filter(F.col("model") == model).withColumn("point", middle)
+        new = reconcile(own, edges, schedule, window).select("origin", "node", "step", "median")
+        moved = own.join(new, ["origin", "node", "step"]).select("model", "origin", "node", "step", shift_quantiles(F.col("q"), F.col("point"), F.col("median")).alias("q"))
+        out = moved if out is None else out.unionByName(moved)
+    return out

@@ -29,16 +29,36 @@ class Setup:
         return plan.actuals(self.panel, self.origins, self.schedule)
 
 
+#: The tables cached last: session, folder, counts, panel, number of days.
+_held: list[tuple] = []
+
+
 def setup(spark: SparkSession, folder: str, schedule: Schedule = DEFAULT) -> Setup:
     """Read the star schema once into daily leaf counts, which every later table is made from.
 
-    The counts have one row an area and day and are cached (they may spill to disk).
+    The counts have one row an area and day; they and the panel are cached (they may
+    spill to disk) until another folder or session is set up.
     """
-    counts = star.leaf_counts(spark, folder).cache()
-    panel = hierarchy.panel(counts)
-    kept = counts.join(F.broadcast(hierarchy.leaf_quality(counts).filter("kept").select("area")), "area").select("borough", "area").distinct()
-    n = hierarchy.bounds(counts).first()["n_days"] or 0
-    return Setup(counts, panel.cache(), plan.origins(spark, n, schedule), hierarchy.summing(kept), hierarchy.nodes(kept), schedule, n)
+    if _held and _held[0][:2] != (spark, folder):
+        release()
+    if not _held:
+        counts = star.leaf_counts(spark, folder).cache()
+        _held.append((spark, folder, counts, hierarchy.panel(counts).cache(), hierarchy.bounds(counts).first()["n_days"] or 0))
+    _, _, counts, panel, n = _held[0]
+    for table in (counts, panel):
+        if not table.storageLevel.useMemory:  # somebody cleared the cache
+            table.cache()
+    kept = counts.join(hierarchy.leaf_quality(counts).filter("kept").select("area"), "area").select("borough", "area").distinct()
+    return Setup(counts, panel, plan.origins(spark, n, schedule), hierarchy.summing(kept), hierarchy.nodes(kept), schedule, n)
+
+
+def release() -> None:
+    """Give up the cached tables."""
+    while _held:
+        session, _, counts, panel, _ = _held.pop()
+        if session.sparkContext._jsc is not None:  # else the session has ended
+            panel.unpersist()
+            counts.unpersist()
 
 
 def copied(s: Setup) -> DataFrame:
@@ -50,7 +70,7 @@ def weekday_mean(s: Setup) -> DataFrame:
     """Our second baseline: the mean of the last four known days of the target's weekday, with the same columns."""
     week = F.ceil(F.col("step") / F.lit(7.0)).cast("int")
     wanted = plan.targets(s.origins, s.schedule).select("origin", "step", F.explode(F.transform(F.sequence(week, week + 3), lambda k: F.col("target_idx") - 7 * k)).alias("day_idx"))
-    point = s.panel.join(F.broadcast(wanted), "day_idx").groupBy("origin", "node", "level", "step").agg(F.avg("value").alias("point"))
+    point = s.panel.join(wanted, "day_idx").groupBy("origin", "node", "level", "step").agg(F.avg("value").alias("point"))
     return point.join(s.actuals().drop("level"), ["origin", "node", "step"])
 
 

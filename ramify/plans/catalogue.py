@@ -93,6 +93,12 @@ def missing_days(spark, folder):
     return checks.missing_days(star.leaf_counts(spark, folder))
 
 
+@query(sql.of("SELECT area, count(*) AS missing, min(day) AS first FROM (SELECT DISTINCT area FROM demand) CROSS JOIN days LEFT JOIN demand USING (area, day) WHERE n IS NULL GROUP BY area"))
+def missing_area_days(spark, folder):
+    found = checks.missing_days(star.leaf_counts(spark, folder), "area")
+    return found.groupBy("area").agg(F.count("*").alias("missing"), F.min("day").alias("first"))
+
+
 @query(sql.COVERAGE)
 def area_coverage(spark, folder):
     return checks.coverage(star.leaf_counts(spark, folder)).withColumn("share", r6("share"))
@@ -266,15 +272,28 @@ def coverage_width(spark, folder):
     )
 
 
-@query(sql.full("SELECT level, round(avg(share), 6) AS crossing FROM (SELECT level, origin, avg((len(list_filter(generate_series(1, len(q) - 1), lambda i: q[i + 1] < q[i])) > 0)::INT) AS share FROM (SELECT level, origin, list_reverse(q) AS q FROM scored) GROUP BY ALL) GROUP BY level"))
+#: Moves each quantile by an amount that depends on its place, origin and step, so that some forecasts cross.
+_UNEVEN = "list_transform(q, lambda v, i: v + (((i - 1) * 7 + origin * 3 + step) % 11) * 0.05 * (1 + step % 3))"
+
+
+def _uneven(s: bt.Setup) -> DataFrame:
+    rows = naive.seasonal_naive(s.panel, s.origins, s.schedule, REPORTING).join(s.actuals(), ["origin", "node", "step"])
+    shift = lambda v, i: v + F.pmod(i * 7 + F.col("origin") * 3 + F.col("step"), F.lit(11)) * 0.05 * (1 + F.col("step") % 3)
+    return rows.withColumn("q", F.transform("q", shift))
+
+
+@query(sql.reported(f"SELECT level, round(avg(share), 6) AS crossing FROM (SELECT level, origin, avg((len(list_filter(generate_series(1, len(q) - 1), lambda i: q[i + 1] < q[i])) > 0)::INT) AS share FROM (SELECT level, origin, {_UNEVEN} AS q FROM scored) GROUP BY ALL) GROUP BY level"))
 def crossing_rate(spark, folder):
-    """The crossing rate of deliberately reversed quantiles; sorting repairs them."""
-    s = bt.setup(spark, folder)
-    rows = naive.seasonal_naive(s.panel, s.origins, s.schedule, SCORING).join(s.actuals(), ["origin", "node", "step"])
-    own = rows.groupBy("level", "origin").agg(F.avg(scores.crosses(F.reverse("q")).cast("int")).alias("share"))
+    """Share of forecasts whose quantiles cross, for quantiles that were moved unevenly."""
+    own = _uneven(bt.setup(spark, folder)).groupBy("level", "origin").agg(F.avg(scores.crosses(F.col("q")).cast("int")).alias("share"))
     return own.groupBy("level").agg(r6(F.avg("share")).alias("crossing"))
 
 
+@query(sql.reported(f"SELECT origin, node, step, list_transform(list_sort({_UNEVEN}), lambda v: round(v, 6)) AS q FROM scored"))
+def repaired_quantiles(spark, folder):
+    return _uneven(bt.setup(spark, folder)).select("origin", "node", "step", F.transform(scores.repaired(F.col("q")), r6).alias("q"))
+
+
 def _copied_errors(s: bt.Setup, rows: DataFrame, model: str) -> DataFrame:
     error = F.abs(F.col("y") - F.col("point"))
     return scores.by_origin(rows.withColumn("model", F.lit(model)), error, "score")
@@ -323,12 +342,18 @@ def rolling_coverage(spark, folder):
     return scores.rolling(own, "c", QUARTER, ["level"]).select("level", "origin", r6("rolling").alias("rolling"))
 
 
-@query(sql.of(f"SELECT level, arg_min(origin, (round(r, 9), origin)) AS origin, round(min(r), 6) AS worst FROM (SELECT level, origin, CASE WHEN count(c) OVER w = {QUARTER} THEN avg(c) OVER w END AS r FROM (SELECT level, origin, avg(hit::INT) AS c FROM split GROUP BY ALL) WINDOW w AS (PARTITION BY level ORDER BY origin ROWS BETWEEN {QUARTER - 1} PRECEDING AND CURRENT ROW)) WHERE r IS NOT NULL GROUP BY level"))
+@query(sql.of(f"SELECT level, arg_min(origin, (r, origin)) AS origin, round(min(r), 6) AS worst FROM (SELECT level, origin, CASE WHEN count(c) OVER w = {QUARTER} THEN avg(c) OVER w END AS r FROM (SELECT level, origin, CAST(sum(hit::INT) AS DOUBLE) AS c FROM split GROUP BY ALL) WINDOW w AS (PARTITION BY level ORDER BY origin ROWS BETWEEN {QUARTER - 1} PRECEDING AND CURRENT ROW)) WHERE r IS NOT NULL GROUP BY level"))
 def worst_window(spark, folder):
-    own = _split(spark, folder)[1].groupBy("level", "origin").agg(F.avg(F.col("hit").cast("int")).alias("c"))
-    full = scores.rolling(own, "c", QUARTER, ["level"]).filter("rolling is not null").withColumn("rolling", F.round("rolling", 9))
-    best = full.groupBy("level").agg(F.min(F.struct("rolling", "origin")).alias("w"))
-    return best.select("level", F.col("w.origin").alias("origin"), r6("w.rolling").alias("worst"))
+    """Fewest hits in a rolling quarter; counted, so that ties are exact."""
+    own = _split(spark, folder)[1].groupBy("level", "origin").agg(F.sum(F.col("hit").cast("double")).alias("c"))
+    return scores.worst_window(own, "c", QUARTER, ["level"]).withColumn("worst", r6("worst"))
+
+
+@query(sql.EXTENT)
+def series_extent(spark, folder):
+    own = _split(spark, folder)[1].groupBy("level", "origin").agg(F.sum(F.col("hit").cast("double")).alias("c"))
+    found = scores.extent(scores.rolling(own, "c", QUARTER, ["level"]), "rolling", ["level"])
+    return found.withColumns({c: r6(c) for c in ("mean", "lowest", "low", "high")})
 
 
 @query(sql.of("SELECT level, origin, step, avg(hit::INT) >= 0.5 AS hit FROM split WHERE half IS NOT NULL GROUP BY ALL"))
@@ -344,16 +369,30 @@ def predictive_quantiles(spark, folder):
     return found.select("origin", "node", "step", F.transform("q", r6).alias("q"))
 
 
-@query()
+def _half_widths(found: DataFrame) -> DataFrame:
+    return found.select("origin", "node", "step", *(r6(c).alias(c) for c in ("half", "low", "high")))
+
+
+@query(sql.ACI)
 def aci(spark, folder):
     s = bt.setup(spark, folder)
-    return conformal.summary(conformal.adaptive(bt.copied(s), s.schedule))
+    return _half_widths(conformal.adaptive(bt.copied(s), s.schedule))
 
 
-@query()
+@query(sql.AGACI)
 def agaci(spark, folder):
     s = bt.setup(spark, folder)
-    return conformal.summary(conformal.adaptive(bt.copied(s), s.schedule, aggregated=True))
+    return _half_widths(conformal.adaptive(bt.copied(s), s.schedule, aggregated=True))
+
+
+@query(sql.routed("SELECT 'copy' AS model, origin, node, step, list_transform(q, lambda v: round(v, 6)) AS q FROM predictive UNION ALL SELECT 'naive', origin, node, step, list_transform(q, lambda v: round(v, 6)) FROM naive"))
+def routed_distributions(spark, folder):
+    """A model that stores a median only gets its conformal distribution, one with quantiles keeps them."""
+    s = bt.setup(spark, folder)
+    own = naive.seasonal_naive(s.panel, s.origins, s.schedule, REPORTING).select("model", "origin", "node", "step", "q")
+    median = naive.points(s.panel, s.origins, s.schedule).select(F.lit("copy").alias("model"), "origin", "node", "step", F.array("point").alias("q"))
+    found = conformal.distribution(own.unionByName(median).join(s.actuals(), ["origin", "node", "step"]), s.schedule, REPORTING, {"copy": (0.5,)})
+    return found.select("model", "origin", "node", "step", F.transform("q", r6).alias("q"))
 
 
 # decision
@@ -375,6 +414,12 @@ def staffing_cost(spark, folder):
     return out.select("model", "service_level", "origin", *(r6(c).alias(c) for c in ("units", "oracle_units", "cost")))
 
 
+@query(sql.reported(", asked AS (SELECT origin, node, lag, quantile_cont(d, [0.8, 0.9, 0.95]) AS r FROM origins JOIN differences ON day_idx <= origin_idx AND old_idx >= train_from GROUP BY ALL) SELECT p.origin, p.node, p.step, service_level, round(greatest(p.point + r[place], 0), 6) AS demand FROM points p JOIN asked a ON a.origin = p.origin AND a.node = p.node AND a.lag = 7 * ((p.step + 6) // 7), (VALUES (1, 0.8::DOUBLE), (2, 0.9::DOUBLE), (3, 0.95::DOUBLE)) s(place, service_level) WHERE p.level = 'area'"))
+def naive_demand(spark, folder):
+    s = bt.setup(spark, folder)
+    return decision.naive_demand(s.panel, s.origins, s.schedule, (0.8, 0.9, 0.95)).withColumn("demand", r6("demand"))
+
+
 # inference
 
 
@@ -399,19 +444,20 @@ def bootstrap_skill(spark, folder):
 # reconciliation
 
 
-@query(sql.of("SELECT origin, round(max(abs(point - summed)), 6) AS error FROM points p JOIN (SELECT origin, step, 'ALL' AS node, sum(point) AS summed FROM points WHERE level = 'area' GROUP BY ALL) USING (origin, step, node) GROUP BY origin"))
+@query(sql.reported("SELECT origin, round(max(abs(q[6] - summed)), 6) AS error FROM naive p JOIN (SELECT n.origin, n.step, parent.node, sum(n.q[6]) AS summed FROM naive n JOIN (SELECT DISTINCT node FROM panel) parent ON n.node = parent.node OR starts_with(n.node, parent.node || '/') WHERE n.level = 'area' GROUP BY ALL) USING (origin, step, node) GROUP BY origin"))
 def base_breach(spark, folder):
-    """Breach of the copied points, which are coherent as they copy coherent days."""
+    """How far the naive medians of a node are from the sum of its leaves'."""
     s = bt.setup(spark, folder)
-    found = hierarchy.coherence(naive.points(s.panel, s.origins, s.schedule), s.edges, "origin", "step", value="point")
-    return found.groupBy("origin").agg(r6(F.max("error")).alias("error"))
+    medians = naive.seasonal_naive(s.panel, s.origins, s.schedule, REPORTING).select("origin", "node", "step", F.element_at("q", 6).alias("value"))
+    return hierarchy.coherence(medians, s.edges, "origin", "step").groupBy("origin").agg(r6(F.max("error")).alias("error"))
 
 
-@query(sql.reported("SELECT origin, node, step, list_transform(q, lambda v: round(greatest(v + step, 0), 6)) AS q FROM naive"))
+@query(sql.reported("SELECT n.origin, n.node, n.step, list_transform(q, lambda v: round(greatest(v + (m.point - q[6]), 0), 6)) AS q FROM naive n JOIN mean_points m ON m.origin = n.origin AND m.node = n.node AND m.step = n.step"))
 def shift_quantiles(spark, folder):
+    """The naive quantiles moved so that the weekday mean is their median."""
     s = bt.setup(spark, folder)
-    found = naive.seasonal_naive(s.panel, s.origins, s.schedule, REPORTING)
-    moved = reconcile.shift_quantiles(F.col("q"), F.lit(0), F.col("step"))
+    found = naive.seasonal_naive(s.panel, s.origins, s.schedule, REPORTING).join(bt.weekday_mean(s).select("origin", "node", "step", "point"), ["origin", "node", "step"])
+    moved = reconcile.shift_quantiles(F.col("q"), F.element_at("q", 6), F.col("point"))
     return found.select("origin", "node", "step", F.transform(moved, r6).alias("q"))
 
 
@@ -430,6 +476,25 @@ def mint_paths(spark, folder):
     return _reconciled(spark, folder, REPORTING)
 
 
+@query(sql.of("SELECT CAST(origin AS INTEGER) AS origin, CAST(step AS INTEGER) AS step, true AS coherent FROM origins, generate_series(1, 14) t(step) WHERE origin >= 53"))
+def mint_coherence(spark, folder):
+    """Reconciled medians add up, at every origin with a full window and every step."""
+    s = bt.setup(spark, folder)
+    found = reconcile.reconcile(bt.weekday_mean(s), s.edges, s.schedule).select("origin", "node", "step", F.col("median").alias("value"))
+    return hierarchy.coherent(found, s.edges, "origin", "step")
+
+
+def _naive_with_actuals(s: bt.Setup, levels) -> DataFrame:
+    return naive.seasonal_naive(s.panel, s.origins, s.schedule, levels).join(s.actuals().drop("level"), ["origin", "node", "step"])
+
+
+@query()
+def mint_quantiles(spark, folder):
+    """The naive quantiles moved with their reconciled medians."""
+    s = bt.setup(spark, folder)
+    return reconcile.reconciled_quantiles(_naive_with_actuals(s, REPORTING), s.edges, s.schedule, REPORTING)
+
+
 @query()
 def gbt(spark, folder):
     """Boosted forecasts at four refit origins a year apart, as points with their errors by level."""
@@ -481,36 +546,102 @@ def _two_models(s: bt.Setup) -> tuple[DataFrame, DataFrame]:
     return out[0], out[1]
 
 
-@query()
+def _blocks(spark, s: bt.Setup) -> DataFrame:
+    """Resamples of the origins with a full window."""
+    return inference.arithmetic_blocks(spark, s.schedule.count(s.n_days) - conformal.first_valid_origin(s.schedule))
+
+
+@query(sql.SKILL_TABLE)
 def skill_table(spark, folder):
     s = bt.setup(spark, folder)
     own, base = _two_models(s)
-    first = conformal.first_valid_origin(s.schedule)
-    blocks = inference.block_table(spark, s.schedule.count(s.n_days) - first)
-    return report.skill_table(own, base, blocks, s.schedule)
+    found = report.skill_table(own, base, _blocks(spark, s), s.schedule)
+    return found.withColumns({c: r6(c) for c in ("crps", "skill", "median_skill", "coverage", "width", "worst", "low", "high")})
 
 
-@query()
+@query(sql.PINBALL_SKILL)
 def pinball_skill(spark, folder):
-    own, base = _two_models(bt.setup(spark, folder))
-    return report.pinball_skill(own, base, REPORTING)
+    s = bt.setup(spark, folder)
+    own, base = _two_models(s)
+    return report.pinball_skill(own, base, REPORTING, _blocks(spark, s)).withColumns({c: r6(c) for c in ("skill", "low", "high")})
 
 
-@query()
+#: Windows of the test tables, which end before the fixed ones begin.
+TEST_WINDOWS = (("clean", "1999-01-01"), ("cross_check", "2000-06-01"))
+
+
+def _own_windows(s: bt.Setup) -> DataFrame:
+    own, base = _two_models(s)
+    days = plan.dated(s.origins, s.panel.select("day", "day_idx"))
+    return report.own_window_table(own, base, base, days, TEST_WINDOWS)
+
+
+@query(sql.OWN_WINDOWS)
+def own_window_rows(spark, folder):
+    found = _own_windows(bt.setup(spark, folder))
+    return found.withColumns({c: r6(c) for c in ("crps", "skill", "difference", "coverage")})
+
+
+@query(sql.COVERAGE_SERIES)
 def coverage_series(spark, folder):
     s, found = _split(spark, folder)
-    return report.coverage_series(found, s.schedule, 0.9, "split")
+    return report.coverage_series(found, s.schedule, 0.9, "split").withColumns({c: r6(c) for c in ("coverage", "width", "rolling")})
 
 
-@query()
-def fan_chart(spark, folder):
-    s = bt.setup(spark, folder)
+def _fan(s: bt.Setup) -> DataFrame:
     last = s.schedule.count(s.n_days) - 1
     found = conformal.predictive(bt.copied(s), s.schedule, REPORTING).filter(F.col("origin") == last)
-    rows = found.join(F.broadcast(plan.targets(s.origins, s.schedule).filter(F.col("origin") == last).select("step", "target_idx")), "step")
+    rows = found.join(plan.targets(s.origins, s.schedule).filter(F.col("origin") == last).select("step", "target_idx"), "step")
     return report.fan(rows, s.panel.select("day", F.col("day_idx").alias("target_idx")).distinct(), REPORTING)
 
 
+@query(sql.FAN)
+def fan_chart(spark, folder):
+    found = _fan(bt.setup(spark, folder))
+    days = F.transform("days", lambda d: d.cast("string")).alias("days")
+    return found.select("node", days, F.transform("bands", lambda b: F.transform(b, r6)).alias("bands"), "actual")
+
+
+@query(sql.of("SELECT origin, node, step, round(q[7] + (0.8 - 0.75) / (0.95 - 0.75) * (q[9] - q[7]), 6) AS demand80, round(q[3], 6) AS demand01 FROM predictive WHERE level = 'area'"))
+def service_from_bands(spark, folder):
+    """Service quantiles from the five bands of the fan chart alone."""
+    s = bt.setup(spark, folder)
+    found = conformal.predictive(bt.copied(s), s.schedule, REPORTING).filter("level = 'area'")
+    bands = F.array(*(F.element_at("q", REPORTING.index(x) + 1) for x in report.FAN))
+    at = lambda wanted: r6(decision.service_quantile(bands, report.FAN, wanted))
+    return found.select("origin", "node", "step", at(0.8).alias("demand80"), at(0.01).alias("demand01"))
+
+
+@query(sql.of("SELECT d.day, 'year' AS range FROM days d, bounds WHERE d.day >= hi - 365 UNION ALL SELECT day, 'shift' FROM days WHERE day BETWEEN DATE '1997-09-01' AND DATE '1998-09-01'"))
+def chart_ranges(spark, folder):
+    days = checks.calendar(star.leaf_counts(spark, folder))
+    cut = lambda keep: report.range_window(days, keep, ("1997-09-01", "1998-09-01")).select("day", F.lit(keep).alias("range"))
+    return cut("year").unionByName(cut("shift"))
+
+
+@query(sql.of("SELECT day, CASE WHEN day >= DATE '2000-03-01' THEN 'second' WHEN day >= DATE '1997-10-29' THEN 'first' END AS regime FROM days"))
+def regime_days(spark, folder):
+    days = checks.calendar(star.leaf_counts(spark, folder))
+    return calendar.regimes(days, (("first", date(1997, 10, 29)), ("second", date(2000, 3, 1))))
+
+
+def _reconciliation(s: bt.Setup) -> DataFrame:
+    """The naive forecast as it is, with moved medians and with reconciled paths, on the reporting levels."""
+    rows = _naive_with_actuals(s, REPORTING)
+    points = rows.withColumn("point", F.element_at("q", 6))
+    facts = reconcile.reconcile(points, s.edges, s.schedule, levels=REPORTING)
+    moved = reconcile.reconciled_quantiles(rows, s.edges, s.schedule, REPORTING)
+    own = rows.filter(F.col("origin") >= conformal.first_valid_origin(s.schedule)).select("model", "origin", "node", "step", "q")
+    paths = facts.select(F.lit("naive").alias("model"), "origin", "node", "step", "q")
+    score = lambda found: scores.score_forecasts(found, s.actuals(), REPORTING, REPORTING, NOMINAL)
+    return report.reconciliation_table(score(own), score(moved), score(paths), facts)
+
+
+@query()
+def reconciliation_section(spark, folder):
+    return _reconciliation(bt.setup(spark, folder))
+
+
 @query()
 def dashboard_payload(spark, folder):
     """One row: the checked payload as JSON."""
@@ -518,9 +649,10 @@ def dashboard_payload(spark, folder):
     own, base = _two_models(s)
     found = conformal.predictive(bt.copied(s), s.schedule, REPORTING).withColumn("model", F.lit("copy"))
     split = conformal.split(bt.copied(s), s.schedule)
+    blocks = inference.block_table(spark, s.schedule.count(s.n_days) - conformal.first_valid_origin(s.schedule))
     value = report.payload(
-        s.schedule, s.schedule.count(s.n_days), s.nodes, report.skill_table(own, base, None, s.schedule),
-        decision.staffing(found, REPORTING), report.coverage_series(split, s.schedule, 0.9, "split"),
+        s.schedule, s.schedule.count(s.n_days), s.nodes, report.skill_table(own, base, blocks, s.schedule), decision.staffing(found, REPORTING),
+        report.coverage_series(split, s.schedule, 0.9, "split"), _reconciliation(s), _own_windows(s), _fan(s),
     )
     return spark.createDataFrame([(json.dumps(value, allow_nan=False, separators=(",", ":")),)], "payload string")
 

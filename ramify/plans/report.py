@@ -5,13 +5,16 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import REPORTING, Schedule
 from ..functions import scores
 from ..operators import inference
+from ..operators import schedule as plan
 from ..operators.conformal import first_valid_origin
 
 #: Origins in the rolling window of reports: 91 days.
@@ -76,27 +79,65 @@ def skill_table(own: DataFrame, base: DataFrame, blocks: DataFrame | None, sched
     hit, width = F.col("hits")[coverage_at].cast("double"), F.col("widths")[coverage_at]
     mine = own.groupBy(*keys).agg(F.avg("crps").alias("score"), F.avg(middle).alias("mid"), F.avg(hit).alias("hit"), F.avg(width).alias("width"))
     theirs = base.groupBy("level", "origin").agg(F.avg("crps").alias("base"), F.avg(middle).alias("base_mid"))
-    both = mine.join(theirs, ["level", "origin"]).cache()  # a row for each model, level and origin
-    worst = scores.worst_window(both, "hit", ROLLING_DAYS // schedule.step, ["model", "level"]).select("model", "level", "worst")
-    table = both.groupBy("model", "level").agg(
-        F.avg("score").alias("crps"), (1 - F.avg("score") / F.avg("base")).alias("skill"), (1 - F.avg("mid") / F.avg("base_mid")).alias("median_skill"),
-        F.avg("hit").alias("coverage"), F.avg("width").alias("width"), F.count("*").alias("origins"),
-    ).join(worst, ["model", "level"], "left")
+    both = mine.join(theirs, ["level", "origin"])  # a row for each model, level and origin
+    rolled = scores.rolling(both, "hit", ROLLING_DAYS // schedule.step, ["model", "level"])
+    columns = {
+        "crps": F.avg("score"), "skill": 1 - F.avg("score") / F.avg("base"), "median_skill": 1 - F.avg("mid") / F.avg("base_mid"),
+        "coverage": F.avg("hit"), "width": F.avg("width"), "origins": F.count("*"), "worst": F.min("rolling"),
+    }
     if blocks is None:
+        table = rolled.groupBy("model", "level").agg(*(c.alias(n) for n, c in columns.items()))
         return table.withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double"))
-    first = both.agg(F.min("origin")).first()[0] or 0
-    found = inference.skill_interval(both.withColumn("pos", F.col("origin") - first), blocks, ["model", "level"])
-    enough = F.col("origins") >= inference.LEAST_ORIGINS
-    joined = table.join(found, ["model", "level"], "left")
-    return joined.withColumn("low", F.when(enough, F.col("low"))).withColumn("high", F.when(enough, F.col("high")))
+    return inference.with_skill_interval(_placed(rolled, ["model", "level"]), blocks, ["model", "level"], **columns)
 
 
-def pinball_skill(own: DataFrame, base: DataFrame, reporting) -> DataFrame:
-    """``model, level, quantile, skill`` at every reporting level."""
+def _placed(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Origins counted from 0 within their key."""
+    return series.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("origin")) - 1)
+
+
+def pinball_skill(own: DataFrame, base: DataFrame, reporting, blocks: DataFrame) -> DataFrame:
+    """``model, level, quantile, skill, low, high`` at every reporting level, with bootstrap intervals where origins suffice."""
     flat = lambda rows, *keys: rows.select(*keys, "origin", F.posexplode("pinball").alias("k", "loss")).groupBy(*keys, "origin", "k").agg(F.avg("loss").alias("loss"))
     theirs = flat(base, "level").withColumnRenamed("loss", "base")
-    means = flat(own, "model", "level").join(theirs, ["level", "origin", "k"]).groupBy("model", "level", "k").agg((1 - F.avg("loss") / F.avg("base")).alias("skill"))
-    return means.select("model", "level", F.element_at(F.array(*(F.lit(q) for q in reporting)), F.col("k") + 1).alias("quantile"), "skill")
+    both = flat(own, "model", "level").join(theirs, ["level", "origin", "k"]).withColumnRenamed("loss", "score")
+    keys = ["model", "level", "k"]
+    found = inference.with_skill_interval(_placed(both, keys), blocks, keys, skill=1 - F.avg("score") / F.avg("base"))
+    quantile = F.element_at(F.array(*(F.lit(q) for q in reporting)), F.col("k") + 1).alias("quantile")
+    return found.select("model", "level", quantile, "skill", "low", "high")
+
+
+def best_model(table: DataFrame) -> str:
+    """The model of a skill table with the highest mean skill over the levels; ties go to the first name."""
+    means = table.groupBy("model").agg(F.avg("skill").alias("skill"))
+    return means.orderBy(F.desc("skill"), "model").first()["model"]
+
+
+def own_window_table(own: DataFrame, base: DataFrame, reference: DataFrame, origin_days: DataFrame, windows, coverage_at: int = 1) -> DataFrame:
+    """``window, first_day, model, level, origins, crps, skill, difference, coverage`` on the windows of pretrained models.
+
+    ``difference`` is the CRPS less that of a reference on the same origins. Windows
+    overlap and are never pooled.
+    """
+    score = lambda rows, name, *keys: rows.groupBy(*keys, "level", "origin").agg(F.avg("crps").alias(name), F.avg(F.col("hits")[coverage_at].cast("double")).alias(f"{name}_hit"))
+    both = score(own, "score", "model").join(score(base, "base"), ["level", "origin"]).join(score(reference, "other"), ["level", "origin"])
+    return plan.in_windows(both, origin_days, windows).groupBy("window", "first_day", "model", "level").agg(
+        F.count("*").alias("origins"), F.avg("score").alias("crps"), (1 - F.avg("score") / F.avg("base")).alias("skill"),
+        F.avg(F.col("score") - F.col("other")).alias("difference"), F.avg("score_hit").alias("coverage"),
+    )
+
+
+def reconciliation_table(base: DataFrame, moved: DataFrame, paths: DataFrame, facts: DataFrame) -> DataFrame:
+    """``level, method, crps, skill, intensity, coherence, negative`` of a model as it is, with moved medians and with reconciled paths.
+
+    The first three are scores of the same origins, ``facts`` the rows of
+    ``reconcile``; the skill is against the model as it is.
+    """
+    mean = lambda rows, name: rows.groupBy("level").agg(F.lit(name).alias("method"), F.avg("crps").alias("crps"))
+    rows = mean(base, "own").unionByName(mean(moved, "medians")).unionByName(mean(paths, "paths"))
+    own = base.groupBy("level").agg(F.avg("crps").alias("own"))
+    known = facts.agg(F.avg("intensity").alias("intensity"), F.max("coherence").alias("coherence"), F.avg("negative").alias("negative"))
+    return rows.join(own, "level").join(F.broadcast(known)).select("level", "method", "crps", (1 - F.col("crps") / F.col("own")).alias("skill"), "intensity", "coherence", "negative")
 
 
 def coverage_series(found: DataFrame, schedule: Schedule, nominal: float, method: str) -> DataFrame:
@@ -113,12 +154,29 @@ def compute_cost(seconds: DataFrame, n_origins: int) -> DataFrame:
     return seconds.groupBy("model").agg((F.percentile(each, F.lit(0.5)) * n_origins).alias("cost"))
 
 
+def _field(name: str):
+    """A lambda of one argument: with two, Spark would give it the element's place."""
+    return lambda row: row[name]
+
+
+def range_window(rows: DataFrame, keep: str = "all", shift: tuple[str, str] = ("2019-09-01", "2020-09-01"), year: int = 365) -> DataFrame:
+    """Rows (``day``) of a chart's range: all of them, those of a shift (both ends in), or the last year."""
+    if keep == "all":
+        return rows
+    if keep == "shift":
+        return rows.filter(F.col("day").between(*(F.lit(x).cast("date") for x in shift)))
+    if keep != "year":
+        raise ValueError(f"{keep} is no range")
+    last = rows.agg(F.max("day").alias("last"))
+    return rows.join(F.broadcast(last)).filter(F.col("day") >= F.date_sub("last", year)).drop("last")
+
+
 def fan(forecasts: DataFrame, days: DataFrame, levels) -> DataFrame:
     """One row a node: days, bands[level][day] and outcomes of the last forecasts, in order."""
     at = [next(k for k, q in enumerate(levels) if abs(q - f) < 1e-9) + 1 for f in FAN]
-    rows = forecasts.join(F.broadcast(days), "target_idx").select("node", F.struct("day", *(F.element_at("q", k).alias(f"b{i}") for i, k in enumerate(at)), "y").alias("r"))
+    rows = forecasts.join(days, "target_idx").select("node", F.struct("day", *(F.element_at("q", k).alias(f"b{i}") for i, k in enumerate(at)), "y").alias("r"))
     sorted_rows = rows.groupBy("node").agg(F.array_sort(F.collect_list("r")).alias("rows"))  # a node's horizon only
-    bands = F.array(*(F.transform("rows", lambda r, i=i: r[f"b{i}"]) for i in range(len(at))))
+    bands = F.array(*(F.transform("rows", _field(f"b{i}")) for i in range(len(at))))
     return sorted_rows.select("node", F.transform("rows", lambda r: r["day"]).alias("days"), bands.alias("bands"), F.transform("rows", lambda r: r["y"]).alias("actual"))
 
 
@@ -159,30 +217,50 @@ def validate(value, schema: dict, at: str = "$") -> None:
 
 
 _NUMBER = {"type": ["number", "null"]}
+_ROWS = lambda *required, **kinds: {"type": "array", "items": {"type": "object", "required": list(required), "properties": kinds}}
 PAYLOAD_SCHEMA = {
     "type": "object",
-    "required": ["schema_version", "origins", "hierarchy", "models", "staffing", "coverage"],
+    "required": ["schema_version", "origins", "hierarchy", "models", "staffing", "coverage", "reconciliation", "own_windows", "fan"],
     "properties": {
         "schema_version": {"type": "integer", "enum": [SCHEMA_VERSION]},
         "origins": {"type": "object", "required": ["count", "step", "horizon"]},
-        "hierarchy": {"type": "array", "items": {"type": "object", "required": ["node", "level"]}},
-        "models": {"type": "array", "items": {"type": "object", "required": ["model", "level", "crps", "skill"], "properties": {"crps": _NUMBER, "skill": _NUMBER}}},
-        "staffing": {"type": "array", "items": {"type": "object", "required": ["model", "service_level", "units", "cost"]}},
-        "coverage": {"type": "array", "items": {"type": "object", "required": ["method", "level", "origin", "coverage"]}},
+        "hierarchy": _ROWS("node", "level"),
+        "models": _ROWS("model", "level", "crps", "skill", "low", "high", crps=_NUMBER, skill=_NUMBER, low=_NUMBER, high=_NUMBER),
+        "staffing": _ROWS("model", "service_level", "units", "cost"),
+        "coverage": _ROWS("method", "level", "origin", "coverage"),
+        "reconciliation": _ROWS("level", "method", "crps", "skill", "coherence"),
+        "own_windows": _ROWS("window", "first_day", "level", "origins", "crps"),
+        "fan": {
+            "type": "object", "required": ["levels", "nodes", "days", "actual", "bands"],
+            "properties": {"levels": {"type": "array", "items": {"type": "number"}}, "nodes": {"type": "array", "items": {"type": "string"}}, "bands": {"type": "array", "items": {"type": "array"}}},
+        },
     },
 }
 
 
-def payload(schedule: Schedule, n_origins: int, nodes: DataFrame, models: DataFrame, staffing: DataFrame, coverage: DataFrame) -> dict:
-    """The dashboard's payload from report tables, each bounded by models, levels and origins; checked before it is returned."""
-    rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
+def fan_section(table: DataFrame) -> dict:
+    """The fan chart node by node, ``bands[node][level][day]``; nodes of other days than the first's are refused."""
+    rows = table.orderBy("node").collect()  # a horizon for each node
+    days = [str(d) for d in rows[0]["days"]] if rows else []
+    if any([str(d) for d in r["days"]] != days or any(len(b) != len(days) for b in r["bands"]) for r in rows):
+        raise ValueError("the nodes of a fan chart must share their days")
+    return {"levels": list(FAN), "nodes": [r["node"] for r in rows], "days": days, "actual": [list(r["actual"]) for r in rows], "bands": [[list(b) for b in r["bands"]] for r in rows]}
+
+
+def payload(schedule: Schedule, n_origins: int, nodes: DataFrame, models: DataFrame, staffing: DataFrame, coverage: DataFrame, reconciliation: DataFrame, own_windows: DataFrame, fans: DataFrame) -> dict:
+    """The dashboard's payload from report tables, each bounded by models, levels, nodes and origins; checked before it is returned."""
+    rows = lambda df: [{k: str(v) if isinstance(v, date) else v for k, v in r.asDict(recursive=True).items()} for r in df.collect()]
+    means = staffing.groupBy("model", "service_level").agg(*(F.avg(c).alias(c) for c in ("units", "oracle_units", "cost")))
     out = {
         "schema_version": SCHEMA_VERSION,
         "origins": {"count": n_origins, "step": schedule.step, "horizon": schedule.horizon},
         "hierarchy": rows(nodes.orderBy("node_ord").select("node", "level")),
         "models": rows(models.orderBy("model", "level")),
-        "staffing": rows(staffing.groupBy("model", "service_level").agg(F.avg("units").alias("units"), F.avg("oracle_units").alias("oracle_units"), F.avg("cost").alias("cost")).orderBy("model", "service_level")),
+        "staffing": rows(means.orderBy("model", "service_level")),
         "coverage": rows(coverage.orderBy("method", "level", "origin")),
+        "reconciliation": rows(reconciliation.orderBy("level", "method")),
+        "own_windows": rows(own_windows.orderBy("window", "level")),
+        "fan": fan_section(fans),
     }
     out = clean(out)
     validate(out, PAYLOAD_SCHEMA)

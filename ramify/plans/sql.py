@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..config import DEFAULT, REPORTING, SCORING, Schedule
+from ..config import DEFAULT, REPORTING, SCORING, Conformal, Schedule
 
 _DEMAND = """
 demand AS (
@@ -52,30 +52,33 @@ def _schedule(s: Schedule) -> str:
 )"""
 
 
-_WINDOWED = """, scored_copy AS (
-    SELECT *, abs(y - point) AS score, CASE WHEN step <= 7 THEN 1 ELSE 2 END AS lag FROM copied
-), known AS (
-    SELECT *, list(score) OVER w AS s, list(y - point) OVER w AS e FROM scored_copy WHERE lag = 1
+def _windowed(source: str, known: str, split: str, predictive: str) -> str:
+    """Known scores and errors of the rows ``source``, and the intervals and distributions made from them, under the given names."""
+    picks = [min(max(-int(-round(53 * q, 9) // 1), 1), 52) for q in REPORTING]
+    return f""", {known}_scored AS (
+    SELECT *, abs(y - point) AS score, CASE WHEN step <= 7 THEN 1 ELSE 2 END AS lag FROM {source}
+), {known} AS (
+    SELECT *, list(score) OVER w AS s, list(y - point) OVER w AS e FROM {known}_scored WHERE lag = 1
     WINDOW w AS (PARTITION BY node, step ORDER BY origin ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING)
     UNION ALL
-    SELECT *, list(score) OVER w, list(y - point) OVER w FROM scored_copy WHERE lag = 2
+    SELECT *, list(score) OVER w, list(y - point) OVER w FROM {known}_scored WHERE lag = 2
     WINDOW w AS (PARTITION BY node, step ORDER BY origin ROWS BETWEEN 53 PRECEDING AND 2 PRECEDING)
-), halves AS (
-    SELECT *, CASE WHEN len(s) > 0 THEN list_sort(s)[least(CAST(ceil((len(s) + 1) * (1 - 0.1)) AS INTEGER), len(s))] END AS half FROM known
-), split AS (
+), {known}_halves AS (
+    SELECT *, CASE WHEN len(s) > 0 THEN list_sort(s)[least(CAST(ceil((len(s) + 1) * (1 - 0.1)) AS INTEGER), len(s))] END AS half FROM {known}
+), {split} AS (
     SELECT origin, node, level, step, y, half, CASE WHEN half IS NOT NULL THEN greatest(point - half, 0) END AS low, point + half AS high,
-           CASE WHEN half IS NOT NULL THEN y >= greatest(point - half, 0) AND y <= point + half END AS hit FROM halves
-), predictive AS (
-    SELECT origin, node, level, step, y, list_transform(RANKS, lambda k: greatest(point + list_sort(e)[k], 0)) AS q
-    FROM known WHERE origin >= 53 AND len(e) = 52
-)""".replace("RANKS", str([min(max(-int(-round(53 * q, 9) // 1), 1), 52) for q in REPORTING]))
+           CASE WHEN half IS NOT NULL THEN y >= greatest(point - half, 0) AND y <= point + half END AS hit FROM {known}_halves
+), {predictive} AS (
+    SELECT origin, node, level, step, y, list_transform({picks}, lambda k: greatest(point + list_sort(e)[k], 0)) AS q
+    FROM {known} WHERE origin >= 53 AND len(e) = 52
+)"""
+
+
+_WINDOWED = _windowed("copied", "known", "split", "predictive")
 
 
 def _naive(levels) -> str:
     grid = "[" + ", ".join(map(repr, levels)) + "]"
-    n = len(levels)
-    weights = "[" + ", ".join(repr((levels[min(k + 1, n - 1)] - levels[max(k - 1, 0)]) / 2) for k in range(n)) + "]"
-    a, b = levels[0], levels[-1]
     return f""", differences AS (
     SELECT x.node, x.day_idx, CAST(7 * k AS INTEGER) AS lag, o.day_idx AS old_idx, x.value - o.value AS d
     FROM panel x, generate_series(1, 2) t(k), panel o WHERE o.node = x.node AND o.day_idx = x.day_idx - 7 * k
@@ -85,15 +88,24 @@ def _naive(levels) -> str:
 ), naive AS (
     SELECT origin, node, step, level, list_transform(residuals, lambda r: greatest(point + r, 0)) AS q
     FROM points JOIN residuals USING (origin, node) WHERE lag = 7 * ((step + 6) // 7)
-), lossy AS (
-    SELECT n.*, y, list_transform(generate_series(1, {n}), lambda i: greatest({grid}[i] * (y - q[i]), ({grid}[i] - 1) * (y - q[i]))) AS losses
-    FROM naive n JOIN actuals USING (origin, node, step)
-), scored AS (
+)""" + _scored("naive n JOIN actuals USING (origin, node, step)", "scored", levels, "n.*, y")
+
+
+def _scored(source: str, name: str, levels, columns: str = "*") -> str:
+    """Losses, absolute error and CRPS of rows that have ``q`` on the levels and ``y``."""
+    grid = "[" + ", ".join(map(repr, levels)) + "]"
+    n = len(levels)
+    weights = "[" + ", ".join(repr((levels[min(k + 1, n - 1)] - levels[max(k - 1, 0)]) / 2) for k in range(n)) + "]"
+    a, b = levels[0], levels[-1]
+    return f""", {name}_lossy AS (
+    SELECT {columns}, list_transform(generate_series(1, {n}), lambda i: greatest({grid}[i] * (y - q[i]), ({grid}[i] - 1) * (y - q[i]))) AS losses
+    FROM {source}
+), {name} AS (
     SELECT *, abs(y - q[{levels.index(0.5) + 1}]) AS abs_error,
            2 * (list_sum(list_transform(generate_series(1, {n}), lambda i: losses[i] * {weights}[i]))
            + CASE WHEN y >= q[1] THEN {a} * {a} / 2 * (y - q[1]) ELSE ({a} - {a} * {a} / 2) * (q[1] - y) END
            + CASE WHEN y >= q[{n}] THEN (1 - {b} * {b}) / 2 * (y - q[{n}]) ELSE (1 - {b}) * (1 - {b}) / 2 * (q[{n}] - y) END) AS crps
-    FROM lossy
+    FROM {name}_lossy
 )"""
 
 
@@ -102,11 +114,41 @@ def of(select: str) -> str:
     return f"WITH {_DEMAND}{_schedule(DEFAULT)}{_WINDOWED} {select}"
 
 
+def adaptive(select: str) -> str:
+    """Over the default schedule with the adaptive level of every series and step size; recursion goes from origin to origin."""
+    gammas = ", ".join(f"({g!r})" for g in Conformal().gammas)
+    pick = "list_sort({0})[least(greatest(CAST(ceil((len({0}) + 1) * (1 - {1})) AS INTEGER), 1), len({0}))]"
+    return f"""WITH RECURSIVE {_DEMAND}{_schedule(DEFAULT)}{_WINDOWED}, seq AS MATERIALIZED (
+    SELECT node, step, origin, score, lag, list(score) OVER (PARTITION BY node, step ORDER BY origin ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING) AS before,
+           list(score) OVER (PARTITION BY node, step ORDER BY origin ROWS BETWEEN 51 PRECEDING AND CURRENT ROW) AS upto FROM known_scored
+), moved AS (
+    SELECT g.gamma::DOUBLE AS gamma, node, step, origin, 0.1::DOUBLE AS alpha FROM seq, (VALUES {gammas}) g(gamma) WHERE origin = 0
+    UNION ALL
+    SELECT m.gamma, s.node, s.step, s.origin,
+           least(greatest(m.alpha + m.gamma * (0.1::DOUBLE - (s.score > {pick.format("s.before", "m.alpha")})::INTEGER), 0.0001::DOUBLE), (1 - 0.0001)::DOUBLE)
+    FROM moved m JOIN seq s ON s.node = m.node AND s.step = m.step AND s.origin = m.origin + 1
+), widths AS (
+    SELECT gamma, node, step, CAST(origin + lag AS INTEGER) AS origin, {pick.format("upto", "alpha")} AS half FROM moved JOIN seq USING (node, step, origin)
+) {select}"""
+
+
+def two_models(select: str) -> str:
+    """Over the default schedule with scores of the weekday mean and of the copied week, both by their conformal distributions."""
+    mean = ", averaged AS (SELECT p.*, a.y FROM mean_points p JOIN actuals a USING (origin, node, step))" + _windowed("averaged", "mean_known", "mean_split", "mean_predictive")
+    scored = _scored("mean_predictive", "mean_scores", REPORTING) + _scored("predictive", "copy_scores", REPORTING)
+    return f"WITH {_DEMAND}{_schedule(DEFAULT)}{_WINDOWED}{mean}{scored} {select}"
+
+
 def reported(select: str) -> str:
     """Over the default schedule with naive quantiles on the reporting levels."""
     return f"WITH {_DEMAND}{_schedule(DEFAULT)}{_naive(REPORTING)} {select}"
 
 
+def routed(select: str) -> str:
+    """Over the default schedule with conformal distributions and naive quantiles, both on the reporting levels."""
+    return f"WITH {_DEMAND}{_schedule(DEFAULT)}{_WINDOWED}{_naive(REPORTING)} {select}"
+
+
 def full(select: str) -> str:
     """Over the default schedule with naive quantiles on the scoring levels."""
     return f"WITH {_DEMAND}{_schedule(DEFAULT)}{_naive(SCORING)} {select}"
@@ -202,6 +244,76 @@ STAFFING = of("""
 BOOTSTRAP = of("""
 , size AS (SELECT count(*) AS n, CAST(ceil(count(*) / 28.0) AS INTEGER) AS blocks FROM origins), starts AS (
     SELECT r, k, (r * 7919 + k * 104729 + 12345) % (n - 28 + 1) AS lo, CASE WHEN k = blocks - 1 THEN n - 28 * (blocks - 1) ELSE 28 END AS len
-    FROM size, generate_series(0, 199) a(r), generate_series(0, 100) b(k) WHERE k < blocks
+    FROM size, generate_series(0, 1999) a(r), generate_series(0, 100) b(k) WHERE k < blocks
 ), means AS (SELECT level, r, avg(score) AS m FROM starts JOIN copy_errors ON origin >= lo AND origin < lo + len GROUP BY ALL)
 SELECT level, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM means GROUP BY level""")
+
+
+def _blocks(n: str) -> str:
+    """Bounds of the arithmetic blocks of 2000 resamples of ``n`` origins."""
+    return f"""size AS (SELECT {n} AS n, CAST(ceil({n} / 28.0) AS INTEGER) AS blocks), starts AS (
+    SELECT r, (r * 7919 + k * 104729 + 12345) % (n - 28 + 1) AS lo, CASE WHEN k = blocks - 1 THEN n - 28 * (blocks - 1) ELSE 28 END AS len
+    FROM size, generate_series(0, 1999) a(r), generate_series(0, 100) b(k) WHERE k < blocks)"""
+
+
+_AFTER_WINDOW = "(SELECT count(*) FROM origins WHERE origin >= 53)"
+SKILL_TABLE = two_models(f"""
+, {_blocks(_AFTER_WINDOW)}, both_models AS (
+    SELECT level, origin, avg(m.crps) AS score, avg(m.losses[6]) AS mid, avg((m.y BETWEEN m.q[3] AND m.q[9])::INT) AS hit,
+           sum((m.y BETWEEN m.q[3] AND m.q[9])::INT) AS hits, avg(m.q[9] - m.q[3]) AS width, avg(c.crps) AS base, avg(c.losses[6]) AS base_mid
+    FROM mean_scores m JOIN copy_scores c USING (level, origin, node, step) GROUP BY ALL
+), rolled AS (
+    SELECT level, avg(hit) OVER w AS r, count(*) OVER w AS n FROM both_models WINDOW w AS (PARTITION BY level ORDER BY origin ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)
+), drawn AS (
+    SELECT level, r, 1 - avg(score) / avg(base) AS skill FROM starts JOIN both_models ON origin - 53 >= lo AND origin - 53 < lo + len GROUP BY ALL
+), ends AS (SELECT level, quantile_cont(skill, 0.025) AS low, quantile_cont(skill, 0.975) AS high FROM drawn GROUP BY level)
+SELECT 'mean' AS model, level, round(avg(score), 6) AS crps, round(1 - avg(score) / avg(base), 6) AS skill, round(1 - avg(mid) / avg(base_mid), 6) AS median_skill,
+       round(avg(hit), 6) AS coverage, round(avg(width), 6) AS width, count(*) AS origins,
+       (SELECT round(min(r), 6) FROM rolled x WHERE x.level = b.level AND n = 13) AS worst,
+       (SELECT round(low, 6) FROM ends e WHERE e.level = b.level) AS low, (SELECT round(high, 6) FROM ends e WHERE e.level = b.level) AS high
+FROM both_models b GROUP BY level""")
+PINBALL_SKILL = two_models(f"""
+, {_blocks(_AFTER_WINDOW)}, flat AS (
+    SELECT level, origin, k, avg(m.losses[k]) AS score, avg(c.losses[k]) AS base
+    FROM mean_scores m JOIN copy_scores c USING (level, origin, node, step), generate_series(1, 11) t(k) GROUP BY ALL
+), drawn AS (
+    SELECT level, k, r, 1 - avg(score) / avg(base) AS skill FROM starts JOIN flat ON origin - 53 >= lo AND origin - 53 < lo + len GROUP BY ALL
+), ends AS (SELECT level, k, quantile_cont(skill, 0.025) AS low, quantile_cont(skill, 0.975) AS high FROM drawn GROUP BY ALL)
+SELECT 'mean' AS model, f.level, {list(REPORTING)}[f.k] AS quantile, round(1 - avg(score) / avg(base), 6) AS skill, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high
+FROM flat f JOIN ends e ON e.level = f.level AND e.k = f.k GROUP BY f.level, f.k""")
+OWN_WINDOWS = two_models("""
+, dated AS (SELECT DISTINCT origin, day FROM origins JOIN panel ON day_idx = origin_idx), named("window", cutoff) AS (VALUES ('clean', DATE '1999-01-01'), ('cross_check', DATE '2000-06-01')),
+both_models AS (
+    SELECT level, origin, avg(m.crps) AS score, avg((m.y BETWEEN m.q[3] AND m.q[9])::INT) AS hit, avg(c.crps) AS base
+    FROM mean_scores m JOIN copy_scores c USING (level, origin, node, step) GROUP BY ALL
+), member AS (SELECT "window", origin, min(day) OVER (PARTITION BY "window") AS first_day FROM dated, named WHERE day >= cutoff)
+SELECT "window", first_day, 'mean' AS model, level, count(*) AS origins, round(avg(score), 6) AS crps, round(1 - avg(score) / avg(base), 6) AS skill,
+       round(avg(score - base), 6) AS difference, round(avg(hit), 6) AS coverage FROM both_models JOIN member USING (origin) GROUP BY ALL""")
+_INTERVALS = """
+SELECT p.origin, p.node, p.step, round(half, 6) AS half, CASE WHEN half IS NOT NULL THEN round(greatest(point - half, 0), 6) END AS low, round(point + half, 6) AS high"""
+ACI = adaptive(_INTERVALS + " FROM copied p LEFT JOIN (SELECT * FROM widths WHERE gamma = 0.01::DOUBLE) w USING (origin, node, step)")
+AGACI = adaptive(f"""
+, losses AS (
+    SELECT gamma, node, step, origin, half, coalesce(greatest(0.95 * (score - half), (0.95 - 1) * (score - half)), 0) AS loss, lag FROM seq JOIN widths USING (node, step, origin)
+), summed AS (
+    SELECT gamma, node, step, origin, half, coalesce(sum(loss) OVER (PARTITION BY gamma, node, step ORDER BY origin RANGE BETWEEN UNBOUNDED PRECEDING AND lag PRECEDING), 0) AS total FROM losses
+), weighted AS (
+    SELECT *, exp(-0.05 * (total - min(total) OVER (PARTITION BY node, step, origin))) AS w FROM summed
+), mixed AS (SELECT node, step, origin, sum(w * half) / sum(w) AS half FROM weighted GROUP BY ALL)
+{_INTERVALS} FROM copied p LEFT JOIN mixed USING (origin, node, step)""")
+COVERAGE_SERIES = of("""
+, daily AS (SELECT level, origin, avg(hit::INT) AS coverage, avg(high - low) AS width FROM split WHERE half IS NOT NULL AND origin >= 53 GROUP BY ALL)
+SELECT 'split' AS method, 0.9::DOUBLE AS nominal, level, origin, round(coverage, 6) AS coverage, round(width, 6) AS width,
+       CASE WHEN count(*) OVER w = 13 THEN round(avg(coverage) OVER w, 6) END AS rolling
+FROM daily WINDOW w AS (PARTITION BY level ORDER BY origin ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)""")
+FAN = of("""
+, last AS (SELECT max(origin) AS origin FROM origins), shown AS (
+    SELECT p.node, p.step, p.y, p.q, CAST(d.day AS VARCHAR) AS day FROM predictive p JOIN last USING (origin) JOIN origins o USING (origin) JOIN days d ON d.day_idx = o.origin_idx + p.step
+) SELECT node, list(day ORDER BY step) AS days, list_transform([3, 5, 6, 7, 9], lambda k: list_transform(list(q ORDER BY step), lambda x: round(x[k], 6))) AS bands, list(y ORDER BY step) AS actual
+FROM shown GROUP BY node""")
+EXTENT = of(f"""
+, rolled AS (
+    SELECT level, origin, CASE WHEN count(c) OVER w = 13 THEN avg(c) OVER w END AS r
+    FROM (SELECT level, origin, CAST(sum(hit::INT) AS DOUBLE) AS c FROM split GROUP BY ALL) WINDOW w AS (PARTITION BY level ORDER BY origin ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)
+) SELECT level, round(avg(r), 6) AS mean, round(min(r), 6) AS lowest, arg_min(origin, (r, origin)) AS lowest_at, round(min(r), 6) AS low, round(max(r), 6) AS high
+FROM rolled WHERE r IS NOT NULL GROUP BY level""")

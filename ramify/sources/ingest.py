@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,22 @@ def read_cache(spark: SparkSession, folder: str, start: date, end: date, first:
     rows = spark.read.schema(RAW + ", year int").json(folder)
     day = F.to_date(F.substring("day", 1, 10))
     return rows.filter(F.col("year").between(start.year, end.year) & (day >= F.lit(start)) & (day < F.lit(end))).drop("year")
+
+
+def refresh_cache(spark: SparkSession, fetch: Callable[[date, date], DataFrame], folder: str, start: date, end: date, everything: bool = False) -> list[int]:
+    """Fill the yearly cache for [start, end) from ``fetch``, one year at a time, and return the years fetched.
+
+    A year that is stored and whole inside the window isn't fetched again. A year
+    that the window cuts short is never final, so it is always fetched.
+    """
+    if end <= start:
+        raise ValueError(f"window {start} to {end} is empty")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fetched = []
+    for r in year_windows(spark, start, end).orderBy("year").collect():
+        whole = r["lo"] == date(r["year"], 1, 1) and r["hi"] == date(r["year"] + 1, 1, 1)
+        if everything or not whole or not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/year={r['year']}")):
+            write_cache(fetch(r["lo"], r["hi"]), folder)
+            fetched.append(r["year"])
+    return fetched

@@ -20,14 +20,14 @@ def _shipped(spark: SparkSession, folder: str) -> DataFrame:
 
 def places(spark: SparkSession, folder: str) -> DataFrame:
     """Nation and region names. Both tables are fixed dimensions of a few dozen rows."""
-    nations = read(spark, folder, "nation").join(F.broadcast(read(spark, folder, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    nations = read(spark, folder, "nation").join(read(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return nations.select("n_nationkey", F.col("n_name").alias("area"), F.col("r_name").alias("borough"))
 
 
 def leaf_counts(spark: SparkSession, folder: str) -> DataFrame:
     """``day, borough, area, n``: one row per area and day. Quantities are summed by nation key before names are joined."""
     daily = _shipped(spark, folder).groupBy("day", "c_nationkey").agg(F.sum("l_quantity").alias("n"))
-    return daily.join(F.broadcast(places(spark, folder)), F.col("c_nationkey") == F.col("n_nationkey")).select("day", "borough", "area", "n")
+    return daily.join(places(spark, folder), F.col("c_nationkey") == F.col("n_nationkey")).select("day", "borough", "area", "n")
 
 
 def raw_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +40,7 @@ def raw_counts(spark: SparkSession, folder: str) -> DataFrame:
     names = places(spark, folder)
     areas, boroughs = names.select("n_nationkey", "area"), names.select(F.col("n_nationkey").alias("supplier_key"), "borough")
     return (
-        daily.join(F.broadcast(areas), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(F.broadcast(boroughs), F.col("s_nationkey") == F.col("supplier_key"))
+        daily.join(areas, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(boroughs, F.col("s_nationkey") == F.col("supplier_key"))
         .groupBy("day", "borough", "area").agg(F.sum("n").alias("n"))
     )

@@ -31,7 +31,7 @@ def fingerprint(model: str, schedule: Schedule, levels, nodes: list[str]) -> dic
 
 
 class ForecastStore:
-    """Append-only forecasts of one run; opening it with other settings is refused."""
+    """Forecasts of one run by block; opening it with other settings is refused."""
 
     def __init__(self, spark: SparkSession, folder: str, settings: dict):
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings
@@ -53,7 +53,7 @@ class ForecastStore:
         return self._read("forecasts", "origin int, node string, step int, q array<double>, block int")
 
     def seconds(self) -> DataFrame:
-        return self._read("seconds", "block int, origins int, seconds double")
+        return self._read("seconds", "origins int, seconds double, block int")
 
     def done(self) -> DataFrame:
         """Origins with a forecast for every node."""
@@ -67,22 +67,26 @@ class ForecastStore:
         return self.remaining(origins).limit(1).count() == 0
 
     def run(self, origins: DataFrame, forecast: Callable[[DataFrame], DataFrame], progress: Callable[[int, int], None] | None = None) -> None:
-        """Forecast what remains, one block of origins at a time; each block replaces what an interrupted run left of it."""
+        """Forecast the blocks of origins that aren't complete, one at a time; a block is forecast whole and replaces what is stored of it."""
         import time
 
-        todo = sorted(r["origin"] for r in self.remaining(origins).select("origin").collect())
-        total = len(todo)
-        for block in sorted({o // BLOCK for o in todo}):
-            mine = [o for o in todo if o // BLOCK == block]
+        todo = sorted({r["origin"] // BLOCK for r in self.remaining(origins).select("origin").collect()})
+        for done, block in enumerate(todo, 1):
             began = time.time()
-            rows = forecast(origins.filter(F.col("origin").isin(mine))).select("origin", "node", "step", "q", F.lit(block).alias("block"))
-            rows.write.mode("append").partitionBy("block").parquet(f"{self.folder}/forecasts")
-            self.spark.createDataFrame([(block, len(mine), time.time() - began)], "block int, origins int, seconds double").coalesce(1).write.mode("append").parquet(f"{self.folder}/seconds")
+            mine = origins.filter(F.floor(F.col("origin") / BLOCK) == block)
+            rows = forecast(mine).select("origin", "node", "step", "q", F.lit(block).alias("block"))
+            self._replace(rows, "forecasts")
+            spent = self.spark.createDataFrame([(mine.count(), time.time() - began, block)], "origins int, seconds double, block int")
+            self._replace(spent.coalesce(1), "seconds")
             if progress:
-                progress(len([o for o in todo if o // BLOCK <= block]), total)
+                progress(done, len(todo))
+
+    def _replace(self, rows: DataFrame, name: str) -> None:
+        """Overwrite the blocks that ``rows`` hold and no others."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block").parquet(f"{self.folder}/{name}")
 
     def scored(self, origins: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Scores of a complete run; a partial one is refused."""
         if not self.complete(origins):
             raise ValueError("the run is not complete")
-        return score(self.forecasts().drop("block").dropDuplicates(["origin", "node", "step"]).withColumn("model", F.lit(self.settings["model"])))
+        return score(self.forecasts().drop("block").withColumn("model", F.lit(self.settings["model"])))

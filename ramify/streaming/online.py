@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Conformal, Schedule
-from ..operators.conformal import DEFAULT, horizon_lag, order_statistic
+from ..operators.conformal import DEFAULT, AdaptiveLevel, horizon_lag
 
 
 def daily_counts(events: DataFrame, *keys: str, time: str = "ts", late: str = "2 days") -> DataFrame:
@@ -28,27 +27,24 @@ def adaptive_widths(outcomes: DataFrame, schedule: Schedule, settings: Conformal
     so it emits that forecast's half-width: the same numbers as the batch form. The
     state holds the last window of scores and outcomes that came before their turn.
     """
-    rate = settings.gamma if gamma is None else gamma
-    clip = lambda a: min(max(a, settings.alpha_floor), 1 - settings.alpha_floor)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         node, step = key
-        alpha, turn, scores, early, early_scores = state.get if state.exists else (settings.alpha, 0, [], [], [])
-        scores, held = list(scores), dict(zip(early, early_scores, strict=True))
+        level, turn, held = AdaptiveLevel.start(settings, gamma), 0, {}
+        if state.exists:
+            level.alpha, turn, window, early, early_scores = state.get
+            level.window.extend(window)
+            held = dict(zip(early, early_scores, strict=True))
         for rows in batches:
             for r in rows.itertuples(index=False):
                 if r.origin >= turn:
                     held[int(r.origin)] = abs(float(r.y) - float(r.point))
         lag, out = horizon_lag(int(step), schedule.step), []
         while turn in held:
-            score = held.pop(turn)
-            if scores:
-                missed = float(score > order_statistic(np.sort(scores), clip(alpha)))
-                alpha = clip(alpha + rate * (settings.alpha - missed))
-            scores = [*scores, score][-settings.window :]
-            out.append((node, int(step), turn + lag, order_statistic(np.sort(scores), clip(alpha)), alpha))
+            half = level.learn(held.pop(turn))
+            out.append((node, int(step), turn + lag, half, level.alpha))
             turn += 1
-        state.update((alpha, turn, scores, list(held), list(held.values())))
+        state.update((level.alpha, turn, list(level.window), list(held), list(held.values())))
         yield pd.DataFrame(out, columns=["node", "step", "origin", "half", "alpha"])
 
     kept = "alpha double, turn int, scores array<double>, early array<int>, early_scores array<double>"

@@ -154,3 +154,71 @@ def test_statistical_models_follow_a_weekly_series():
         q = np.sort(model(x, 14, np.array(REPORTING)), axis=1)
         assert q.shape == (14, 11) and (q >= 0).all()
         assert np.abs(q[:, 5] - np.tile([80, 100, 100, 100, 100, 130, 90], 2)).max() < 15
+
+
+def test_reconciliation_in_blocks_equals_each_origin_alone(spark, monkeypatch):
+    monkeypatch.setattr(reconcile, "BLOCK", 7)
+    rng = np.random.default_rng(8)
+    leaves = ["ALL/A/1", "ALL/A/2", "ALL/B/3"]
+    names = ["ALL", "ALL/A", "ALL/B", *leaves]
+    s = np.array([[1, 1, 1], [1, 1, 0], [0, 0, 1], *np.eye(3)])
+    y = rng.gamma(20, 2, (75, 2, 3)) @ s.T
+    base = y + rng.normal(0, 5, y.shape)
+    rows = [(o, n, t + 7, float(base[o, t, k]), float(y[o, t, k])) for o in range(75) for t in range(2) for k, n in enumerate(names)]
+    edges = spark.createDataFrame([(n, leaf) for k, n in enumerate(names) for j, leaf in enumerate(leaves) if s[k, j]], "node string, leaf string")
+    frame = spark.createDataFrame(rows, "origin int, node string, step int, point double, y double")
+    got = {(r["origin"], r["step"], r["node"]): r for r in reconcile.reconcile(frame, edges, Schedule(), levels=(0.1, 0.9)).collect()}
+    assert {k[0] for k in got} == set(range(53, 75))
+    for o in range(53, 75):
+        for t in range(2):
+            end = conformal.available_upto(o, t + 7, 7)
+            e = (y - base)[end - 52 : end, t]
+            x = e - e.mean(axis=0)
+            cov, r, spread = x.T @ x / 51, np.corrcoef(x.T), 0.0
+            z = x / x.std(axis=0, ddof=1)
+            for i in range(6):
+                for j in range(6):
+                    if i != j:
+                        w = z[:, i] * z[:, j]
+                        spread += 52 / 51**3 * ((w - w.mean()) ** 2).sum()
+            share = min(max(spread / ((r - np.eye(6)) ** 2).sum(), 0), 1)
+            w = (1 - share) * cov + share * np.diag(np.diag(cov)) + reconcile.RIDGE * np.eye(6)
+            inverse = np.linalg.inv(w)
+            p = s @ np.linalg.inv(s.T @ inverse @ s) @ s.T @ inverse
+            want, paths = p @ base[o, t], np.sort((base[o, t] + e) @ p.T, axis=0)
+            for k, n in enumerate(names):
+                r = got[o, t + 7, n]
+                assert r["median"] == pytest.approx(want[k], abs=1e-6) and r["intensity"] == pytest.approx(share)
+                assert r["q"] == pytest.approx([paths[i, k] for i in conformal.ranks((0.1, 0.9), 52)], abs=1e-6)
+
+
+def test_models_on_another_grid_get_a_conformal_distribution(spark):
+    rng = np.random.default_rng(9)
+    rows = [(m, o, "a", 1, [50.0] if m == "point" else [40.0, 50.0, 60.0], float(rng.poisson(50))) for m in ("point", "own") for o in range(60)]
+    frame = spark.createDataFrame(rows, "model string, origin int, node string, step int, q array<double>, y double")
+    got = conformal.distribution(frame, Schedule(), (0.1, 0.5, 0.9), {"point": (0.5,)})
+    sizes = {(r["model"], r["n"]): r["count"] for r in got.groupBy("model", F.size("q").alias("n")).count().collect()}
+    assert sizes == {("own", 3): 60, ("point", 3): 7}
+    with pytest.raises(Exception, match="grid"):
+        conformal.distribution(frame, Schedule(), (0.1, 0.5, 0.9), {}).collect()
+
+
+def test_own_windows_overlap_and_are_refused_when_empty(spark):
+    days = spark.createDataFrame([(o, date(2023, 11, 26) + timedelta(o)) for o in range(6)], "origin int, day date")
+    rows = plan.in_windows(days.select("origin"), days, (("late", "2023-11-30"), ("later", "2023-12-01")))
+    assert {(r["window"], r["origin"], r["first_day"].day) for r in rows.collect()} == {("late", 4, 30), ("late", 5, 30), ("later", 5, 1)}
+    with pytest.raises(ValueError):
+        plan.clean_origins(days.selectExpr("origin", "origin as origin_idx"), days.selectExpr("origin as day_idx", "day"), "2024-01-01")
+
+
+def test_softmin_is_even_where_a_loss_is_not_finite():
+    assert conformal.softmin(np.array([[1.0, np.inf], [1.0, 2.0]]), 0.05).tolist() == [[0.5, 0.5], [0.5, 0.5]]
+    a, b = conformal.softmin(np.array([0.0, 20.0]), 0.05)
+    assert a / b == pytest.approx(np.e)
+
+
+def test_service_quantile_is_held_inside_the_bands(spark):
+    row = spark.createDataFrame([([10.0, 20.0, 40.0],)], "b array<double>")
+    at = lambda p: row.select(decision.service_quantile(F.col("b"), (0.05, 0.5, 0.95), p)).first()[0]
+    assert [at(p) for p in (0.01, 0.05, 0.5, 0.95, 0.99)] == [10, 10, 20, 40, 40] and at(0.725) == pytest.approx(30)
+    assert decision.DecisionInputs().slider_levels == [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]

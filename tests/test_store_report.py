@@ -22,6 +22,12 @@ def test_store_resumes_and_refuses_other_settings(spark, tmp_path):
     assert again.remaining(origins).count() == 15
     again.run(origins, forecast)
     assert again.complete(origins) and again.scored(origins, lambda d: d).count() == 50
+    again.run(origins, forecast)  # nothing is left to do
+    assert again.forecasts().count() == 50
+    part = ForecastStore(spark, str(tmp_path / "t"), settings)
+    part.run(origins.filter("origin < 15"), forecast)
+    part.run(origins, forecast)  # the second block was stored in part and is replaced
+    assert part.complete(origins) and part.forecasts().count() == 50 and part.seconds().agg(F.sum("origins")).first()[0] == 25
     with pytest.raises(ValueError, match="levels"):
         ForecastStore(spark, str(tmp_path / "s"), fingerprint("naive", PLAN, (0.4,), ["a", "b"]))
 
@@ -39,9 +45,29 @@ def test_numbers_tables_and_markers():
 
 
 def test_payload_schema_finds_a_lost_field():
-    good = {"schema_version": 2, "origins": {"count": 1, "step": 7, "horizon": 14}, "hierarchy": [], "models": [], "staffing": [], "coverage": []}
+    good = {"schema_version": 2, "origins": {"count": 1, "step": 7, "horizon": 14}, "hierarchy": [], "models": [], "staffing": [], "coverage": [], "reconciliation": [], "own_windows": []}
+    good["fan"] = {"levels": [0.5], "nodes": ["a"], "days": [], "actual": [[]], "bands": [[[]]]}
     report.validate(good, report.PAYLOAD_SCHEMA)
     for name in good:
         with pytest.raises(ValueError):
             report.validate({k: v for k, v in good.items() if k != name}, report.PAYLOAD_SCHEMA)
     assert json.dumps(report.clean({"a": float("nan"), "b": 1.23456}), allow_nan=False) == '{"a": null, "b": 1.2346}'
+
+
+def test_fan_is_laid_out_by_node_level_and_day(spark):
+    rows = [("a", "2020-01-02", 1, [float(k) for k in range(11)], 5.0), ("a", "2020-01-01", 0, [float(k + 1) for k in range(11)], 4.0)]
+    frame = spark.createDataFrame(rows, "node string, d string, target_idx int, q array<double>, y double")
+    days = frame.select(F.col("d").cast("date").alias("day"), "target_idx")
+    got = report.fan_section(report.fan(frame, days, report.REPORTING))
+    assert got["days"] == ["2020-01-01", "2020-01-02"] and got["actual"] == [[4.0, 5.0]]
+    assert got["bands"] == [[[3.0, 2.0], [5.0, 4.0], [6.0, 5.0], [7.0, 6.0], [9.0, 8.0]]]
+
+
+def test_best_model_and_chart_ranges(spark):
+    table = spark.createDataFrame([("b", 0.25), ("b", 0.5), ("a", 0.125), ("a", 0.625), ("c", 0.0)], "model string, skill double")
+    assert report.best_model(table) == "a"
+    days = spark.sql("select explode(sequence(date'2019-01-01', date'2021-01-01')) as day")
+    assert report.range_window(days).count() == 732
+    assert report.range_window(days, "year").count() == 366 and report.range_window(days, "shift").count() == 367
+    with pytest.raises(ValueError):
+        report.range_window(days, "week")
