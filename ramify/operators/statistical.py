@@ -36,40 +36,53 @@ _ALPHA, _BETA, _GAMMA, _PHI = (0.02, 0.05, 0.1, 0.2, 0.4), (0.0, 0.005, 0.02), (
 _ETS_GRID = np.array([(a, b, g, p) for a, b, g, p in product(_ALPHA, _BETA, _GAMMA, _PHI) if (p > 0) == (b > 0)])
 
 
-def _smooth(x: np.ndarray, grid: np.ndarray, season: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Run additive-error exponential smoothing for all parameter rows at once: squared errors, last level, trend and seasons."""
+def _smooth(x: np.ndarray, grid: np.ndarray, season: int, times: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Run additive-error exponential smoothing for all parameter rows at once: squared errors, last level, trend and seasons.
+
+    ``times``: seasons multiply the level instead of being added to it.
+    """
     a, b, g, p = grid.T
-    cycles = x[: 2 * season].reshape(2, season)
-    level = np.full(len(grid), x[: 2 * season].mean())
+    cycles, mean = x[: 2 * season].reshape(2, season).mean(axis=0), x[: 2 * season].mean()
+    level = np.full(len(grid), mean)
     trend = np.zeros(len(grid))
-    seasons = np.tile(cycles.mean(axis=0) - x[: 2 * season].mean(), (len(grid), 1)) * (season > 1)
+    first = np.maximum(cycles / mean, 1e-3) if times else (cycles - mean) * (season > 1)
+    seasons = np.tile(first, (len(grid), 1))
     total = np.zeros(len(grid))
     for t, value in enumerate(x):
         k = t % season
         ahead = level + p * trend
-        error = value - ahead - seasons[:, k]
+        own = seasons[:, k].copy()
+        error = value - (ahead * own if times else ahead + own)
         total += error * error
-        level = ahead + a * error
-        trend = p * trend + b * error
-        seasons[:, k] += g * error
+        part = error / own if times else error
+        level = ahead + a * part
+        trend = p * trend + b * part
+        seasons[:, k] += g * error / np.maximum(ahead, 1e-3) if times else g * error
+        if times:
+            np.maximum(seasons[:, k], 1e-3, out=seasons[:, k])
     return total, level, trend, seasons
 
 
 def ets(train: np.ndarray, horizon: int, levels: np.ndarray, season: int = SEASON) -> np.ndarray:
-    """Additive exponential smoothing without, with damped or with full trend; the row of least AICc, with analytic variance."""
+    """Exponential smoothing without, with damped or with full trend and with added or multiplying seasons; the form of least AICc, with analytic variance."""
     n = len(train)
-    total, level, trend, seasons = _smooth(train, _ETS_GRID, season)
     a, b, g, p = _ETS_GRID.T
     k = 2 + season * (season > 1) + (g > 0) + 2.0 * (b > 0) + ((p > 0) & (p < 1))
-    aicc = n * np.log(np.maximum(total / n, 1e-12)) + 2 * k + 2 * k * (k + 1) / np.maximum(n - k - 1, 1)
-    i = int(aicc.argmin())
-    alpha, beta, gamma, phi = _ETS_GRID[i]
+    best = None
+    for times in (False, True) if season > 1 and train.min() > 0 else (False,):
+        total, level, trend, seasons = _smooth(train, _ETS_GRID, season, times)
+        aicc = n * np.log(np.maximum(total / n, 1e-12)) + 2 * k + 2 * k * (k + 1) / np.maximum(n - k - 1, 1)
+        i = int(np.nan_to_num(aicc, nan=np.inf).argmin())
+        if best is None or aicc[i] < best[0]:
+            best = aicc[i], times, _ETS_GRID[i], total[i], level[i], trend[i], seasons[i]
+    _, times, (alpha, beta, gamma, phi), total, level, trend, seasons = best
     h = np.arange(1, horizon + 1)
     damp = np.cumsum(phi**h)
-    mean = level[i] + damp * trend[i] + seasons[i, (n + h - 1) % season]
+    season_ahead = seasons[(n + h - 1) % season]
+    mean = (level + damp * trend) * season_ahead if times else level + damp * trend + season_ahead
     c = alpha + beta * np.concatenate([[0.0], damp[:-1]]) + gamma * (np.arange(horizon) % season == 0)
-    variance = total[i] / n * (1 + np.concatenate([[0.0], np.cumsum(c[1:] ** 2)]))
-    return normal_quantiles(mean, np.sqrt(variance), levels)
+    variance = total / n * (1 + np.concatenate([[0.0], np.cumsum(c[1:] ** 2)]))
+    return normal_quantiles(mean, np.sqrt(variance) * (season_ahead / seasons.mean() if times else 1.0), levels)
 
 
 def theta(train: np.ndarray, horizon: int, levels: np.ndarray, season: int = SEASON) -> np.ndarray:
@@ -112,35 +125,63 @@ def mstl(train: np.ndarray, horizon: int, levels: np.ndarray, seasons: tuple[int
     return np.maximum(ets(rest + 1e6, horizon, levels, season=1) - 1e6 + seasonal[:, None], 0.0)
 
 
-def arima(train: np.ndarray, horizon: int, levels: np.ndarray, season: int = SEASON, most: int = 8) -> np.ndarray:
-    """ARIMA(p, 0, 0)(0, 1, 0) of the week: an autoregression of weekly differences, its order chosen by AICc."""
-    d = train[season:] - train[:-season]
-    best = None
-    for p in range(most + 1):
-        y = d[most:]
-        x = np.column_stack([np.ones(len(y))] + [d[most - k : len(d) - k] for k in range(1, p + 1)])
-        coef, *_ = np.linalg.lstsq(x, y, rcond=None)
-        variance = float(((y - x @ coef) ** 2).mean())
-        k = p + 2
-        aicc = len(y) * np.log(max(variance, 1e-12)) + 2 * k + 2 * k * (k + 1) / max(len(y) - k - 1, 1)
-        if best is None or aicc < best[0]:
-            best = (aicc, coef, variance)
-    _, coef, variance = best
-    history, ahead = list(d), []
-    for _ in range(horizon):
-        ahead.append(coef[0] + sum(c * history[-k] for k, c in enumerate(coef[1:], 1)))
-        history.append(ahead[-1])
-    psi = np.zeros(horizon)
-    psi[0] = 1.0
-    for j in range(1, horizon):
-        psi[j] = sum(c * psi[j - k] for k, c in enumerate(coef[1:], 1) if j >= k)
-    whole = psi.copy()
-    for j in range(season, horizon):
-        whole[j] += whole[j - season]
-    mean = np.array(ahead)
+def _lagged(x: np.ndarray, lags: list[int], start: int) -> list[np.ndarray]:
+    return [x[start - k : len(x) - k] for k in lags]
+
+
+def _arma(w: np.ndarray, p: int, q: int, seasonal: int, season: int, shocks: np.ndarray, start: int) -> tuple[float, np.ndarray, float]:
+    """AICc, coefficients (constant, own lags, shock lags) and variance of one order, by least squares on lagged values and shocks."""
+    y = w[start:]
+    x = np.column_stack([np.ones(len(y)), *_lagged(w, [*range(1, p + 1), *[season] * seasonal], start), *_lagged(shocks, list(range(1, q + 1)), start)])
+    coef, *_ = np.linalg.lstsq(x, y, rcond=None)
+    variance = float(((y - x @ coef) ** 2).mean())
+    k = x.shape[1] + 1
+    return len(y) * np.log(max(variance, 1e-12)) + 2 * k + 2 * k * (k + 1) / max(len(y) - k - 1, 1), coef, variance
+
+
+def arima(train: np.ndarray, horizon: int, levels: np.ndarray, season: int = SEASON, most: tuple[int, int] = (3, 2)) -> np.ndarray:
+    """ARIMA(p, d, q)(P, D, 0) of the week: differences by their variance, orders by AICc, fitted in two rounds of least squares.
+
+    The first round, a long autoregression, gives the shocks that the moving-average
+    terms of the second are fitted on. Of no, a seasonal, a plain and both differences
+    the one of least variance is taken, where each has to lower it by a tenth.
+    """
+
+    def differenced(steps: tuple[int, ...]) -> np.ndarray:
+        out = train
+        for lag in steps:
+            out = out[lag:] - out[:-lag]
+        return out
+
+    lags = min(((), (season,), (1,), (season, 1)), key=lambda steps: differenced(steps).var() / 0.9 ** len(steps))
+    w = differenced(lags)
+    long = 2 * season
+    lagged = np.column_stack([np.ones(len(w) - long), *_lagged(w, list(range(1, long + 1)), long)])
+    coef, *_ = np.linalg.lstsq(lagged, w[long:], rcond=None)
+    shocks = np.concatenate([np.zeros(long), w[long:] - lagged @ coef])
+    start = long + most[1]
+    orders = product(range(most[0] + 1), range(most[1] + 1), (0, 1))
+    _, coef, variance, (p, q, seasonal) = min(((*_arma(w, p, q, s, season, shocks, start), (p, q, s)) for p, q, s in orders), key=lambda f: f[0])
+    own = np.zeros(max(p, season * seasonal) + 1)
+    own[1 : p + 1] += coef[1 : p + 1]
+    if seasonal:
+        own[season] += coef[p + 1]
+    moving = coef[1 + p + seasonal :]
+    history, recent, psi = list(w), list(shocks), np.zeros(horizon)
     for j in range(horizon):
-        mean[j] += train[len(train) - season + j] if j < season else mean[j - season]
-    return normal_quantiles(mean, np.sqrt(variance * np.cumsum(whole**2)), levels)
+        value = coef[0] + sum(c * history[-k] for k, c in enumerate(own[1:], 1)) + sum(c * recent[-k] for k, c in enumerate(moving, 1))
+        history.append(value)
+        recent.append(0.0)
+        psi[j] = (1.0 if j == 0 else moving[j - 1] if j <= q else 0.0) + sum(own[k] * psi[j - k] for k in range(1, min(j, len(own) - 1) + 1))
+    ahead = np.array(history[len(w) :])
+    past = [train]
+    for lag in lags:  # the series before each difference
+        past.append(past[-1][lag:] - past[-1][:-lag])
+    for lag, before in zip(reversed(lags), reversed(past[:-1]), strict=True):
+        for j in range(horizon):
+            ahead[j] += before[len(before) - lag + j] if j < lag else ahead[j - lag]
+            psi[j] += psi[j - lag] if j >= lag else 0.0
+    return normal_quantiles(ahead, np.sqrt(variance * np.cumsum(psi**2)), levels)
 
 
 MODELS: dict[str, Callable] = {"ets": ets, "theta": theta, "mstl": mstl, "arima": arima}

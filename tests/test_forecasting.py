@@ -222,3 +222,21 @@ def test_service_quantile_is_held_inside_the_bands(spark):
     at = lambda p: row.select(decision.service_quantile(F.col("b"), (0.05, 0.5, 0.95), p)).first()[0]
     assert [at(p) for p in (0.01, 0.05, 0.5, 0.95, 0.99)] == [10, 10, 20, 40, 40] and at(0.725) == pytest.approx(30)
     assert decision.DecisionInputs().slider_levels == [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
+
+
+def test_multiplying_seasons_and_moving_averages_are_found():
+    rng = np.random.default_rng(3)
+    week = np.array([0.6, 0.9, 1.0, 1.0, 1.1, 1.5, 0.9])
+    growing = np.linspace(60, 400, 420) * np.tile(week, 60) + rng.normal(0, 2, 420)
+    want = np.linspace(400, 400 + 14 * 340 / 419, 14) * np.tile(week, 2)
+    q = np.sort(statistical.ets(growing, 14, np.array(REPORTING)), axis=1)
+    assert np.abs(q[:, 5] / want - 1).max() < 0.06
+    shocks = rng.normal(0, 4, 1000)
+    noisy = 100 + shocks + 0.8 * np.concatenate([[0], shocks[:-1]])  # one lag of memory
+    q = np.sort(statistical.arima(noisy, 14, np.array(REPORTING)), axis=1)
+    wide = q[:, 8] - q[:, 2]
+    assert abs(q[0, 5] - (100 + 0.8 * shocks[-1])) < 2.5 and np.abs(q[2:, 5] - 100).max() < 2.5
+    assert wide[0] == pytest.approx(3.29 * 4, rel=0.15) and wide[5] == pytest.approx(3.29 * 4 * 1.64**0.5, rel=0.15)
+    walk = 500 + np.cumsum(rng.normal(0, 3, 1000))
+    q = np.sort(statistical.arima(walk, 14, np.array(REPORTING)), axis=1)
+    assert np.abs(q[:, 5] - walk[-1]).max() < 8 and (q[13, 8] - q[13, 2]) == pytest.approx(3.29 * 3 * 14**0.5, rel=0.25)
