@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embed_dedup, html_extract, linededup, packing, quality, simhash, toxicity, urlfilter
+from . import ann, bpe, embed_dedup, html_extract, importance, licenses, linededup, packing, quality, simhash, toxicity, urlfilter, whitening
 from .common import table
 
 
@@ -56,6 +56,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's distribution of word runs; the others without a rank."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sixteen whitened components of every embedding."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -67,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embed_dedup": op8_embed_dedup,
     "op9_urlfilter": op9_urlfilter,
     "op10_packing": op10_packing,
+    "op11_resample": op11_resample,
+    "op12_licenses": op12_licenses,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
