@@ -1,4 +1,4 @@
-"""Features of the global boosted model and the model itself."""
+"""Features of the global boosted model, as a table."""
 
 from __future__ import annotations
 
@@ -6,18 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import LEVELS, SEASON, Schedule
+from ..config import LEVELS, SEASON
 from ..functions.calendar import features as calendar_features
 
-RECENT = (0, 1, 6, 13)
-MEANS = (7, 28, 91)
-SAME_WEEKDAYS = 4
-#: Days of history before the first usable anchor.
-LOOKBACK = 91
-FEATURES = (
-    "step", "series", "level_code", *(f"same_weekday_{k}" for k in range(1, SAME_WEEKDAYS + 1)), *(f"recent_{k}" for k in RECENT),
-    *(f"mean_{k}" for k in MEANS), "dow", "day_of_year", "is_holiday", "is_holiday_observed",
-)
+#: Days back from the anchor that are features, lengths of the trailing means, same weekdays known, and the
+#: days of history that the longest of them needs.
+RECENT, MEANS, SAME_WEEKDAYS, LOOKBACK = (0, 1, 6, 13), (7, 28, 91), 4, 91
+_HISTORY = (*(f"recent_{k}" for k in RECENT), *(f"mean_{k}" for k in MEANS))
+_CALENDAR = ("dow", "day_of_year", "is_holiday", "is_holiday_observed")
 
 
 def scales(panel: DataFrame, origins: DataFrame) -> DataFrame:
@@ -51,7 +47,7 @@ def design(panel: DataFrame, node_ord: DataFrame, horizon: int, anchors: Column
     week = F.ceil(F.col("step") / F.lit(float(SEASON))).cast("int")
     same = [F.element_at("known", F.col("step") - 1 - SEASON * (week + k - 1)).alias(f"same_weekday_{k}") for k in range(1, SAME_WEEKDAYS + 1)]
     target = F.date_add("day", F.col("step"))
-    own = steps.select("node", "level", "day_idx", (F.col("day_idx") + F.col("step")).alias("target_idx"), target.alias("target"), "step", *same, *(f"recent_{k}" for k in RECENT), *(f"mean_{k}" for k in MEANS))
+    own = steps.select("node", "level", "day_idx", (F.col("day_idx") + F.col("step")).alias("target_idx"), target.alias("target"), "step", *same, *_HISTORY)
     span = panel.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
     days = span.select(F.explode(F.sequence("lo", F.date_add("hi", horizon))).alias("day"))
     dates = calendar_features(days, extend_years).select(
@@ -59,37 +55,6 @@ def design(panel: DataFrame, node_ord: DataFrame, horizon: int, anchors: Column
     )
     code = F.array_position(F.array(*(F.lit(x) for x in LEVELS)), F.col("level")) - 1
     series = node_ord.select("node", F.col("node_ord").alias("series"))
-    return own.join(dates, "target").join(series, "node").withColumn("level_code", code.cast("int")).select("node", "level", "day_idx", "target_idx", *FEATURES)
-
-
-def boosted(panel: DataFrame, node_ord: DataFrame, origins: DataFrame, schedule: Schedule, rounds: int = 20, depth: int = 5, anchor_step: int = 7, seed: int = 0) -> DataFrame:
-    """``model, origin, node, level, step, point``: one global boosted model with absolute loss for each refit origin.
-
-    It learns demand divided by each series' mean over the training window, from
-    anchors every ``anchor_step`` days, and serves the origins until the next refit.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    scaled_names = [c for c in FEATURES if c.startswith(("same_", "recent_", "mean_"))]
-    whole = design(panel, node_ord, schedule.horizon)
-    outcome = panel.select("node", F.col("day_idx").alias("target_idx"), F.col("value").alias("y"))
-    assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-
-    def scaled(rows: DataFrame) -> DataFrame:
-        return assemble.transform(rows.withColumns({c: F.col(c) / F.col("scale") for c in scaled_names}).withColumns({"series": F.col("series").cast("double")}))
-
-    out = None
-    for refit in [r for r in origins.orderBy("origin").collect() if r["refit"]]:
-        fitted = origins.filter(F.col("origin") == refit["origin"])
-        scale = scales(panel, fitted).select("node", "scale")
-        inside = (F.col("target_idx") <= refit["origin_idx"]) & (F.col("day_idx") >= refit["train_from"] + LOOKBACK - 1)
-        rows = whole.filter(inside & (F.pmod(F.lit(refit["origin_idx"]) - F.col("day_idx"), F.lit(anchor_step)) == 0))
-        train = scaled(rows.join(outcome, ["node", "target_idx"]).join(scale, "node")).withColumn("label", F.col("y") / F.col("scale"))
-        model = GBTRegressor(lossType="absolute", maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=seed, maxBins=64).fit(train.select("features", "label"))
-        served = origins.filter(F.col("refit_origin") == refit["origin"]).select("origin", F.col("origin_idx").alias("day_idx"))
-        ahead = scaled(whole.join(served, "day_idx").join(scale, "node"))
-        point = F.greatest(F.col("prediction") * F.col("scale"), F.lit(0.0)).alias("point")
-        own = model.transform(ahead).select(F.lit(f"gbt-refit{schedule.refit_every}").alias("model"), "origin", "node", "level", "step", point)
-        out = own if out is None else out.unionByName(own)
-    return out
+    return own.join(dates, "target").join(series, "node").withColumn("level_code", code.cast("int")).select(
+        "node", "level", "day_idx", "target_idx", "step", "series", "level_code", *(f"same_weekday_{k}" for k in range(1, SAME_WEEKDAYS + 1)), *_HISTORY, *_CALENDAR
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, NOMINAL, REPORTING, SCORING, Schedule
 from ..functions import calendar, scores
-from ..operators import checks, conformal, decision, design, hierarchy, inference, naive, reconcile, schedule as plan, statistical
+from ..operators import boosting, checks, conformal, decision, design, hierarchy, inference, naive, reconcile, schedule as plan, statistical
 from ..sources import ingest, star
 from ..streaming import online
 from . import backtest as bt
@@ -495,11 +495,15 @@ def mint_quantiles(spark, folder):
     return reconcile.reconciled_quantiles(_naive_with_actuals(s, REPORTING), s.edges, s.schedule, REPORTING)
 
 
+#: The default schedule with a refit each quarter, for models that are costly to fit.
+QUARTERLY = Schedule(refit_every=QUARTER)
+
+
 @query()
 def gbt(spark, folder):
-    """Boosted forecasts at four refit origins a year apart, as points with their errors by level."""
-    s = bt.setup(spark, folder, Schedule(step=364, refit_every=1))
-    found = design.boosted(s.panel, s.nodes, s.origins, s.schedule)
+    """Boosted forecasts of all origins by models refitted each quarter, as points with their errors by level."""
+    s = bt.setup(spark, folder, QUARTERLY)
+    found = boosting.boosted(s.panel, s.nodes, s.origins, s.schedule)
     return found.join(s.actuals().drop("level"), ["origin", "node", "step"]).groupBy("model", "level").agg(F.avg(F.abs(F.col("y") - F.col("point"))).alias("mae"))
 
 
