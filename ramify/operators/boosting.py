@@ -71,11 +71,11 @@ def _values(keys: np.ndarray) -> np.ndarray:
     return np.where(keys & top, keys ^ top, ~keys).view(np.float64)
 
 
-def order_statistics(groups: list[np.ndarray], shares: np.ndarray, total: Total | None = None) -> list[np.ndarray]:
+def order_statistics(groups: list[np.ndarray], shares: np.ndarray, total: Total | None = None, bits: int = 8) -> list[np.ndarray]:
     """For each group of values, those of rank ``ceil(share * n)`` (1 at least) among all tasks' rows; groups without rows have none.
 
-    Alone, by partial sorting; with other tasks, byte by byte of the ordered key:
-    eight exchanges of 256 counts a rank, however many rows there are.
+    Alone, by partial sorting; with other tasks, some bits of the ordered key at a
+    time: an exchange of ``2**bits`` counts a rank for each, however many rows there are.
     """
     if total is None:
         out = []
@@ -87,11 +87,14 @@ def order_statistics(groups: list[np.ndarray], shares: np.ndarray, total: Total
     n = total(np.array([len(k) for k in keys]))
     ranks = np.clip(np.ceil(shares[None, :] * n[:, None] - 1e-9).astype(int), 1, None)
     found = np.zeros(ranks.shape, np.uint64)
-    for shift in range(56, -8, -8):
-        tries = found[..., None] | (np.arange(256, dtype=np.uint64) << np.uint64(shift)) | np.uint64((1 << shift) - 1)
+    begin = 64
+    while begin:
+        shift = max(begin - bits, 0)
+        digits = np.arange(1 << (begin - shift), dtype=np.uint64) << np.uint64(shift)
+        tries = found[..., None] | digits | np.uint64((1 << shift) - 1)
         below = total(np.stack([np.searchsorted(k, t.ravel(), side="right").reshape(t.shape) for k, t in zip(keys, tries, strict=True)]))
-        digit = (below < ranks[..., None]).sum(axis=-1).clip(max=255)
-        found |= digit.astype(np.uint64) << np.uint64(shift)
+        found |= digits[(below < ranks[..., None]).sum(axis=-1).clip(max=len(digits) - 1)]
+        begin = shift
     return [_values(f) if size else np.zeros(0) for f, size in zip(found, n, strict=True)]
 
 
@@ -167,31 +170,43 @@ def grow(table: Table, state: np.ndarray, chosen: np.ndarray, p: Boosting, total
     """Splits ``(leaf, feature, left bins)`` in the order taken, and each leaf's rows here: always the leaf of most gain.
 
     A split's left rows keep the leaf's number, its right rows get the next one.
-    Only the smaller side is counted; the other is the difference.
+    Only the smaller side is counted; the other is the difference. Alone, sides are
+    counted when a leaf is split; with other tasks, those of all leaves that could
+    still be split are counted in one exchange, as exchanges are slow.
     """
     add = total or (lambda x: x)
     leaves: list[np.ndarray] = [np.arange(table.rows)]
     counts = [add(table.histogram(None, state))]
     splits: list[tuple[int, int, np.ndarray]] = []
     queue: list[tuple] = []
+    ready: dict[int, tuple[bool, np.ndarray]] = {}
 
     def offer(leaf: int) -> None:
         found = best_split(table, counts[leaf], chosen, p)
         if found:
             heapq.heappush(queue, (-found[0], leaf, found[1], found[2]))
 
+    def sides(leaf: int, feature: int, goes: np.ndarray) -> tuple[bool, np.ndarray]:
+        """Whether the left side is the smaller one, and its histogram here."""
+        part = counts[leaf][table.begins[feature] : table.begins[feature + 1]].sum(axis=1)
+        small = bool(part[goes].sum() * 2 <= part.sum())
+        return small, table.histogram(leaves[leaf][goes[table.columns[feature][leaves[leaf]]] == small], state)
+
     offer(0)
     while queue and len(leaves) < p.leaves:
+        if queue[0][1] not in ready:
+            # no leaf behind so many better ones can be reached any more
+            next_ones = heapq.nsmallest(p.leaves - len(leaves) if total else 1, queue, key=lambda q: q[:2])
+            found = {q[1]: sides(*q[1:]) for q in next_ones if q[1] not in ready}
+            summed = add(np.stack([h for _, h in found.values()]))
+            ready |= {leaf: (small, h) for (leaf, (small, _)), h in zip(found.items(), summed, strict=True)}
         _, leaf, feature, goes = heapq.heappop(queue)
+        small, held = ready.pop(leaf)
         rows, before = leaves[leaf], counts[leaf]
         to_left = goes[table.columns[feature][rows]]
-        left, right = rows[to_left], rows[~to_left]
-        part = before[table.begins[feature] : table.begins[feature + 1]].sum(axis=1)
-        small = part[goes].sum() * 2 <= part.sum()
-        held = add(table.histogram(left if small else right, state))
         splits.append((leaf, feature, goes))
-        leaves[leaf] = left
-        leaves.append(right)
+        leaves[leaf] = rows[to_left]
+        leaves.append(rows[~to_left])
         counts[leaf] = held if small else before - held
         counts.append(before - held if small else held)
         offer(leaf)
@@ -275,7 +290,7 @@ def fit(numbers: list[np.ndarray], categories: list[np.ndarray], sizes: list[int
         if not splits:
             trees.append(([], np.zeros(1)))
             continue
-        medians = order_statistics([errors[rows] for rows in leaves], half, total)
+        medians = order_statistics([errors[rows] for rows in leaves], half, total, bits=11)
         values = np.array([p.rate * m[0] if len(m) else 0.0 for m in medians])
         for rows, value in zip(leaves, values, strict=True):
             ahead[rows] += value
@@ -325,7 +340,7 @@ def _windows(panel: DataFrame, node_ord: DataFrame, origins: DataFrame) -> DataF
 
 
 def _gathered(task: BarrierTaskContext) -> Total:
-    """Adds up an array of whole numbers over the tasks of a barrier stage."""
+    """Adds up an array of whole numbers over the tasks of a barrier stage; Spark takes about a second for each exchange."""
 
     def total(x: np.ndarray) -> np.ndarray:
         sent = task.allGather(base64.b64encode(np.ascontiguousarray(x, np.int64).tobytes()).decode())
