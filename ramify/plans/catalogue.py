@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, NOMINAL, REPORTING, SCORING, Schedule
 from ..functions import calendar, scores
-from ..operators import boosting, checks, conformal, decision, design, hierarchy, inference, naive, reconcile, schedule as plan, statistical
+from ..operators import boosting, checks, conformal, decision, design, hierarchy, inference, naive, neural, reconcile, schedule as plan, statistical
 from ..sources import ingest, star
 from ..streaming import online
 from . import backtest as bt
@@ -515,6 +515,18 @@ def _statistical(spark, folder, name: str) -> DataFrame:
     s = bt.setup(spark, folder, MONTHLY)
     found = statistical.forecast(s.panel, s.origins, s.schedule, SCORING, {name: statistical.MODELS[name]})
     scored = scores.score_forecasts(found, s.actuals(), SCORING, REPORTING, NOMINAL)
+    return _by_level(scored)
+
+
+@query()
+def network(spark, folder):
+    """The multi-rate network on all origins, refitted each quarter, scored by level."""
+    s = bt.setup(spark, folder, QUARTERLY)
+    found = neural.forecast(s.panel, s.origins, s.schedule, SCORING)
+    return _by_level(scores.score_forecasts(found, s.actuals(), SCORING, REPORTING, NOMINAL))
+
+
+def _by_level(scored: DataFrame) -> DataFrame:
     return scored.groupBy("model", "level").agg(F.avg("crps").alias("crps"), F.avg(F.col("hits")[1].cast("int")).alias("coverage90"))
 
 
