@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SEASON, Schedule, check_levels
+from . import arima as sarima
+from .loess import decompose
 
 
 class Forecaster(Protocol):
@@ -109,79 +111,18 @@ def theta(train: np.ndarray, horizon: int, levels: np.ndarray, season: int = SEA
 
 
 def mstl(train: np.ndarray, horizon: int, levels: np.ndarray, seasons: tuple[int, ...] = (SEASON, 365)) -> np.ndarray:
-    """Seasonal means of several periods, taken in turn from the rest, then smoothing of the remainder; the interval has no seasonal variance."""
+    """Seasons of several periods by local regression, repeated as they were last, and smoothing of the rest; the interval has no seasonal variance."""
     n = len(train)
-    parts = {p: np.zeros(p) for p in seasons if n >= 2 * p}
-    for _ in range(3):
-        for p in parts:
-            rest = train - sum(s[np.arange(n) % q] for q, s in parts.items() if q != p)
-            own = np.array([rest[k::p].mean() for k in range(p)])
-            if p > 60:  # few cycles: a moving average over the year stands for a smoother
-                own = np.convolve(np.concatenate([own[-15:], own, own[:15]]), np.ones(31) / 31, mode="valid")
-            parts[p] = own - own.mean()
-    where = n + np.arange(horizon)
-    seasonal = sum((s[where % p] for p, s in parts.items()), np.zeros(horizon))
-    rest = train - sum((s[np.arange(n) % p] for p, s in parts.items()), np.zeros(n))
-    return np.maximum(ets(rest + 1e6, horizon, levels, season=1) - 1e6 + seasonal[:, None], 0.0)
-
-
-def _lagged(x: np.ndarray, lags: list[int], start: int) -> list[np.ndarray]:
-    return [x[start - k : len(x) - k] for k in lags]
-
-
-def _arma(w: np.ndarray, p: int, q: int, seasonal: int, season: int, shocks: np.ndarray, start: int) -> tuple[float, np.ndarray, float]:
-    """AICc, coefficients (constant, own lags, shock lags) and variance of one order, by least squares on lagged values and shocks."""
-    y = w[start:]
-    x = np.column_stack([np.ones(len(y)), *_lagged(w, [*range(1, p + 1), *[season] * seasonal], start), *_lagged(shocks, list(range(1, q + 1)), start)])
-    coef, *_ = np.linalg.lstsq(x, y, rcond=None)
-    variance = float(((y - x @ coef) ** 2).mean())
-    k = x.shape[1] + 1
-    return len(y) * np.log(max(variance, 1e-12)) + 2 * k + 2 * k * (k + 1) / max(len(y) - k - 1, 1), coef, variance
-
-
-def arima(train: np.ndarray, horizon: int, levels: np.ndarray, season: int = SEASON, most: tuple[int, int] = (3, 2)) -> np.ndarray:
-    """ARIMA(p, d, q)(P, D, 0) of the week: differences by their variance, orders by AICc, fitted in two rounds of least squares.
-
-    The first round, a long autoregression, gives the shocks that the moving-average
-    terms of the second are fitted on. Of no, a seasonal, a plain and both differences
-    the one of least variance is taken, where each has to lower it by a tenth.
-    """
+    parts, _ = decompose(train.astype(float), seasons)
+    where = np.arange(horizon)
+    ahead = sum((s[n - p + where % p] for p, s in parts.items()), np.zeros(horizon))
+    rest = train - sum(parts.values(), np.zeros(n))
+    return np.maximum(ets(rest + 1e6, horizon, levels, season=1) - 1e6 + ahead[:, None], 0.0)
+
 
-    def differenced(steps: tuple[int, ...]) -> np.ndarray:
-        out = train
-        for lag in steps:
-            out = out[lag:] - out[:-lag]
-        return out
-
-    lags = min(((), (season,), (1,), (season, 1)), key=lambda steps: differenced(steps).var() / 0.9 ** len(steps))
-    w = differenced(lags)
-    long = 2 * season
-    lagged = np.column_stack([np.ones(len(w) - long), *_lagged(w, list(range(1, long + 1)), long)])
-    coef, *_ = np.linalg.lstsq(lagged, w[long:], rcond=None)
-    shocks = np.concatenate([np.zeros(long), w[long:] - lagged @ coef])
-    start = long + most[1]
-    orders = product(range(most[0] + 1), range(most[1] + 1), (0, 1))
-    _, coef, variance, (p, q, seasonal) = min(((*_arma(w, p, q, s, season, shocks, start), (p, q, s)) for p, q, s in orders), key=lambda f: f[0])
-    own = np.zeros(max(p, season * seasonal) + 1)
-    own[1 : p + 1] += coef[1 : p + 1]
-    if seasonal:
-        own[season] += coef[p + 1]
-    moving = coef[1 + p + seasonal :]
-    history, recent, psi = list(w), list(shocks), np.zeros(horizon)
-    for j in range(horizon):
-        value = coef[0] + sum(c * history[-k] for k, c in enumerate(own[1:], 1)) + sum(c * recent[-k] for k, c in enumerate(moving, 1))
-        history.append(value)
-        recent.append(0.0)
-        psi[j] = (1.0 if j == 0 else moving[j - 1] if j <= q else 0.0) + sum(own[k] * psi[j - k] for k in range(1, min(j, len(own) - 1) + 1))
-    ahead = np.array(history[len(w) :])
-    past = [train]
-    for lag in lags:  # the series before each difference
-        past.append(past[-1][lag:] - past[-1][:-lag])
-    for lag, before in zip(reversed(lags), reversed(past[:-1]), strict=True):
-        for j in range(horizon):
-            ahead[j] += before[len(before) - lag + j] if j < lag else ahead[j - lag]
-            psi[j] += psi[j - lag] if j >= lag else 0.0
-    return normal_quantiles(ahead, np.sqrt(variance * np.cumsum(psi**2)), levels)
+def arima(train: np.ndarray, horizon: int, levels: np.ndarray, season: int = SEASON) -> np.ndarray:
+    """Seasonal ARIMA whose differences and orders are chosen by tests and AICc, fitted by the exact likelihood."""
+    return normal_quantiles(*sarima.ahead(train, horizon, season), levels)
 
 
 MODELS: dict[str, Callable] = {"ets": ets, "theta": theta, "mstl": mstl, "arima": arima}
