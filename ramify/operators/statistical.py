@@ -1,14 +1,12 @@
 """Statistical forecasters in numpy, one series window at a time, spread over Spark by (node, origin).
 
-They follow the published methods with coarse grids instead of optimisers, so
-they are relatives of the well-known libraries' models and not digit for digit
-the same.
+They follow the published methods with searches of their own, so they are
+relatives of the well-known libraries' models and not digit for digit the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import product
 from statistics import NormalDist
 from typing import Protocol
 
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import SEASON, Schedule, check_levels
 from . import arima as sarima
+from . import smoothing
 from .loess import decompose
 
 
@@ -33,91 +32,53 @@ def normal_quantiles(mean: np.ndarray, deviation: np.ndarray, levels: np.ndarray
     return np.maximum(mean[:, None] + deviation[:, None] * z[None, :], 0.0)
 
 
-#: Grids of smoothing parameters: level, trend, season, damping (1 is undamped, 0 is no trend).
-_ALPHA, _BETA, _GAMMA, _PHI = (0.02, 0.05, 0.1, 0.2, 0.4), (0.0, 0.005, 0.02), (0.0, 0.02, 0.05, 0.1, 0.2), (0.0, 0.95, 1.0)
-_ETS_GRID = np.array([(a, b, g, p) for a, b, g, p in product(_ALPHA, _BETA, _GAMMA, _PHI) if (p > 0) == (b > 0)])
+def ets_many(trains: np.ndarray, horizon: int, levels: np.ndarray, season: int = SEASON, forms: tuple = smoothing.FORMS) -> np.ndarray:
+    """Exponential smoothing of several windows of one length; each takes the form of least AICc."""
+    found = smoothing.fit_ets(trains, season, forms)
+    return np.stack([smoothing.ets_quantiles(f, trains.shape[1], horizon, levels, season) for f in found])
 
 
-def _smooth(x: np.ndarray, grid: np.ndarray, season: int, times: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Run additive-error exponential smoothing for all parameter rows at once: squared errors, last level, trend and seasons.
+def ets(train: np.ndarray, horizon: int, levels: np.ndarray, season: int = SEASON, forms: tuple = smoothing.FORMS) -> np.ndarray:
+    """``ets_many`` of one window."""
+    return ets_many(train[None, :], horizon, levels, season, forms)[0]
 
-    ``times``: seasons multiply the level instead of being added to it.
-    """
-    a, b, g, p = grid.T
-    cycles, mean = x[: 2 * season].reshape(2, season).mean(axis=0), x[: 2 * season].mean()
-    level = np.full(len(grid), mean)
-    trend = np.zeros(len(grid))
-    first = np.maximum(cycles / mean, 1e-3) if times else (cycles - mean) * (season > 1)
-    seasons = np.tile(first, (len(grid), 1))
-    total = np.zeros(len(grid))
-    for t, value in enumerate(x):
-        k = t % season
-        ahead = level + p * trend
-        own = seasons[:, k].copy()
-        error = value - (ahead * own if times else ahead + own)
-        total += error * error
-        part = error / own if times else error
-        level = ahead + a * part
-        trend = p * trend + b * part
-        seasons[:, k] += g * error / np.maximum(ahead, 1e-3) if times else g * error
-        if times:
-            np.maximum(seasons[:, k], 1e-3, out=seasons[:, k])
-    return total, level, trend, seasons
-
-
-def ets(train: np.ndarray, horizon: int, levels: np.ndarray, season: int = SEASON) -> np.ndarray:
-    """Exponential smoothing without, with damped or with full trend and with added or multiplying seasons; the form of least AICc, with analytic variance."""
-    n = len(train)
-    a, b, g, p = _ETS_GRID.T
-    k = 2 + season * (season > 1) + (g > 0) + 2.0 * (b > 0) + ((p > 0) & (p < 1))
-    best = None
-    for times in (False, True) if season > 1 and train.min() > 0 else (False,):
-        total, level, trend, seasons = _smooth(train, _ETS_GRID, season, times)
-        aicc = n * np.log(np.maximum(total / n, 1e-12)) + 2 * k + 2 * k * (k + 1) / np.maximum(n - k - 1, 1)
-        i = int(np.nan_to_num(aicc, nan=np.inf).argmin())
-        if best is None or aicc[i] < best[0]:
-            best = aicc[i], times, _ETS_GRID[i], total[i], level[i], trend[i], seasons[i]
-    _, times, (alpha, beta, gamma, phi), total, level, trend, seasons = best
-    h = np.arange(1, horizon + 1)
-    damp = np.cumsum(phi**h)
-    season_ahead = seasons[(n + h - 1) % season]
-    mean = (level + damp * trend) * season_ahead if times else level + damp * trend + season_ahead
-    c = alpha + beta * np.concatenate([[0.0], damp[:-1]]) + gamma * (np.arange(horizon) % season == 0)
-    variance = total / n * (1 + np.concatenate([[0.0], np.cumsum(c[1:] ** 2)]))
-    return normal_quantiles(mean, np.sqrt(variance) * (season_ahead / seasons.mean() if times else 1.0), levels)
+
+def theta_many(trains: np.ndarray, horizon: int, levels: np.ndarray, season: int = SEASON) -> np.ndarray:
+    """Theta method of several windows of one length: the best of its four forms, on series divided by weekly indices where a season shows."""
+    n = trains.shape[1]
+    index = np.stack([smoothing.seasonal_indices(x, season) for x in trains])
+    found = smoothing.fit_theta(trains / index[:, np.arange(n) % season])
+    out = []
+    for f, factors in zip(found, index[:, (n + np.arange(horizon)) % season], strict=True):
+        mean, deviation = smoothing.theta_ahead(f, n, horizon)
+        out.append(normal_quantiles(mean * factors, deviation * factors, levels))
+    return np.stack(out)
 
 
 def theta(train: np.ndarray, horizon: int, levels: np.ndarray, season: int = SEASON) -> np.ndarray:
-    """Theta method: simple smoothing with half the linear slope as drift, on series divided by weekly indices."""
-    n = len(train)
-    mean = train.mean()
-    index = np.array([train[k::season].mean() for k in range(season)]) / mean if mean > 0 else np.ones(season)
-    index = np.where(index > 0, index, 1.0)
-    factor = index[np.arange(n) % season]
-    x = train / factor
-    slope = np.polyfit(np.arange(n), x, 1)[0]
-    alphas = np.linspace(0.02, 0.8, 40)
-    level, total = np.full(40, x[:season].mean()), np.zeros(40)
-    for value in x:
-        error = value - level
-        total += error * error
-        level = level + alphas * error
-    i = int(total.argmin())
-    a, h = alphas[i], np.arange(1, horizon + 1)
-    drift = slope / 2 * (h - 1 + (1 - (1 - a) ** n) / a)
-    ahead = index[(n + h - 1) % season]
-    deviation = np.sqrt(total[i] / n * (1 + (h - 1) * a * a))
-    return normal_quantiles((level[i] + drift) * ahead, deviation * ahead, levels)
+    """``theta_many`` of one window."""
+    return theta_many(train[None, :], horizon, levels, season)[0]
+
+
+#: Forms for what a decomposition leaves, which may be negative.
+_ADDED = tuple(f for f in smoothing.FORMS if f.error == "A" and f.season == "N")
+
+
+def mstl_many(trains: np.ndarray, horizon: int, levels: np.ndarray, seasons: tuple[int, ...] = (SEASON, 365)) -> np.ndarray:
+    """``mstl`` of several windows of one length."""
+    n, where = trains.shape[1], np.arange(horizon)
+    rests, ahead = [], []
+    for x in trains.astype(float):
+        parts, _ = decompose(x, seasons)
+        rests.append(x - sum(parts.values(), np.zeros(n)))
+        ahead.append(sum((s[n - p + where % p] for p, s in parts.items()), np.zeros(horizon)))
+    high = 1e6  # keeps quantiles of the rest from being cut at 0
+    return np.maximum(ets_many(np.stack(rests) + high, horizon, levels, 1, _ADDED) - high + np.stack(ahead)[:, :, None], 0.0)
 
 
 def mstl(train: np.ndarray, horizon: int, levels: np.ndarray, seasons: tuple[int, ...] = (SEASON, 365)) -> np.ndarray:
     """Seasons of several periods by local regression, repeated as they were last, and smoothing of the rest; the interval has no seasonal variance."""
-    n = len(train)
-    parts, _ = decompose(train.astype(float), seasons)
-    where = np.arange(horizon)
-    ahead = sum((s[n - p + where % p] for p, s in parts.items()), np.zeros(horizon))
-    rest = train - sum(parts.values(), np.zeros(n))
-    return np.maximum(ets(rest + 1e6, horizon, levels, season=1) - 1e6 + ahead[:, None], 0.0)
+    return mstl_many(train[None, :], horizon, levels, seasons)[0]
 
 
 def arima(train: np.ndarray, horizon: int, levels: np.ndarray, season: int = SEASON) -> np.ndarray:
@@ -126,6 +87,21 @@ def arima(train: np.ndarray, horizon: int, levels: np.ndarray, season: int = SEA
 
 
 MODELS: dict[str, Callable] = {"ets": ets, "theta": theta, "mstl": mstl, "arima": arima}
+#: Forms of the models that fit several windows of one length faster than one by one, and windows fitted together.
+TOGETHER: dict[Callable, Callable] = {ets: ets_many, theta: theta_many, mstl: mstl_many}
+WINDOWS = 16
+
+
+def _quantiles(model: Callable, trains: list[np.ndarray], horizon: int, grid: np.ndarray) -> list[np.ndarray]:
+    """Ordered quantiles of each window."""
+    many, out = TOGETHER.get(model), [None] * len(trains)
+    for n in {len(x) for x in trains} if many else ():
+        rows = [i for i, x in enumerate(trains) if len(x) == n]
+        for k in range(0, len(rows), WINDOWS):
+            own = rows[k : k + WINDOWS]
+            for i, q in zip(own, many(np.stack([trains[i] for i in own]), horizon, grid), strict=True):
+                out[i] = np.sort(q, axis=1)
+    return out if many else [np.sort(model(x, horizon, grid), axis=1) for x in trains]
 
 
 def training_windows(panel: DataFrame, origins: DataFrame) -> DataFrame:
@@ -146,12 +122,10 @@ def forecast(panel: DataFrame, origins: DataFrame, schedule: Schedule, levels, m
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                train = np.asarray(r.train, float)
-                for name, model in models.items():
-                    q = np.sort(model(train, horizon, grid), axis=1)
-                    out += [(name, r.origin, r.node, k + 1, q[k]) for k in range(horizon)]
+            trains, out = [np.asarray(x, float) for x in batch["train"]], []
+            for name, model in models.items():
+                for origin, node, q in zip(batch["origin"], batch["node"], _quantiles(model, trains, horizon, grid), strict=True):
+                    out += [(name, origin, node, k + 1, q[k]) for k in range(horizon)]
             yield pd.DataFrame(out, columns=["model", "origin", "node", "step", "q"])
 
     dealt = training_windows(panel, origins).repartition("origin", "node")
