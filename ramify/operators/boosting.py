@@ -373,8 +373,8 @@ def fitted(panel: DataFrame, node_ord: DataFrame, origins: DataFrame, schedule:
             model = learn(rows, None).dump()
             return pd.DataFrame({"refit_origin": [int(rows["refit_origin"].iloc[0])], "model": [model], "seconds": [time.time() - began]})
 
-        # as many tasks as fits: keys of a few refits would share tasks by chance
-        rows = _windows(panel, node_ord, refits).repartition(max(refits.count(), 1), "refit_origin")
+        # more parts than fits: keys of a few refits would share tasks by chance
+        rows = _windows(panel, node_ord, refits).repartition(8 * max(refits.count(), 1), "refit_origin")
         return rows.groupBy("refit_origin").applyInPandas(alone, schema)
 
     def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -187,7 +187,7 @@ def fitted(panel: DataFrame, origins: DataFrame, schedule: Schedule, levels, p:
     rounds = 1 if shards == 1 else p.rounds
     refits = origins.filter("refit")
     keys = panel.select("node").distinct().withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
-    windows = training_windows(panel, refits).join(keys, "node").withColumnRenamed("origin", "refit_origin").repartition(max(refits.count() * shards, 1), "refit_origin", "shard")
+    windows = training_windows(panel, refits).join(keys, "node").withColumnRenamed("origin", "refit_origin").repartition(8 * max(refits.count() * shards, 1), "refit_origin", "shard")
     models = refits.select(F.col("origin").alias("refit_origin"), F.lit(dump(net.start())).alias("model"), F.lit(0.0).alias("seconds"))
 
     def steps(number: int):

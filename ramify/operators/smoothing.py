@@ -219,6 +219,10 @@ def fit_theta(x: np.ndarray, moves: int = MOVES) -> list[tuple[tuple[bool, bool]
     window, form = np.repeat(np.arange(m), 4), np.tile(np.arange(4), m)
     fitted, moving = np.array([f for f, _ in THETAS])[form], np.array([d for _, d in THETAS])[form]
     unit = np.maximum(x.std(axis=1), 1e-9)
+    # the line that each problem knows on each day: that of the days before it, or the whole one
+    before = lambda line: np.concatenate([line[:, :1] * 0, line[:, :-1]], axis=1)
+    starts, slopes = (np.where(moving[:, None], before(line)[window], line[window, -1:]).T.copy() for line in (level, slope))
+    days = x.T[:, window].copy()
 
     def values(rows: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         alpha = 0.01 + 0.98 * _share(free[:, 0])
@@ -227,15 +231,14 @@ def fit_theta(x: np.ndarray, moves: int = MOVES) -> list[tuple[tuple[bool, bool]
 
     def errors(rows: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         alpha, theta, now = values(rows, free)
-        w, part, total, rest = window[rows], 1 - 1 / theta, 0.0, np.ones(len(rows))
+        y, kept = days[:, rows], 1 - alpha
+        fading = kept ** np.arange(n)[:, None]
+        lines = (1 - 1 / theta) * (fading * starts[:, rows] + (1 - fading * kept) / alpha * slopes[:, rows])
+        total, part = 0.0, alpha * y
         for t in range(n):
-            last = np.where(moving[rows], max(t - 1, 0), n - 1)  # the line known before day t, or the whole one
-            a, b = level[w, last] * (t > 0) + level[w, last] * (~moving[rows] & (t == 0)), slope[w, last]
-            ahead = now + part * (rest * a + (1 - rest * (1 - alpha)) / alpha * b)
-            e = x[w, t] - ahead
+            e = y[t] - now - lines[t]
             total = total + e * e
-            now = alpha * x[w, t] + (1 - alpha) * now
-            rest = rest * (1 - alpha)
+            now = part[t] + kept * now
         return total / n, now
 
     start = np.tile([0.0, 0.0, 0.0], (4 * m, 1))

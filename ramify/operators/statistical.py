@@ -128,7 +128,9 @@ def forecast(panel: DataFrame, origins: DataFrame, schedule: Schedule, levels, m
                     out += [(name, origin, node, k + 1, q[k]) for k in range(horizon)]
             yield pd.DataFrame(out, columns=["model", "origin", "node", "step", "q"])
 
-    dealt = training_windows(panel, origins).repartition("origin", "node")
+    # fits cost time, not bytes: a number of parts of its own keeps Spark from joining them by size
+    tasks = 4 * panel.sparkSession.sparkContext.defaultParallelism
+    dealt = training_windows(panel, origins).repartition(tasks, "origin", "node")
     return dealt.mapInPandas(run, "model string, origin int, node string, step int, q array<double>")
 
 

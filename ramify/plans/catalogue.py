@@ -495,14 +495,14 @@ def mint_quantiles(spark, folder):
     return reconcile.reconciled_quantiles(_naive_with_actuals(s, REPORTING), s.edges, s.schedule, REPORTING)
 
 
-#: The default schedule with a refit each quarter, for models that are costly to fit.
-QUARTERLY = Schedule(refit_every=QUARTER)
+#: The default schedule with a refit each half-year, for models that are costly to fit.
+SELDOM = Schedule(refit_every=2 * QUARTER)
 
 
 @query()
 def gbt(spark, folder):
-    """Boosted forecasts of all origins by models refitted each quarter, as points with their errors by level."""
-    s = bt.setup(spark, folder, QUARTERLY)
+    """Boosted forecasts of all origins by models refitted each half-year, as points with their errors by level."""
+    s = bt.setup(spark, folder, SELDOM)
     found = boosting.boosted(s.panel, s.nodes, s.origins, s.schedule)
     return found.join(s.actuals().drop("level"), ["origin", "node", "step"]).groupBy("model", "level").agg(F.avg(F.abs(F.col("y") - F.col("point"))).alias("mae"))
 
@@ -520,8 +520,8 @@ def _statistical(spark, folder, name: str) -> DataFrame:
 
 @query()
 def network(spark, folder):
-    """The multi-rate network on all origins, refitted each quarter, scored by level."""
-    s = bt.setup(spark, folder, QUARTERLY)
+    """The multi-rate network on all origins, refitted each half-year, scored by level."""
+    s = bt.setup(spark, folder, SELDOM)
     found = neural.forecast(s.panel, s.origins, s.schedule, SCORING)
     return _by_level(scores.score_forecasts(found, s.actuals(), SCORING, REPORTING, NOMINAL))
 
