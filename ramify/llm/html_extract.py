@@ -3,9 +3,9 @@
 A page is read into blocks of text, each with its root-to-leaf tag path. A step of
 a path is an element's tag with its class and id. For every path the text and the
 punctuation of all its blocks are added up and divided by the number of blocks,
-and the two ratios are fused into one. Text inside page furniture (navigation,
-adverts, notices, forms, comments and so on) doesn't count, and link text counts
-little. The fused ratios are smoothed over the tag tree: a path takes the best
+and the two ratios are fused into one. Text inside page furniture (navigation, sides,
+reader comments and so on) doesn't count, link text counts little, and so does text in
+elements whose class or id sounds like furniture, unless it is the page's best. The fused ratios are smoothed over the tag tree: a path takes the best
 ratio that it meets under one of its ancestors, less a share for every level
 between, or none inside an article. Paths over a threshold of the page's own are
 content, and their blocks are the text. A block outside the element that holds
@@ -39,7 +39,7 @@ INLINE = frozenset(
 )
 #: Elements that are page furniture or no text wherever they stand.
 FURNITURE = frozenset(
-    "nav aside footer form menu dialog button fieldset template select svg object canvas datalist audio video annotation annotation-xml".split()
+    "nav aside footer menu dialog button fieldset template select svg object canvas datalist audio video annotation annotation-xml".split()
 )
 #: Words of a class, id or role that mark page furniture.
 MARKS = frozenset(
@@ -58,6 +58,8 @@ HEADERS = frozenset("header head".split())
 #: Punctuation of running text.
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？،।]")
 
+#: What text counts in an element whose names mark it as furniture, for each of them that it lies in.
+MARKED = 0.1
 #: Share of the page's mean ratio that a content path reaches.
 THRESHOLD = 0.5
 #: What is left of a ratio for every level that it is handed up outside an article.
@@ -77,7 +79,7 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 @dataclass(slots=True)
 class Path:
-    """A tag path: its last step, its parent, and whether it lies in furniture or in an article."""
+    """A tag path: its last step, its parent, whether it lies in furniture or in an article, whether it is marked itself, and what its text counts."""
 
     number: int
     parent: Path | None
@@ -85,6 +87,8 @@ class Path:
     depth: int = 0
     furniture: bool = False
     article: bool = False
+    marked: bool = False
+    factor: float = 1.0
     steps: dict[tuple, Path] = field(default_factory=dict)
 
 
@@ -115,18 +119,19 @@ def _attributes(attrs: str) -> tuple[set[str], bool, bool]:
     return words, hidden, silent
 
 
-def _is_furniture(tag: str, words: set[str], hidden: bool, silent: bool, inside_article: bool) -> bool:
+def _is_furniture(tag: str, words: set[str], hidden: bool, inside_article: bool) -> bool:
     if tag in FURNITURE or hidden:
         return True
     if tag == "header":
         return not inside_article
-    if tag in ("html", "body"):
-        return False
-    if words & COMMENTS:
-        return True
-    if tag in ("article", "main"):
+    return tag not in ("html", "body") and bool(words & COMMENTS)
+
+
+def _is_marked(tag: str, words: set[str], silent: bool, inside_article: bool) -> bool:
+    """Whether an element's names say that it is furniture, which a page's story may overrule."""
+    if tag in ("html", "body", "article", "main"):
         return False
-    return silent or bool(words & MARKS) or not inside_article and bool(words & HEADERS)
+    return tag == "form" or silent or bool(words & MARKS) or not inside_article and bool(words & HEADERS)
 
 
 #: Elements that end when a sibling of the second kind begins.
@@ -255,11 +260,12 @@ def blocks(page: str) -> list[Block]:
         in_link = 0
         _, parent, chain = stack[-1]
         words, hidden, silent = _attributes(attrs) if attrs else (set(), False, False)
-        furniture = parent.furniture or _is_furniture(tag, words, hidden, silent, parent.article)
-        article = not furniture and (parent.article or tag in ("article", "main") or "articlebody" in attrs.lower())
-        step = (tag, *sorted(words), furniture, article)
+        furniture = parent.furniture or _is_furniture(tag, words, hidden, parent.article)
+        marked = _is_marked(tag, words, silent, parent.article)
+        article = not furniture and (parent.article and not marked or tag in ("article", "main") or "articlebody" in attrs.lower())
+        step = (tag, *sorted(words), furniture, article, marked)
         if (path := parent.steps.get(step)) is None:
-            path = parent.steps[step] = Path(paths, parent, tag, parent.depth + 1, furniture, article)
+            path = parent.steps[step] = Path(paths, parent, tag, parent.depth + 1, furniture, article, marked, parent.factor * (MARKED if marked else 1.0))
             paths += 1
         if attrs.rstrip().endswith("/") and tag not in ("p", "div", "span", "li"):
             continue
@@ -280,7 +286,7 @@ def _fused(chars: float, marks: float) -> float:
 
 
 def path_ratios(found: list[Block]) -> dict[int, float]:
-    """The fused ratio of every path that has blocks: characters a block, raised by its punctuation; none in furniture."""
+    """The fused ratio of every path that has blocks: characters a block, raised by its punctuation; less where marked, none in furniture."""
     count: Counter = Counter()
     chars: Counter = Counter()
     marks: Counter = Counter()
@@ -289,7 +295,8 @@ def path_ratios(found: list[Block]) -> dict[int, float]:
         if not b.path.furniture:
             chars[b.path.number] += _chars(b)
             marks[b.path.number] += len(PUNCTUATION.findall(b.text))
-    return {k: _fused(chars[k] / n, marks[k] / n) for k, n in count.items()}
+    factors = {b.path.number: b.path.factor for b in found}
+    return {k: factors[k] * _fused(chars[k] / n, marks[k] / n) for k, n in count.items()}
 
 
 def smoothed(found: list[Block], ratios: dict[int, float]) -> dict[int, float]:
@@ -297,7 +304,8 @@ def smoothed(found: list[Block], ratios: dict[int, float]) -> dict[int, float]:
 
     A ratio loses a share for each level it goes up, none within an article and two
     for leaving it. Two passes over the tag tree: the best from below, then the best from above.
-    Paths in furniture keep their own.
+    Nothing is handed into a marked element or out of it, and paths in furniture keep
+    their own.
     """
     nodes: dict[int, Path] = {}
     for b in found:
@@ -308,11 +316,11 @@ def smoothed(found: list[Block], ratios: dict[int, float]) -> dict[int, float]:
     order = sorted(nodes.values(), key=lambda p: p.depth)
     best = {p.number: ratios.get(p.number, 0.0) for p in order}
     for p in reversed(order):
-        if p.parent is not None and not p.furniture:
+        if p.parent is not None and not p.furniture and not p.marked:
             handed = best[p.number] * (1.0 if p.parent.article else DECAY**2 if p.article else DECAY)
             best[p.parent.number] = max(best[p.parent.number], handed)
     for p in order:
-        if p.parent is not None and not p.furniture:
+        if p.parent is not None and not p.furniture and not p.marked:
             best[p.number] = max(best[p.number], best[p.parent.number])
     return {p.number: ratios.get(p.number, 0.0) if p.furniture else best[p.number] for p in order}
 
@@ -368,14 +376,14 @@ def main_text(page: str | None) -> str:
     """The page's article as one line of text, blocks joined by a space; empty if there is none."""
     found = blocks(page or "")
     ratios = path_ratios(found)
-    weights = [0.0 if b.path.furniture else _chars(b) for b in found]
+    weights = [0.0 if b.path.furniture else b.path.factor * _chars(b) for b in found]
     if not (total := sum(weights)):
         return ""
     bound = THRESHOLD * sum(w * ratios[b.path.number] for w, b in zip(weights, found, strict=True)) / total
     content = {k for k, r in smoothed(found, ratios).items() if r >= bound}
     chosen = [b for b in found if b.path.number in content]
     inside = _inside(chosen, _holder(chosen))
-    return " ".join(b.text for b, near in zip(chosen, inside, strict=True) if near or b.path.article or _fused(_chars(b), len(PUNCTUATION.findall(b.text))) >= bound)
+    return " ".join(b.text for b, near in zip(chosen, inside, strict=True) if near or b.path.article or b.path.factor * _fused(_chars(b), len(PUNCTUATION.findall(b.text))) >= bound)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
