@@ -79,7 +79,7 @@ class Hnsw:
             sizes = [len(x) for x in layers]
         #: Row of the matrix by node.
         self.order = order
-        self.vectors = np.ascontiguousarray(vectors, np.float32)[order]
+        self.vectors = np.ascontiguousarray(vectors, np.float64)[order]  # single precision loses small vectors beside large ones
         self.squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
         if layers is not None:
             self.layers = layers
@@ -101,7 +101,7 @@ class Hnsw:
         rows = np.arange(n)[:, None]
         visited = np.zeros((n, upto + 1), bool)  # the last column stands for -1
         visited[:, upto] = True
-        beam_d, beam_i = np.full((n, keep), np.inf, np.float32), np.full((n, keep), -1, np.int64)
+        beam_d, beam_i = np.full((n, keep), np.inf), np.full((n, keep), -1, np.int64)
         done = np.ones((n, keep), bool)  # expanded, or empty
 
         def add(at: np.ndarray, nodes: np.ndarray) -> None:
@@ -143,7 +143,7 @@ class Hnsw:
         own = self.vectors[np.maximum(nodes, 0)]
         squares = self.squares[np.maximum(nodes, 0)]
         between = squares[:, :, None] + squares[:, None, :] - 2 * np.matmul(own, own.transpose(0, 2, 1))
-        blocked = np.full((n, m), np.inf, np.float32)
+        blocked = np.full((n, m), np.inf)
         chosen, count = np.zeros((n, m), bool), np.zeros(n, np.int64)
         for j in range(m):
             take = (nodes[:, j] >= 0) & (d[:, j] < blocked[:, j]) & (count < most)
@@ -215,7 +215,7 @@ class Hnsw:
             return out
         side = max(1, min(SIDE_BY_SIDE, VISITED // n))
         for at in range(0, len(queries), side):
-            part = np.ascontiguousarray(queries[at : at + side], np.float32)
+            part = np.ascontiguousarray(queries[at : at + side], np.float64)
             nodes = self._search(part, self._starts(part, 0, n), 0, max(keep, self.settings.search), n)[1][:, :keep]
             out[at : at + side] = np.where(nodes < 0, -1, self.order[nodes])
         return out
@@ -251,10 +251,15 @@ class Shard:
         """(query id, class by rep and mark, score) of the ``keep`` best for each query; classes that hold nothing but its own id are left out."""
         found = self.graph.search(np.column_stack([queries, np.zeros(len(queries))]), max(keep, self.graph.settings.search))
         use = (found >= 0) & (self.only[found] != ids[:, None])
-        use &= np.cumsum(use, axis=1) <= keep
+        row, column = np.nonzero(use)
+        score = np.full(found.shape, -np.inf)
+        score[row, column] = (self.vec[found[row, column]] * queries[row]).sum(axis=1)
+        # the best of all that were found, by exact products; ties to the class that comes first
+        order = np.lexsort((found, -score), axis=1)[:, :keep]
+        found, score, use = (np.take_along_axis(x, order, axis=1) for x in (found, score, use))
         row, column = np.nonzero(use)
         near = found[row, column]
-        return ids[row], self.reps[near], self.marks[near], (self.vec[near] * queries[row]).sum(axis=1)
+        return ids[row], self.reps[near], self.marks[near], score[row, column]
 
 
 _INDEX = "shard bigint, dim bigint, size bigint, reps binary, marks binary, only binary, vecs binary, order binary, widths array<int>, layers array<binary>"
