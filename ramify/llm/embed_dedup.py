@@ -34,6 +34,8 @@ COSINE = 0.95
 CHUNK = 1024
 #: Products in single rounding differ from the cosine by less than this; what is within it is computed exactly.
 MARGIN = 1e-9
+#: Pairs whose vectors or cells are gathered at a time: a bucket of near copies lists a million.
+PAIRS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -156,7 +158,7 @@ def _compare(settings: LatticeSettings, cosine: float):
         i, j = i[keep], j[keep]
         if not len(i):
             return None
-        exact = (unit[i] * unit[j]).sum(axis=1) >= cosine
+        exact = np.concatenate([(unit[i[s : s + PAIRS]] * unit[j[s : s + PAIRS]]).sum(axis=1) >= cosine for s in range(0, len(i), PAIRS)])
         i, j = i[exact], j[exact]
         if not len(i):
             return None
@@ -165,7 +167,7 @@ def _compare(settings: LatticeSettings, cosine: float):
         a, b = at[: len(i)], at[len(i) :]
         root = forest(len(used), a, b)
         moved = np.flatnonzero(root != np.arange(len(used)))
-        first = np.concatenate([_first_meeting(own[a[s : s + 65536]], own[b[s : s + 65536]]) for s in range(0, len(a), 65536)])
+        first = np.concatenate([_first_meeting(own[a[s : s + PAIRS]], own[b[s : s + PAIRS]]) for s in range(0, len(a), PAIRS)])
         counts = np.zeros(len(used), np.int64)
         mine = first == bucket
         np.add.at(counts, a[mine], n[j[mine]])
