@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT
 
     sample = checkpointed(
         sampled.mapInArrow(sign, "text string, label int, signature bigint")
-        .dropDuplicates(["signature", "label"])
+        .groupBy("signature", "label").agg(F.min("text").alias("text"))  # the same one whatever the partitions
         .select("text", "label", F.xxhash64("signature", "label").alias("id"))
     )
 
@@ -233,6 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT
             )
 
     seen = sample.mapInArrow(measure, "a double, b double, label int").toPandas()
+    seen = seen.sort_values(["a", "b", "label"])  # sums in one order give one model
     intercept, slopes = logistic(seen[["a", "b"]].to_numpy(), seen["label"].to_numpy(), l2=1e-4)
     return ToxicityModel(weights, curve=(intercept, float(slopes[0]), float(slopes[1])))
 
