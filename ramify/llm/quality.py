@@ -159,15 +159,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT
     cut = sample.select("label", *(c.alias(n) for n, c in parts(F.col("text")).items()))
     seen = cut.select(*(c.alias(n) for n, c in values.items()), "label").toPandas()
     names = list(values)
+    seen = seen.sort_values([*names, "label"])  # sums in one order give one model
     return fit_rules(seen[names].to_numpy(float), seen["label"].to_numpy(float), names)
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", column: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score, from 0 to 1. A null text counts as empty; repeated rows stay."""
-    cut = {f"__{n}": c for n, c in parts(F.col(text)).items()}  # a projection of its own, so that a text is split once
-    stats = statistics({n.removeprefix("__"): F.col(n) for n in cut})
-    inner = docs.withColumns(cut).withColumn("__statistics", F.struct(*(c.alias(n) for n, c in stats.items())))
-    return inner.withColumn(column, model.score({n: F.col(f"__statistics.{n}") for n in stats})).drop("__statistics", *cut)
+    # the row travels as one column, so that its names meet none of these
+    kept = [c for c in docs.columns if c != column]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
+    cut = docs.select(row, *(c.alias(n) for n, c in parts(F.col(f"`{text}`")).items()))  # a projection of its own, so that a text is split once
+    stats = statistics({n: F.col(n) for n in cut.columns if n != "row"})
+    inner = cut.select("row", F.struct(*(c.alias(n) for n, c in stats.items())).alias("statistics"))
+    return inner.select(*(F.col(f"row.`{c}`") for c in kept), model.score({n: F.col(f"statistics.{n}") for n in stats}).alias(column))
 
 
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
