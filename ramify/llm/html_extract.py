@@ -60,6 +60,8 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。，！？،।]")
 
 #: What text counts in an element whose names mark it as furniture, for each of them that it lies in.
 MARKED = 0.1
+#: Characters of text in marked elements alone that make a story; less is the furniture that the names say.
+LEAST_MARKED = 200
 #: Share of the page's mean ratio that a content path reaches.
 THRESHOLD = 0.5
 #: What is left of a ratio for every level that it is handed up outside an article.
@@ -383,7 +385,13 @@ def main_text(page: str | None) -> str:
     content = {k for k, r in smoothed(found, ratios).items() if r >= bound}
     chosen = [b for b in found if b.path.number in content]
     inside = _inside(chosen, _holder(chosen))
-    return " ".join(b.text for b, near in zip(chosen, inside, strict=True) if near or b.path.article or b.path.factor * _fused(_chars(b), len(PUNCTUATION.findall(b.text))) >= bound)
+    own = [
+        b for b, near in zip(chosen, inside, strict=True)
+        if near or b.path.article or b.path.factor * _fused(_chars(b), len(PUNCTUATION.findall(b.text))) >= bound
+    ]
+    if all(b.path.factor < 1 for b in own) and sum(len(b.text) for b in own) < LEAST_MARKED:
+        return ""
+    return " ".join(b.text for b in own)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
