@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import checkpointed, maybe_wanted, maybe_wanted_mark, numbered, rows_of, small_batches, written
-from .components import components
+from .components import components, forest
 
 #: Rows of a bucket that meet in one task; larger buckets are cut into chunks of so many.
 CHUNK = 2048
@@ -211,21 +211,6 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").reshape(blocks, words * 64, 8).copy().view(np.uint64)[:, :, 0]
 
 
-def forest(n: int, x: np.ndarray, y: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
-    """Smallest linked position for each of n positions, by hooking and pointer jumping; ``root`` holds earlier links."""
-    root = np.arange(n) if root is None else root
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        while not (new == (jump := new[new])).all():
-            new = jump
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _links(rep: np.ndarray, fps: np.ndarray, side: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Forest links of consecutive groups that end at ``ends``; side 0 meets side 1, or itself (side 2)."""
     start = 0
