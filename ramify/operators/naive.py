@@ -57,22 +57,70 @@ def seasonal_naive(panel: DataFrame, origins: DataFrame, schedule: Schedule, lev
     return panel.select("node", "day_idx", "value").groupBy("node").applyInPandas(run, "model string, origin int, node string, step int, q array<double>")
 
 
+class RankedCounts:
+    """Counts by rank of the values in a window that moves over ``values``; order statistics take the log of their number."""
+
+    def __init__(self, values: np.ndarray):
+        self.sorted, rank = np.unique(values, return_inverse=True)
+        self.rank, self.size, self.n = rank + 1, len(self.sorted), 0
+        self.tree = np.zeros(self.size + 1, np.int64)
+
+    def move(self, places: np.ndarray, by: int) -> None:
+        """Count the values at these places once more (1) or once less (-1)."""
+        at = self.rank[places]
+        self.n += by * len(at)
+        while len(at):
+            np.add.at(self.tree, at, by)
+            at = at + (at & -at)
+            at = at[at <= self.size]
+
+    def smallest(self, k: np.ndarray) -> np.ndarray:
+        """The values of 0-based places ``k`` in the order of the window."""
+        at, left = np.zeros(len(k), np.int64), k + 1
+        for bit in range(self.size.bit_length() - 1, -1, -1):
+            ahead = at + (1 << bit)
+            below = self.tree[np.minimum(ahead, self.size)]
+            go = (ahead <= self.size) & (below < left)
+            at, left = np.where(go, ahead, at), np.where(go, left - below, left)
+        return self.sorted[at]
+
+    def quantiles(self, levels: np.ndarray) -> np.ndarray:
+        """Quantiles between neighbouring order statistics, in proportion."""
+        at = levels * (self.n - 1)
+        low = np.floor(at).astype(np.int64)
+        a, b = self.smallest(low), self.smallest(np.minimum(low + 1, self.n - 1))
+        return a + (b - a) * (at - low)
+
+
 def residual_quantiles(panel: DataFrame, origins: DataFrame, schedule: Schedule, levels) -> DataFrame:
-    """``origin, node, lag, residuals``: the quantiles of seasonal differences alone, all in SQL operators.
+    """``origin, node, lag, residuals``: the quantiles of seasonal differences alone.
 
-    Joins origins to every day of their windows; meant for sparse schedules.
+    One task per node. A node's differences enter and leave ranked counts as the
+    window moves, so the work grows with its days, not with days times origins.
+    Days that a node lacks give no difference; a window without any has no row.
     """
-    weeks = -(-schedule.horizon // SEASON)
-    lagged = [
-        panel.select("node", F.col("day_idx").alias("old_idx"), F.col("value").alias("old"))
-        .withColumn("lag", F.lit(SEASON * (k + 1)))
-        .withColumn("day_idx", F.col("old_idx") + SEASON * (k + 1))
-        for k in range(weeks)
-    ]
-    old = lagged[0]
-    for more in lagged[1:]:
-        old = old.union(more)
-    differences = panel.select("node", "day_idx", "value").join(old, ["node", "day_idx"]).withColumn("d", F.col("value") - F.col("old"))
-    windows = origins.select("origin", F.explode(F.sequence("train_from", "origin_idx")).alias("day_idx"), "train_from")
-    inside = differences.join(windows, "day_idx").filter(F.col("old_idx") >= F.col("train_from"))
-    return inside.groupBy("origin", "node", "lag").agg(F.percentile("d", F.array(*(F.lit(q) for q in levels))).alias("residuals"))
+    check_levels(levels)
+    plan = [(r["origin"], r["origin_idx"], r["train_from"]) for r in origins.orderBy("origin").collect()]
+    grid, lags = np.array(levels), [SEASON * (k + 1) for k in range(-(-schedule.horizon // SEASON))]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        days = rows["day_idx"].to_numpy()
+        x = np.full(days.max() + 1, np.nan)
+        x[days] = rows["value"].to_numpy(float)
+        out = []
+        for lag in lags:
+            d = x[lag:] - x[:-lag]
+            known = np.flatnonzero(np.isfinite(d))
+            counts = RankedCounts(d[known])
+            low = high = 0
+            for origin, last, first in plan:
+                # a difference counts if both of its days lie in [first, last]
+                new_low, new_high = np.searchsorted(known, [first, max(last - lag + 1, first)])
+                counts.move(np.arange(max(high, new_low), new_high), 1)
+                counts.move(np.arange(low, min(new_low, high)), -1)
+                low, high = new_low, new_high
+                if counts.n:
+                    out.append((origin, rows["node"].iloc[0], lag, counts.quantiles(grid)))
+        return pd.DataFrame(out, columns=["origin", "node", "lag", "residuals"])
+
+    return panel.select("node", "day_idx", "value").groupBy("node").applyInPandas(run, "origin int, node string, lag int, residuals array<double>")

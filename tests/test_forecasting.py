@@ -240,3 +240,40 @@ def test_multiplying_seasons_and_moving_averages_are_found():
     walk = 500 + np.cumsum(rng.normal(0, 3, 1000))
     q = np.sort(statistical.arima(walk, 14, np.array(REPORTING)), axis=1)
     assert np.abs(q[:, 5] - walk[-1]).max() < 8 and (q[13, 8] - q[13, 2]) == pytest.approx(3.29 * 3 * 14**0.5, rel=0.25)
+
+
+def test_ranked_counts_equal_sorted_windows():
+    draw = np.random.default_rng(4)
+    for values in (draw.normal(size=300), draw.integers(0, 6, 300).astype(float), np.zeros(50)):
+        counts, levels = naive.RankedCounts(values), np.array([0.005, 0.25, 0.5, 0.9, 0.995])
+        low = high = 0
+        for new_low, new_high in [(0, 1), (0, 40), (7, 47), (40, 48), (49, 50)]:
+            counts.move(np.arange(max(high, new_low), new_high), 1)
+            counts.move(np.arange(low, min(new_low, high)), -1)
+            low, high = new_low, new_high
+            assert counts.n == high - low
+            assert np.allclose(counts.quantiles(levels), np.quantile(values[low:high], levels), atol=1e-12)
+
+
+def test_residual_quantiles_skip_days_without_a_value(spark):
+    plan = Schedule(horizon=14, step=7, min_train=28, train_window=28)
+    draw = np.random.default_rng(9)
+    series = {d: float(v) for d, v in enumerate(draw.integers(0, 30, 63)) if d not in (5, 20, 33)}
+    panel = spark.createDataFrame([("n", d, v) for d, v in series.items()], "node string, day_idx int, value double")
+    origins = spark.createDataFrame([(k, 27 + 7 * k, 7 * k) for k in range(4)], "origin int, origin_idx int, train_from int")
+    found = {(r["origin"], r["lag"]): r["residuals"] for r in naive.residual_quantiles(panel, origins, plan, (0.1, 0.5, 0.9)).collect()}
+    assert len(found) == 8
+    for (k, lag), got in found.items():
+        d = [series[t] - series[t - lag] for t in range(7 * k + lag, 28 + 7 * k) if t in series and t - lag in series]
+        assert np.allclose(got, np.quantile(d, [0.1, 0.5, 0.9]))
+
+
+def test_shares_of_nothing_are_null_or_refused(spark):
+    rows = spark.createDataFrame([(1.0, 2.0, 0.0), (1.0, 3.0, 4.0), (1.0, 3.0, None)], "low double, high double, y double")
+    width = lambda strict: scores.relative_width(F.col("low"), F.col("high"), F.col("y"), strict)
+    assert [r[0] for r in rows.select(width(False)).collect()] == [None, 0.5, None]
+    assert [r[0] for r in rows.filter("y is null or y > 0").select(width(True)).collect()] == [0.5, None]
+    with pytest.raises(Exception, match="relative width needs a positive divisor"):
+        rows.select(width(True)).collect()
+    with pytest.raises(Exception, match="skill needs a positive divisor"):
+        rows.select(scores.skill(F.col("low"), F.col("y"), strict=True)).collect()
