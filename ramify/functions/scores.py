@@ -67,14 +67,22 @@ def covered(y: Column, low: Column, high: Column) -> Column:
     return (y >= low) & (y <= high)
 
 
-def relative_width(low: Column, high: Column, y: Column) -> Column:
-    """Width as a share of the outcome; null where that isn't positive."""
-    return F.when(y > 0, (high - low) / y)
+def _share(value: Column, whole: Column, strict: bool, name: str) -> Column:
+    """``value``, null where ``whole`` isn't positive; strict: that ends the query, and only an unknown whole gives null."""
+    if not strict:
+        return F.when(whole > 0, value)
+    refused = F.raise_error(F.concat(F.lit(f"{name} needs a positive divisor, not "), whole.cast("string"))).cast("double")
+    return F.when(whole <= 0, refused).when(whole > 0, value)
 
 
-def skill(score: Column, base: Column) -> Column:
-    """Share of the baseline's score saved; null where that isn't positive."""
-    return F.when(base > 0, 1 - score / base)
+def relative_width(low: Column, high: Column, y: Column, strict: bool = False) -> Column:
+    """Width as a share of the outcome; null where that isn't positive, or refused if ``strict``."""
+    return _share((high - low) / y, y, strict, "relative width")
+
+
+def skill(score: Column, base: Column, strict: bool = False) -> Column:
+    """Share of the baseline's score saved; null where that isn't positive, or refused if ``strict``."""
+    return _share(1 - score / base, base, strict, "skill")
 
 
 def score_forecasts(forecasts: DataFrame, actuals: DataFrame, levels, reporting, nominal) -> DataFrame:

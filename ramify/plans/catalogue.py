@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, NOMINAL, REPORTING, SCORING, Schedule
 from ..functions import calendar, scores
 from ..operators import boosting, checks, conformal, decision, design, hierarchy, inference, naive, neural, reconcile, schedule as plan, statistical
-from ..sources import ingest, star
+from ..sources import ingest, paged, star
 from ..streaming import online
 from . import backtest as bt
 from . import report, sql
@@ -55,6 +55,14 @@ def year_windows(spark, folder):
     return ingest.year_windows(spark, date(1995, 1, 2), date(2001, 11, 5))
 
 
+@query(sql.of("SELECT day, borough, area, CAST(n AS DOUBLE) AS n FROM demand WHERE day >= DATE '1994-06-01' AND day < DATE '1997-03-15'"))
+def paged_counts(spark, folder):
+    """Daily demand written as pages of 1,000 rows and read again for a range of days, one task a year."""
+    pages = paged.scratch(spark)
+    paged.write_pages(star.leaf_counts(spark, folder), pages, 1000)
+    return paged.read_pages(spark, pages, 1000).filter("day >= date'1994-06-01' and day < date'1997-03-15'")
+
+
 @query(sql.TIDY)
 def tidy_counts(spark, folder):
     counts = star.raw_counts(spark, folder)
@@ -305,7 +313,7 @@ def skill_vs_baseline(spark, folder):
     base = _copied_errors(s, bt.copied(s), "copy").select("level", "origin", F.col("score").alias("base"))
     own = _copied_errors(s, bt.weekday_mean(s), "mean").join(base, ["level", "origin"])
     means = own.groupBy("level").agg(F.avg("score").alias("s"), F.avg("base").alias("b"))
-    return means.select("level", r6(scores.skill(F.col("s"), F.col("b"))).alias("skill"))
+    return means.select("level", r6(scores.skill(F.col("s"), F.col("b"), strict=True)).alias("skill"))
 
 
 @query(sql.of("SELECT level, origin, round(c.score - m.score, 6) AS saved FROM copy_errors c JOIN mean_errors m USING (level, origin)"))

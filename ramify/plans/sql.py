@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..config import DEFAULT, REPORTING, SCORING, Conformal, Schedule
 
 _DEMAND = """
@@ -146,7 +148,10 @@ def reported(select: str) -> str:
 
 def routed(select: str) -> str:
     """Over the default schedule with conformal distributions and naive quantiles, both on the reporting levels."""
-    return f"WITH {_DEMAND}{_schedule(DEFAULT)}{_WINDOWED}{_naive(REPORTING)} {select}"
+    steps = f"WITH {_DEMAND}{_schedule(DEFAULT)}{_WINDOWED}{_naive(REPORTING)} {select}"
+    for name in ("demand", "panel", "origins", "points", "actuals", "copied", "known", "residuals"):  # read more than once, or costly
+        steps = re.sub(rf"(?<=[\s,]){name} AS \(", f"{name} AS MATERIALIZED (", steps)
+    return steps
 
 
 def full(select: str) -> str:
