@@ -49,7 +49,11 @@ def estimate(e: Estimate) -> str:
 
 
 def duration(seconds: float) -> str:
-    return f"{seconds:.0f} s" if seconds < 120 else f"{seconds / 60:.0f} min" if seconds < 7200 else f"{seconds / 3600:.1f} h"
+    """Whole minutes under an hour, one at least; hours with one digit from there. Negative and endless times are refused."""
+    if not 0 <= seconds < math.inf:
+        raise ValueError(f"{seconds} is no length of time")
+    minutes = seconds / 60
+    return f"{max(round(minutes), 1)} min" if minutes < 60 else f"{minutes / 60:.1f} h"
 
 
 def markdown(header: list[str], rows: list[list[str]]) -> str:
@@ -154,6 +158,14 @@ def compute_cost(seconds: DataFrame, n_origins: int) -> DataFrame:
     return seconds.groupBy("model").agg((F.percentile(each, F.lit(0.5)) * n_origins).alias("cost"))
 
 
+def with_cost(table: DataFrame, seconds: DataFrame, n_origins: int) -> DataFrame:
+    """A skill table with ``cost``: seconds that the model takes for so many origins; null for a model without timings.
+
+    ``seconds`` has ``model, origins, seconds``, as the forecast store keeps them by block.
+    """
+    return table.join(F.broadcast(compute_cost(seconds, n_origins)), "model", "left")  # a row for each model
+
+
 def _field(name: str):
     """A lambda of one argument: with two, Spark would give it the element's place."""
     return lambda row: row[name]

@@ -71,3 +71,24 @@ def test_best_model_and_chart_ranges(spark):
     assert report.range_window(days, "year").count() == 366 and report.range_window(days, "shift").count() == 367
     with pytest.raises(ValueError):
         report.range_window(days, "week")
+
+
+def test_cost_of_stored_timings_joins_the_skill_table(spark, tmp_path):
+    origins = spark.range(25).select(F.col("id").cast("int").alias("origin"))
+    forecast = lambda o: o.select("origin", F.lit("a").alias("node"), F.lit(1).alias("step"), F.array(F.lit(1.0)).alias("q"))
+    store = ForecastStore(spark, str(tmp_path / "s"), fingerprint("naive", PLAN, (0.5,), ["a"]))
+    store.run(origins, forecast)
+    kept = store.seconds().withColumn("model", F.lit("naive"))
+    each = sorted(r["seconds"] / r["origins"] for r in kept.collect())
+    assert len(each) == 3  # blocks of 10, 10 and 5 origins
+    table = spark.createDataFrame([("naive", "city", 0.1), ("other", "city", 0.2)], "model string, level string, skill double")
+    found = {r["model"]: r["cost"] for r in report.with_cost(table, kept, 199).collect()}
+    assert found["naive"] == pytest.approx(each[1] * 199)
+    assert found["other"] is None
+
+
+def test_durations_are_minutes_under_an_hour():
+    assert [report.duration(x) for x in (0, 20, 240, 3599, 3600, 65_880)] == ["1 min", "1 min", "4 min", "60 min", "1.0 h", "18.3 h"]
+    for x in (-1.0, float("inf"), float("nan")):
+        with pytest.raises(ValueError, match="length of time"):
+            report.duration(x)
