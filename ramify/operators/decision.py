@@ -72,11 +72,14 @@ def realised_cost(staffed: Column, needed: Column, inputs: DecisionInputs) -> Co
     return inputs.cost_over * over + inputs.cost_under * under
 
 
-def staffing(forecasts: DataFrame, levels, inputs: DecisionInputs = DecisionInputs()) -> DataFrame:
-    """``model, service_level, origin, units, oracle_units, cost``: sums over areas, means over steps. Rows need ``q, y``."""
+def staffing(forecasts: DataFrame, levels, inputs: DecisionInputs = DecisionInputs(), service_levels=None) -> DataFrame:
+    """``model, service_level, origin, units, oracle_units, cost``: sums over areas, means over steps. Rows need ``q, y``.
+
+    The service levels are those of the inputs unless others are given.
+    """
     areas = forecasts.filter(F.col("level") == "area")
     need = units_for(F.col("y"), inputs)
-    each = F.array(*(F.struct(F.lit(s).alias("service_level"), units_for(demand_at(F.col("q"), levels, s), inputs).alias("units")) for s in inputs.levels))
+    each = F.array(*(F.struct(F.lit(s).alias("service_level"), units_for(demand_at(F.col("q"), levels, s), inputs).alias("units")) for s in service_levels or inputs.levels))
     rows = areas.select("model", "origin", "node", "step", need.alias("need"), F.explode(each).alias("s")).select("model", "origin", "step", "need", "s.*")
     cost = realised_cost(F.col("units"), F.col("need"), inputs)
     daily = rows.groupBy("model", "service_level", "origin", "step").agg(F.sum("units").alias("units"), F.sum("need").alias("oracle_units"), F.sum(cost).alias("cost"))

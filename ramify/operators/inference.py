@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,13 +88,31 @@ def skill_interval(series: DataFrame, blocks: DataFrame, keys: list[str], score:
     return interval(means.withColumn("skill", 1 - F.col(score) / F.col(base)), "skill", keys)
 
 
-def with_skill_interval(series: DataFrame, blocks: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
-    """``keys``, aggregates of the series (``keys, pos, score, base``), and ``low, high`` of its skill, in one pass over it.
+def with_intervals(series: DataFrame, blocks: DataFrame, keys: list[str], values: list[str], statistics: dict[str, Callable[[Callable[[str], Column]], Column]], **aggregates: Column) -> DataFrame:
+    """``keys``, aggregates of the series (``keys, pos`` and the values), and each statistic with ``_low`` and ``_high``.
 
+    A statistic is made from means: ``lambda mean: 1 - mean("score") / mean("base")``.
+    All statistics of a key come from the same drawn origins, in one pass over it.
     Fewer than ``LEAST_ORIGINS`` origins get no interval.
     """
-    drawn = _drawn(series, blocks, ["score", "base"], keys, F.count("*").alias("__origins"), *(c.alias(n) for n, c in aggregates.items()))
-    ends = F.percentile(1 - F.col("score") / F.col("base"), F.array(*map(F.lit, _ENDS))).alias("b")
-    found = drawn.groupBy(*keys).agg(ends, F.first("__origins").alias("__origins"), *(F.first(n).alias(n) for n in aggregates))
+    if taken := {*statistics, *aggregates} & {*values, *keys}:
+        raise ValueError(f"{sorted(taken)} name values of the series")
+    points = [of(F.avg).alias(n) for n, of in statistics.items()]
+    drawn = _drawn(series, blocks, values, keys, F.count("*").alias("__origins"), *points, *(c.alias(n) for n, c in aggregates.items()))
+    mean = lambda v: F.col(v) / F.col("__n")
+    ends = [F.percentile(of(mean), F.array(*map(F.lit, _ENDS))).alias(f"__{n}") for n, of in statistics.items()]
+    found = drawn.groupBy(*keys).agg(*ends, F.first("__origins").alias("__origins"), *(F.first(n).alias(n) for n in (*statistics, *aggregates)))
     enough = F.col("__origins") >= LEAST_ORIGINS
-    return found.select(*keys, *aggregates, F.when(enough, F.col("b")[0]).alias("low"), F.when(enough, F.col("b")[1]).alias("high"))
+    at = lambda n, k: F.when(enough, F.col(f"__{n}")[k])
+    return found.select(*keys, *aggregates, *(c for n in statistics for c in (n, at(n, 0).alias(f"{n}_low"), at(n, 1).alias(f"{n}_high"))))
+
+
+def skill_of(score: str = "score", base: str = "base") -> Callable[[Callable[[str], Column]], Column]:
+    """The statistic 1 - mean(score) / mean(base)."""
+    return lambda mean: 1 - mean(score) / mean(base)
+
+
+def with_skill_interval(series: DataFrame, blocks: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+    """``keys``, aggregates of the series (``keys, pos, score, base``), and ``low, high`` of its skill, in one pass over it."""
+    found = with_intervals(series, blocks, keys, ["score", "base"], {"__skill": skill_of()}, **aggregates)
+    return found.select(*keys, *aggregates, F.col("__skill_low").alias("low"), F.col("__skill_high").alias("high"))

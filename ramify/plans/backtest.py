@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, NOMINAL, REPORTING, Schedule
@@ -77,3 +79,30 @@ def weekday_mean(s: Setup) -> DataFrame:
 def naive_scores(s: Setup, levels=REPORTING, reporting=REPORTING) -> DataFrame:
     forecasts = naive.seasonal_naive(s.panel, s.origins, s.schedule, levels)
     return scores.score_forecasts(forecasts, s.actuals(), levels, reporting, NOMINAL)
+
+
+def sampled_origins(n: int) -> list[int]:
+    """Three origins that stand for a schedule of ``n``: a tenth in, the middle, and the last but one."""
+    if n < 2:
+        raise ValueError("a schedule of two origins at least is needed")
+    return sorted({n // 10, n // 2, n - 2})
+
+
+def timings(s: Setup, models: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """``model, origin, origins, rows, seconds``: what each model costs at the sampled origins, before a whole run.
+
+    A model maps origins to forecasts. Each sampled origin is a job of its own, whose
+    rows are counted as they pass and not kept; the panel is computed beforehand. The
+    cost of the whole schedule follows by ``report.compute_cost``.
+    """
+    spark = s.panel.sparkSession
+    s.panel.count()
+    took = []
+    for model, forecast in models.items():
+        for origin in sampled_origins(s.schedule.count(s.n_days)):
+            seen = Observation()
+            found = forecast(s.origins.filter(F.col("origin") == origin)).observe(seen, F.count("*").alias("rows"))
+            began = time.perf_counter()
+            found.write.format("noop").mode("overwrite").save()
+            took.append((model, origin, 1, seen.get["rows"], time.perf_counter() - began))
+    return spark.createDataFrame(took, "model string, origin int, origins int, rows long, seconds double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -573,10 +574,15 @@ def _two_models(s: bt.Setup) -> tuple[DataFrame, DataFrame]:
 
 
 def _blocks(spark, s: bt.Setup) -> DataFrame:
-    """Resamples of the origins with a full window."""
+    """Resamples of the origins with a full window, by a rule that SQL can repeat."""
     return inference.arithmetic_blocks(spark, s.schedule.count(s.n_days) - conformal.first_valid_origin(s.schedule))
 
 
+def _seeded(spark, s: bt.Setup) -> DataFrame:
+    """The same by the seeded generator, which SQL can't repeat."""
+    return inference.block_table(spark, s.schedule.count(s.n_days) - conformal.first_valid_origin(s.schedule))
+
+
 @query(sql.SKILL_TABLE)
 def skill_table(spark, folder):
     s = bt.setup(spark, folder)
@@ -585,6 +591,39 @@ def skill_table(spark, folder):
     return found.withColumns({c: r6(c) for c in ("crps", "skill", "median_skill", "coverage", "width", "worst", "low", "high")})
 
 
+def _dated(s: bt.Setup) -> DataFrame:
+    return plan.dated(s.origins, s.panel.select("day", "day_idx"))
+
+
+def _comparison(s: bt.Setup, own: DataFrame, base: DataFrame, blocks: DataFrame) -> DataFrame:
+    return report.skill_rows(own.unionByName(base), base, blocks, s.schedule, _dated(s).select("origin", "day"), "copy")
+
+
+@query(sql.SKILL_ROWS)
+def skill_rows(spark, folder):
+    """Both models' rows of the comparison, every statistic with its interval."""
+    s = bt.setup(spark, folder)
+    found = _comparison(s, *_two_models(s), _blocks(spark, s))
+    shown = [f"{n}{end}" for n in report.ROW_STATISTICS for end in ("", "_low", "_high")]
+    return found.withColumns({c: r6(c) for c in (*shown, "worst")})
+
+
+def _methods(s: bt.Setup, blocks: DataFrame) -> DataFrame:
+    """Staffing by both models at every level that a planner may choose."""
+    inputs = decision.DecisionInputs()
+    rows = [conformal.predictive(found, s.schedule, REPORTING).select(F.lit(m).alias("model"), "level", "origin", "node", "step", "y", "q") for m, found in (("mean", bt.weekday_mean(s)), ("copy", bt.copied(s)))]
+    staffed = decision.staffing(rows[0].unionByName(rows[1]), REPORTING, inputs, inputs.slider_levels)
+    return report.staffing_rows(staffed, "copy", blocks)
+
+
+@query(sql.STAFFING_ROWS)
+def staffing_rows(spark, folder):
+    s = bt.setup(spark, folder)
+    found = _methods(s, _blocks(spark, s))
+    shown = [f"{n}{end}" for n in ("units", "cost", "cost_change") for end in ("", "_low", "_high")]
+    return found.withColumns({c: r6(c) for c in (*shown, "oracle_units")})
+
+
 @query(sql.PINBALL_SKILL)
 def pinball_skill(spark, folder):
     s = bt.setup(spark, folder)
@@ -596,15 +635,14 @@ def pinball_skill(spark, folder):
 TEST_WINDOWS = (("clean", "1999-01-01"), ("cross_check", "2000-06-01"))
 
 
-def _own_windows(s: bt.Setup) -> DataFrame:
-    own, base = _two_models(s)
-    days = plan.dated(s.origins, s.panel.select("day", "day_idx"))
-    return report.own_window_table(own, base, base, days, TEST_WINDOWS)
+def _own_windows(s: bt.Setup, own: DataFrame, base: DataFrame) -> DataFrame:
+    return report.own_window_table(own, base, base, _dated(s), TEST_WINDOWS)
 
 
 @query(sql.OWN_WINDOWS)
 def own_window_rows(spark, folder):
-    found = _own_windows(bt.setup(spark, folder))
+    s = bt.setup(spark, folder)
+    found = _own_windows(s, *_two_models(s))
     return found.withColumns({c: r6(c) for c in ("crps", "skill", "difference", "coverage")})
 
 
@@ -645,14 +683,18 @@ def chart_ranges(spark, folder):
     return cut("year").unionByName(cut("shift"))
 
 
+#: Regimes of the test tables, which end before the fixed ones begin.
+TEST_REGIMES = (("first", date(1997, 10, 29)), ("second", date(2000, 3, 1)))
+
+
 @query(sql.of("SELECT day, CASE WHEN day >= DATE '2000-03-01' THEN 'second' WHEN day >= DATE '1997-10-29' THEN 'first' END AS regime FROM days"))
 def regime_days(spark, folder):
     days = checks.calendar(star.leaf_counts(spark, folder))
-    return calendar.regimes(days, (("first", date(1997, 10, 29)), ("second", date(2000, 3, 1))))
+    return calendar.regimes(days, TEST_REGIMES)
 
 
-def _reconciliation(s: bt.Setup) -> DataFrame:
-    """The naive forecast as it is, with moved medians and with reconciled paths, on the reporting levels."""
+def _reconciled_scores(s: bt.Setup) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Scores of the naive forecast as it is, with moved medians and with reconciled paths, on the reporting levels; then the rows of ``reconcile``."""
     rows = _naive_with_actuals(s, REPORTING)
     points = rows.withColumn("point", F.element_at("q", 6))
     facts = reconcile.reconcile(points, s.edges, s.schedule, levels=REPORTING)
@@ -660,26 +702,49 @@ def _reconciliation(s: bt.Setup) -> DataFrame:
     own = rows.filter(F.col("origin") >= conformal.first_valid_origin(s.schedule)).select("model", "origin", "node", "step", "q")
     paths = facts.select(F.lit("naive").alias("model"), "origin", "node", "step", "q")
     score = lambda found: scores.score_forecasts(found, s.actuals(), REPORTING, REPORTING, NOMINAL)
-    return report.reconciliation_table(score(own), score(moved), score(paths), facts)
+    return score(own), score(moved), score(paths), facts
 
 
 @query()
 def reconciliation_section(spark, folder):
-    return _reconciliation(bt.setup(spark, folder))
+    return report.reconciliation_table(*_reconciled_scores(bt.setup(spark, folder)))
+
+
+def _changes(own: DataFrame, moved: DataFrame, paths: DataFrame, blocks: DataFrame) -> DataFrame:
+    return report.reconciliation_rows(own, {"medians": moved, "paths": paths}, blocks)
+
+
+@query()
+def reconciliation_changes(spark, folder):
+    """What reconciling changes in the CRPS, with the ends over seeded resamples."""
+    s = bt.setup(spark, folder)
+    return _changes(*_reconciled_scores(s)[:3], _seeded(spark, s))
 
 
 @query()
 def dashboard_payload(spark, folder):
     """One row: the checked payload as JSON."""
     s = bt.setup(spark, folder)
+    n = s.schedule.count(s.n_days)
+    inputs = decision.DecisionInputs()
+    blocks = _seeded(spark, s)
     own, base = _two_models(s)
+    plain, moved, paths, facts = _reconciled_scores(s)
+    held = [t.cache() for t in (facts, own, base, plain, moved, paths)]  # read by several sections
+    timed = bt.timings(s, {"copy": lambda o: naive.points(s.panel, o, s.schedule), "mean": lambda o: bt.weekday_mean(replace(s, origins=o))})
     found = conformal.predictive(bt.copied(s), s.schedule, REPORTING).withColumn("model", F.lit("copy"))
     split = conformal.split(bt.copied(s), s.schedule)
-    blocks = inference.block_table(spark, s.schedule.count(s.n_days) - conformal.first_valid_origin(s.schedule))
-    value = report.payload(
-        s.schedule, s.schedule.count(s.n_days), s.nodes, report.skill_table(own, base, blocks, s.schedule), decision.staffing(found, REPORTING),
-        report.coverage_series(split, s.schedule, 0.9, "split"), _reconciliation(s), _own_windows(s), _fan(s),
-    )
+    try:
+        value = report.payload(
+            s.schedule, n, s.nodes, report.skill_table(own, base, blocks, s.schedule), decision.staffing(found, REPORTING),
+            report.coverage_series(split, s.schedule, 0.9, "split"), report.reconciliation_table(plain, moved, paths, facts), _own_windows(s, own, base), _fan(s),
+            comparison=report.comparison_section(_comparison(s, own, base, blocks), "copy", 0.9, {}, timed, n),
+            methods=report.methods_section(_methods(s, blocks), "copy", inputs), reconciled=report.reconciled_section(_changes(plain, moved, paths, blocks)),
+            regimes=report.regimes_section(_dated(s), TEST_REGIMES),
+        )
+    finally:
+        for table in held:
+            table.unpersist()
     return spark.createDataFrame([(json.dumps(value, allow_nan=False, separators=(",", ":")),)], "payload string")
 
 

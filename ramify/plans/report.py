@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import REPORTING, Schedule
-from ..functions import scores
+from ..config import REPORTING, Schedule, check_level
+from ..functions import calendar, scores
 from ..operators import inference
 from ..operators import schedule as plan
 from ..operators.conformal import first_valid_origin
+from ..operators.decision import DecisionInputs
 
 #: Origins in the rolling window of reports: 91 days.
 ROLLING_DAYS = 91
@@ -78,12 +79,7 @@ def skill_table(own: DataFrame, base: DataFrame, blocks: DataFrame | None, sched
     Both tables come from ``score_forecasts`` and are compared on the origins they
     share. The skill interval is null where ``blocks`` is None or too few origins remain.
     """
-    keys = ["model", "level", "origin"]
-    middle = F.element_at("pinball", REPORTING.index(0.5) + 1)
-    hit, width = F.col("hits")[coverage_at].cast("double"), F.col("widths")[coverage_at]
-    mine = own.groupBy(*keys).agg(F.avg("crps").alias("score"), F.avg(middle).alias("mid"), F.avg(hit).alias("hit"), F.avg(width).alias("width"))
-    theirs = base.groupBy("level", "origin").agg(F.avg("crps").alias("base"), F.avg(middle).alias("base_mid"))
-    both = mine.join(theirs, ["level", "origin"])  # a row for each model, level and origin
+    both = _by_origin(own, base, coverage_at)
     rolled = scores.rolling(both, "hit", ROLLING_DAYS // schedule.step, ["model", "level"])
     columns = {
         "crps": F.avg("score"), "skill": 1 - F.avg("score") / F.avg("base"), "median_skill": 1 - F.avg("mid") / F.avg("base_mid"),
@@ -95,6 +91,78 @@ def skill_table(own: DataFrame, base: DataFrame, blocks: DataFrame | None, sched
     return inference.with_skill_interval(_placed(rolled, ["model", "level"]), blocks, ["model", "level"], **columns)
 
 
+def _by_origin(own: DataFrame, base: DataFrame, coverage_at: int) -> DataFrame:
+    """``model, level, origin, score, mid, hit, width, base, base_mid``: means of two scored tables on the origins they share."""
+    middle = F.element_at("pinball", REPORTING.index(0.5) + 1)
+    hit, width = F.col("hits")[coverage_at].cast("double"), F.col("widths")[coverage_at]
+    mine = own.groupBy("model", "level", "origin").agg(F.avg("crps").alias("score"), F.avg(middle).alias("mid"), F.avg(hit).alias("hit"), F.avg(width).alias("width"))
+    theirs = base.groupBy("level", "origin").agg(F.avg("crps").alias("base"), F.avg(middle).alias("base_mid"))
+    return mine.join(theirs, ["level", "origin"])  # a row for each model, level and origin
+
+
+#: What a row of the comparison states, each with the ends of its interval.
+ROW_STATISTICS = {
+    "crps": lambda mean: mean("score"),
+    "skill": inference.skill_of("score", "base"),
+    "median_skill": inference.skill_of("mid", "base_mid"),
+    "coverage": lambda mean: mean("hit"),
+    "interval_width": lambda mean: mean("width"),
+}
+
+
+def skill_rows(own: DataFrame, base: DataFrame, blocks: DataFrame, schedule: Schedule, origin_days: DataFrame, baseline: str, coverage_at: int = 1) -> DataFrame:
+    """Rows of the comparison: ``model, level, origins, worst, worst_day`` and ``ROW_STATISTICS``, each with ``_low`` and ``_high``.
+
+    All statistics of a row are resampled together. The worst rolling coverage is
+    dated by the origin that ends its window, the first of equal ones; both are null
+    without a full window. The baseline's own rows have no skills. ``origin_days``
+    has ``origin, day``.
+    """
+    both = _by_origin(own, base, coverage_at)
+    rolled = scores.rolling(both, "hit", ROLLING_DAYS // schedule.step, ["model", "level"])
+    lowest = F.min(F.when(F.col("rolling").isNotNull(), F.struct(F.round("rolling", 9).alias("value"), "origin")))
+    placed = _placed(rolled, ["model", "level"])
+    values = ["score", "base", "mid", "base_mid", "hit", "width"]
+    found = inference.with_intervals(placed, blocks, ["model", "level"], values, ROW_STATISTICS, origins=F.count("*"), lowest=lowest)
+    dated = found.withColumns({"worst": F.col("lowest.value"), "origin": F.col("lowest.origin")}).drop("lowest").join(origin_days, "origin", "left")
+    skills = [f"{n}{end}" for n in ("skill", "median_skill") for end in ("", "_low", "_high")]
+    return dated.withColumnRenamed("day", "worst_day").drop("origin").withColumns({c: F.when(F.col("model") != baseline, F.col(c)) for c in skills})
+
+
+def staffing_rows(staffed: DataFrame, reference: str, blocks: DataFrame) -> DataFrame:
+    """``model, service_level, origins, oracle_units`` and ``units, cost, cost_change``, each with ``_low`` and ``_high``.
+
+    ``staffed`` comes from ``decision.staffing``. The change is against the reference
+    on the same drawn origins; the reference's own rows have none. A method is
+    compared on the origins that it shares with the reference.
+    """
+    theirs = staffed.filter(F.col("model") == reference).select("service_level", "origin", F.col("cost").alias("base"))
+    mine = staffed.select("model", "service_level", "origin", "oracle_units", F.col("units").alias("staffed"), F.col("cost").alias("paid"))
+    keys = ["model", "service_level"]
+    series = _placed(mine.join(theirs, ["service_level", "origin"]), keys)
+    statistics = {"units": lambda mean: mean("staffed"), "cost": lambda mean: mean("paid"), "cost_change": lambda mean: mean("paid") - mean("base")}
+    oracle = series.withColumnRenamed("oracle_units", "needed")
+    found = inference.with_intervals(oracle, blocks, keys, ["staffed", "paid", "base"], statistics, origins=F.count("*"), oracle_units=F.avg("needed"))
+    return found.withColumns({c: F.when(F.col("model") != reference, F.col(c)) for c in ("cost_change", "cost_change_low", "cost_change_high")})
+
+
+def reconciliation_rows(base: DataFrame, variants: dict[str, DataFrame], blocks: DataFrame, coverage_at: int = 1) -> DataFrame:
+    """``method, level, origins`` and ``crps, crps_change, coverage``, each with ``_low`` and ``_high``.
+
+    All tables are scores. A change is that of the CRPS against the scores ``base`` of
+    the forecasts as they were, on the same drawn origins.
+    """
+    hit = F.col("hits")[coverage_at].cast("double")
+    theirs = base.groupBy("level", "origin").agg(F.avg("crps").alias("base"))
+    mine = None
+    for name, rows in variants.items():
+        each = rows.groupBy("level", "origin").agg(F.avg("crps").alias("score"), F.avg(hit).alias("hit")).withColumn("method", F.lit(name))
+        mine = each if mine is None else mine.unionByName(each)
+    statistics = {"crps": lambda mean: mean("score"), "crps_change": lambda mean: mean("score") - mean("base"), "coverage": lambda mean: mean("hit")}
+    keys = ["method", "level"]
+    return inference.with_intervals(_placed(mine.join(theirs, ["level", "origin"]), keys), blocks, keys, ["score", "base", "hit"], statistics, origins=F.count("*"))
+
+
 def _placed(series: DataFrame, keys: list[str]) -> DataFrame:
     """Origins counted from 0 within their key."""
     return series.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("origin")) - 1)
@@ -230,9 +298,11 @@ def validate(value, schema: dict, at: str = "$") -> None:
 
 _NUMBER = {"type": ["number", "null"]}
 _ROWS = lambda *required, **kinds: {"type": "array", "items": {"type": "object", "required": list(required), "properties": kinds}}
+_ESTIMATE = {"type": ["object", "null"]}
 PAYLOAD_SCHEMA = {
     "type": "object",
     "required": ["schema_version", "origins", "hierarchy", "models", "staffing", "coverage", "reconciliation", "own_windows", "fan"],
+    # sections that a page may do without: comparison, methods, reconciled, regimes
     "properties": {
         "schema_version": {"type": "integer", "enum": [SCHEMA_VERSION]},
         "origins": {"type": "object", "required": ["count", "step", "horizon"]},
@@ -242,6 +312,16 @@ PAYLOAD_SCHEMA = {
         "coverage": _ROWS("method", "level", "origin", "coverage"),
         "reconciliation": _ROWS("level", "method", "crps", "skill", "coherence"),
         "own_windows": _ROWS("window", "first_day", "level", "origins", "crps"),
+        "comparison": {
+            "type": "object", "required": ["nominal", "baseline", "rows"],
+            "properties": {"rows": _ROWS("name", "kind", "fit_seconds", "levels", fit_seconds=_NUMBER, levels=_ROWS("level", "origins", *ROW_STATISTICS, skill=_ESTIMATE, crps=_ESTIMATE, coverage=_ESTIMATE))},
+        },
+        "methods": {
+            "type": "object", "required": ["inputs", "oracle_units", "reference", "service_levels", "methods"],
+            "properties": {"methods": _ROWS("name", "units", "cost", "cost_change"), "service_levels": {"type": "array", "items": {"type": "number"}}},
+        },
+        "reconciled": _ROWS("level", "variants", variants=_ROWS("name", "crps", "crps_change", "coverage", crps_change=_ESTIMATE)),
+        "regimes": _ROWS("name", "first", "last", "origins"),
         "fan": {
             "type": "object", "required": ["levels", "nodes", "days", "actual", "bands"],
             "properties": {"levels": {"type": "array", "items": {"type": "number"}}, "nodes": {"type": "array", "items": {"type": "string"}}, "bands": {"type": "array", "items": {"type": "array"}}},
@@ -259,8 +339,66 @@ def fan_section(table: DataFrame) -> dict:
     return {"levels": list(FAN), "nodes": [r["node"] for r in rows], "days": days, "actual": [list(r["actual"]) for r in rows], "bands": [[list(b) for b in r["bands"]] for r in rows]}
 
 
-def payload(schedule: Schedule, n_origins: int, nodes: DataFrame, models: DataFrame, staffing: DataFrame, coverage: DataFrame, reconciliation: DataFrame, own_windows: DataFrame, fans: DataFrame) -> dict:
-    """The dashboard's payload from report tables, each bounded by models, levels, nodes and origins; checked before it is returned."""
+def interval_of(row: dict, name: str, digits: int = 6) -> dict | None:
+    """``name`` of a row with its ends as ``{"point", "low", "high"}``; None where there is no value, and an interval must hold its point."""
+    if row[name] is None:
+        return None
+    at = lambda end: None if row[name + end] is None else round(row[name + end], digits)
+    return asdict(Estimate(round(row[name], digits), at("_low"), at("_high")))
+
+
+def _grouped(table: DataFrame, key: str, *order: str) -> dict[str, list[dict]]:
+    """Rows of a report table by its key, in order."""
+    out: dict[str, list[dict]] = {}
+    for row in table.orderBy(key, *order).collect():  # bounded by models, levels and service levels
+        out.setdefault(row[key], []).append(row.asDict())
+    return out
+
+
+def comparison_section(rows: DataFrame, baseline: str, nominal: float, kinds: dict[str, str], seconds: DataFrame | None = None, n_origins: int = 0) -> dict:
+    """Models with their kind, cost and levels from ``skill_rows``; ``seconds`` are timings, as ``compute_cost`` takes them."""
+    cost = {r["model"]: r["cost"] for r in compute_cost(seconds, n_origins).collect()} if seconds is not None else {}
+    found = _grouped(rows, "model", "level")
+    if baseline not in found:
+        raise ValueError(f"baseline {baseline} is not among the models")
+    each = lambda r: {"level": check_level(r["level"]), "origins": r["origins"], "worst": r["worst"], "worst_day": r["worst_day"] and str(r["worst_day"]), **{n: interval_of(r, n) for n in ROW_STATISTICS}}
+    models = [{"name": m, "kind": kinds.get(m, "baseline"), "fit_seconds": cost.get(m), "levels": [each(r) for r in own]} for m, own in found.items()]
+    return {"nominal": nominal, "baseline": baseline, "rows": models}
+
+
+def methods_section(rows: DataFrame, reference: str, inputs: DecisionInputs) -> dict:
+    """Staffing methods at every service level from ``staffing_rows``, and what their costs save a year against the reference."""
+    found = _grouped(rows, "model", "service_level")
+    if reference not in found:
+        raise ValueError(f"reference {reference} is not among the methods")
+    levels = [r["service_level"] for r in found[reference]]
+    methods = []
+    for name, own in found.items():
+        if [r["service_level"] for r in own] != levels:
+            raise ValueError(f"{name} lacks service levels")
+        saved = [None if r["cost_change"] is None else saving(r["cost"], r["cost"] - r["cost_change"], inputs.hours_per_unit_day, inputs.cost_over) for r in own]
+        methods.append({"name": name, **{c: [interval_of(r, c) for r in own] for c in ("units", "cost", "cost_change")}, "hours_saved": [s and s[1] for s in saved]})
+    stated = {"demand_per_unit": inputs.demand_per_unit, "cost_over": inputs.cost_over, "cost_under": inputs.cost_under, "hours_per_unit_day": inputs.hours_per_unit_day}
+    return {"inputs": stated | {"implied_service_level": inputs.critical_ratio}, "oracle_units": found[reference][0]["oracle_units"], "reference": reference, "service_levels": levels, "methods": methods}
+
+
+def reconciled_section(rows: DataFrame) -> list[dict]:
+    """Levels with their variants from ``reconciliation_rows``."""
+    variant = lambda r: {"name": r["method"], **{n: interval_of(r, n) for n in ("crps", "crps_change", "coverage")}}
+    return [{"level": check_level(level), "variants": [variant(r) for r in own]} for level, own in _grouped(rows, "level", "method").items()]
+
+
+def regimes_section(origin_days: DataFrame, marks) -> list[dict]:
+    """``name, first, last, origins`` of the regimes that hold origins; days before the first mark have no name."""
+    known = calendar.regimes(origin_days, marks).groupBy("regime").agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("origins"))
+    return [{"name": r["regime"], "first": str(r["first"]), "last": str(r["last"]), "origins": r["origins"]} for r in known.orderBy("first").collect()]
+
+
+def payload(schedule: Schedule, n_origins: int, nodes: DataFrame, models: DataFrame, staffing: DataFrame, coverage: DataFrame, reconciliation: DataFrame, own_windows: DataFrame, fans: DataFrame, **sections) -> dict:
+    """The dashboard's payload from report tables, each bounded by models, levels, nodes and origins; checked before it is returned.
+
+    ``sections`` are those of the section builders above.
+    """
     rows = lambda df: [{k: str(v) if isinstance(v, date) else v for k, v in r.asDict(recursive=True).items()} for r in df.collect()]
     means = staffing.groupBy("model", "service_level").agg(*(F.avg(c).alias(c) for c in ("units", "oracle_units", "cost")))
     out = {
@@ -273,17 +411,14 @@ def payload(schedule: Schedule, n_origins: int, nodes: DataFrame, models: DataFr
         "reconciliation": rows(reconciliation.orderBy("level", "method")),
         "own_windows": rows(own_windows.orderBy("window", "level")),
         "fan": fan_section(fans),
+        **sections,
     }
-    out = clean(out)
+    out = clean(out, 6)
     validate(out, PAYLOAD_SCHEMA)
     return out
 
 
-def write_json(path: str, value: dict) -> None:
-    """Compact JSON without NaN, through a temporary file."""
-    import os
-
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    """Compact JSON without NaN as one text file under ``path``, wherever Spark can write."""
     text = json.dumps(value, allow_nan=False, separators=(",", ":"))
-    with open(path + ".tmp", "w", encoding="utf-8") as file:
-        file.write(text)
-    os.replace(path + ".tmp", path)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -277,6 +277,59 @@ SELECT 'mean' AS model, level, round(avg(score), 6) AS crps, round(1 - avg(score
        (SELECT round(min(r), 6) FROM rolled x WHERE x.level = b.level AND n = 13) AS worst,
        (SELECT round(low, 6) FROM ends e WHERE e.level = b.level) AS low, (SELECT round(high, 6) FROM ends e WHERE e.level = b.level) AS high
 FROM both_models b GROUP BY level""")
+_STATISTICS = {"crps": "avg(score)", "skill": "1 - avg(score) / avg(base)", "median_skill": "1 - avg(mid) / avg(base_mid)", "coverage": "avg(hit)", "interval_width": "avg(width)"}
+
+
+def _with_ends(source: str, keys: str, statistics: dict[str, str], first: int, nulls: dict[str, str] = {}, more: str = "") -> str:
+    """Statistics of a series ``source`` (``origin`` from ``first``) with the ends over the drawn origins; ``nulls`` says where one has no value."""
+    drawn = ", ".join(f"{e} AS {n}" for n, e in statistics.items())
+    ends = ", ".join(f"quantile_cont({n}, 0.025) AS {n}_low, quantile_cont({n}, 0.975) AS {n}_high" for n in statistics)
+    show = lambda n, e: f"CASE WHEN {nulls[n]} THEN round({e}, 6) END" if n in nulls else f"round({e}, 6)"
+    shown = ", ".join(f"{show(n, n)} AS {n}, {show(n, n + '_low')} AS {n}_low, {show(n, n + '_high')} AS {n}_high" for n in statistics)
+    return f"""drawn AS (SELECT {keys}, r, {drawn} FROM starts JOIN {source} ON origin - {first} >= lo AND origin - {first} < lo + len GROUP BY ALL
+), ends AS (SELECT {keys}, {ends} FROM drawn GROUP BY ALL), whole AS (SELECT {keys}, count(*) AS origins, {drawn}{more} FROM {source} GROUP BY ALL)
+SELECT {keys}, origins, {shown}"""
+
+
+SKILL_ROWS = two_models(f"""
+, {_blocks(_AFTER_WINDOW)}, of_both AS (SELECT 'mean' AS model, * FROM mean_scores UNION ALL SELECT 'copy', * FROM copy_scores), own AS (
+    SELECT model, level, origin, avg(crps) AS score, avg(losses[6]) AS mid, avg((y BETWEEN q[3] AND q[9])::INT) AS hit, avg(q[9] - q[3]) AS width FROM of_both GROUP BY ALL
+), series AS MATERIALIZED (
+    SELECT o.*, b.score AS base, b.mid AS base_mid FROM own o JOIN own b ON b.model = 'copy' AND b.level = o.level AND b.origin = o.origin
+), rolled AS (
+    SELECT model, level, origin, round(avg(hit) OVER w, 9) AS v, count(*) OVER w AS n FROM series WINDOW w AS (PARTITION BY model, level ORDER BY origin ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)
+), lowest AS (SELECT model, level, min(v) AS worst, arg_min(origin, (v, origin)) AS worst_at FROM rolled WHERE n = 13 GROUP BY ALL
+), {_with_ends("series", "model, level", _STATISTICS, 53, dict.fromkeys(("skill", "median_skill"), "model <> 'copy'"))}, round(worst, 6) AS worst, d.day AS worst_day
+FROM whole JOIN ends USING (model, level) JOIN lowest USING (model, level) JOIN origins o ON o.origin = worst_at JOIN days d ON d.day_idx = o.origin_idx""")
+
+
+def _service_levels() -> str:
+    """Service levels with the place on the reporting grid below each and the way to the next, as rows."""
+    from ..operators.decision import DecisionInputs
+
+    rows = []
+    for wanted in DecisionInputs().slider_levels:
+        k = next((i for i, own in enumerate(REPORTING) if abs(own - wanted) <= 1e-9), None)
+        below = max(i for i, own in enumerate(REPORTING) if own < wanted) if k is None else k
+        share = (wanted - REPORTING[below]) / (REPORTING[below + 1] - REPORTING[below]) if k is None else 0.0
+        rows.append(f"({wanted!r}::DOUBLE, {below + 1}, {share!r}::DOUBLE)")
+    return ", ".join(rows)
+
+
+STAFFING_ROWS = two_models(f"""
+, {_blocks(_AFTER_WINDOW)}, levels(service_level, k, share) AS (VALUES {_service_levels()}), forecasts AS (
+    SELECT 'mean' AS model, origin, node, step, y, q FROM mean_predictive WHERE level = 'area' UNION ALL SELECT 'copy', origin, node, step, y, q FROM predictive WHERE level = 'area'
+), needs AS (
+    SELECT model, service_level, origin, step, ceil(greatest(y, 0) / 10.0::DOUBLE - 1e-9) AS need,
+           ceil(greatest(q[k] + share * (q[k + 1] - q[k]), 0) / 10.0::DOUBLE - 1e-9) AS units FROM forecasts, levels
+), daily AS (
+    SELECT model, service_level, origin, step, sum(units) AS units, sum(need) AS needed, sum(greatest(units - need, 0) + 4 * greatest(need - units, 0)) AS cost FROM needs GROUP BY ALL
+), own AS (SELECT model, service_level, origin, avg(units) AS staffed, avg(needed) AS needed, avg(cost) AS paid FROM daily GROUP BY ALL
+), series AS MATERIALIZED (
+    SELECT o.*, b.paid AS base FROM own o JOIN own b ON b.model = 'copy' AND b.service_level = o.service_level AND b.origin = o.origin
+), {_with_ends("series", "model, service_level", {"units": "avg(staffed)", "cost": "avg(paid)", "cost_change": "avg(paid) - avg(base)"}, 53, {"cost_change": "model <> 'copy'"}, ", avg(needed) AS oracle_units")},
+       round(oracle_units, 6) AS oracle_units
+FROM whole JOIN ends USING (model, service_level)""")
 PINBALL_SKILL = two_models(f"""
 , {_blocks(_AFTER_WINDOW)}, flat AS (
     SELECT level, origin, k, avg(m.losses[k]) AS score, avg(c.losses[k]) AS base
