@@ -81,8 +81,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str
         model = tokenizer(path)
         for ids, texts in rows_of(batches, "doc_id", "text"):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(ids, texts, strict=True):
-                packed = model.encode_packed(text or "") + end
+            for doc, packed in zip(ids, model.encode_many([x or "" for x in texts]), strict=True):
+                packed += end
                 for k, (start, length) in enumerate(piece_bounds(len(packed) >> 2, capacity)):
                     for column, value in zip(out, (doc, k, start, length, zlib.crc32(packed[4 * start : 4 * (start + length)])), strict=True):
                         column.append(value)

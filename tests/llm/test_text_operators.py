@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -51,6 +52,23 @@ def test_bpe_digests_of_edge_rows(spark, reference):
     assert all(r["decoded"] == (r["text"] or "") for r in both.collect())
 
 
+def test_many_texts_at_once_merge_rare_words_as_rows(reference, monkeypatch):
+    """op10's tokens: what is met once is not merged word by word, and every text gets the library's ids."""
+    own, draw = bpe.BpeTokenizer(tokenizer_file()), random.Random(5)
+    word = lambda: "".join(draw.choices("abcdeéñ中", k=draw.randint(1, 12))) + draw.choice(["", ",", ".\nAb", "'s", "12"])
+    texts = [*(t for _, t in EDGE), "", " a  b ", "x<|endoftext|> y", *(" ".join(word() for _ in range(n)) for n in (1, 50, 4000, 4000))]
+    texts = [x or "" for x in texts] + ["q" * 100 + " w"]
+    queued = []
+    monkeypatch.setattr(own, "merge", lambda symbols, merge=own.merge: queued.append(symbols) or merge(symbols))
+    monkeypatch.setattr(bpe, "CUT_CHARACTERS", 30_000)
+    monkeypatch.setattr(bpe, "REMEMBERED_CHUNKS", 500)  # forgets on the way
+    for _ in range(2):
+        got = [array("I", x).tolist() for x in own.encode_many(texts)]
+        assert got == [reference.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(own._many) < 10_000 and max(map(len, own._many)) <= bpe.REMEMBERED_LENGTH
+    assert len(queued) < 100  # of 8,000: the long word and the texts with special tokens
+
+
 def test_packing_is_gapless_whole_and_near_the_bound(spark, reference):
     draw = random.Random(1)
     rows = [(i, " ".join(draw.choice(["alpha", "beta", "gamma"]) for _ in range(draw.randint(0, 3000)))) for i in range(150)] + [(900, None), (901, "")]
