@@ -35,6 +35,25 @@ class Setup:
 _held: list[tuple] = []
 
 
+#: Lets Spark choose a cached table's partitions by its size, as it does for other results.
+BY_SIZE = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+
+
+def cached(table: DataFrame) -> DataFrame:
+    """The table, cached in as many partitions as its size asks for.
+
+    Else it keeps the session's number of shuffle partitions, and every stage that
+    reads it has as many tasks, whose metrics all go to the driver.
+    """
+    conf = table.sparkSession.conf
+    before = conf.get(BY_SIZE)
+    conf.set(BY_SIZE, "true")  # read when the table is marked
+    try:
+        return table.cache()
+    finally:
+        conf.set(BY_SIZE, before)
+
+
 def setup(spark: SparkSession, folder: str, schedule: Schedule = DEFAULT) -> Setup:
     """Read the star schema once into daily leaf counts, which every later table is made from.
 
@@ -44,12 +63,12 @@ def setup(spark: SparkSession, folder: str, schedule: Schedule = DEFAULT) -> Set
     if _held and _held[0][:2] != (spark, folder):
         release()
     if not _held:
-        counts = star.leaf_counts(spark, folder).cache()
-        _held.append((spark, folder, counts, hierarchy.panel(counts).cache(), hierarchy.bounds(counts).first()["n_days"] or 0))
+        counts = cached(star.leaf_counts(spark, folder))
+        _held.append((spark, folder, counts, cached(hierarchy.panel(counts)), hierarchy.bounds(counts).first()["n_days"] or 0))
     _, _, counts, panel, n = _held[0]
     for table in (counts, panel):
         if not table.storageLevel.useMemory:  # somebody cleared the cache
-            table.cache()
+            cached(table)
     kept = counts.join(hierarchy.leaf_quality(counts).filter("kept").select("area"), "area").select("borough", "area").distinct()
     return Setup(counts, panel, plan.origins(spark, n, schedule), hierarchy.summing(kept), hierarchy.nodes(kept), schedule, n)
 

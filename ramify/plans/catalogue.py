@@ -730,7 +730,7 @@ def dashboard_payload(spark, folder):
     blocks = _seeded(spark, s)
     own, base = _two_models(s)
     plain, moved, paths, facts = _reconciled_scores(s)
-    held = [t.cache() for t in (facts, own, base, plain, moved, paths)]  # read by several sections
+    held = [bt.cached(t) for t in (facts, own, base, plain, moved, paths)]  # read by several sections
     timed = bt.timings(s, {"copy": lambda o: naive.points(s.panel, o, s.schedule), "mean": lambda o: bt.weekday_mean(replace(s, origins=o))})
     found = conformal.predictive(bt.copied(s), s.schedule, REPORTING).withColumn("model", F.lit("copy"))
     split = conformal.split(bt.copied(s), s.schedule)
