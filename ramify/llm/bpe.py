@@ -35,8 +35,8 @@ from .common import rows_of, small_batches, tokenizer_file
 REMEMBERED_CHUNKS, REMEMBERED_WORDS = 1 << 17, 1 << 16
 #: Longer chunks are encoded but not remembered.
 REMEMBERED_LENGTH = 64
-#: Characters of texts that ``encode_many`` cuts at once; a longer text is cut alone.
-CUT_CHARACTERS = 1 << 22
+#: Characters of texts that ``encode_many`` cuts at once, some 30 bytes for each; a longer text is cut alone.
+CUT_CHARACTERS = 1 << 20
 #: Bytes of a word up to which it is merged as a row of an array: such a row costs its length squared.
 ROW_BYTES = 48
 

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most bytes that Spark puts into one Arrow batch for a Python worker.
-BATCH_BYTES = 16 << 20
+#: Most bytes that Spark puts into one Arrow batch for a Python worker: each task holds it several times over, in Java and Python.
+BATCH_BYTES = 4 << 20
 #: Most rows in one Arrow batch: very long texts must not meet by the thousand.
 BATCH_ROWS = 2000
 #: Bits of the tables of wanted keys: at most 2**18 rows of 64 bits are broadcast, whatever the input.

@@ -18,6 +18,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import accumulate
@@ -36,6 +37,8 @@ from .fitting import FIT_ROWS, held_out, labelled_sample, logistic, sigmoid
 STEM_LENGTHS = range(4, 11)
 #: Candidates kept for the choice, most telling first.
 MOST_CANDIDATES = 4000
+#: Terms that a task counts before it passes them on: some 300 bytes each, and a worker keeps what it once took.
+HELD_TERMS = 1 << 15
 #: Entries of the lexicon at most.
 MOST_ENTRIES = 400
 #: A text explained by k entries counts this to the power k for the next choice.
@@ -161,6 +164,24 @@ def _stems(text: str) -> set[str]:
     return {w[:k] for w in set(_WORD.findall(fold(text))) for k in STEM_LENGTHS if k <= len(w)}
 
 
+def term_counts(batches: Iterator[pa.RecordBatch], held: int = HELD_TERMS) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over rows (text, label): terms with their numbers of toxic and clean texts, to be summed; about ``held`` terms are in memory."""
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def counted() -> pa.RecordBatch:
+        terms = list(seen[0].keys() | seen[1].keys())
+        columns = [pa.array(terms, pa.string()), *(pa.array([seen[k][t] for t in terms], pa.int64()) for k in (1, 0))]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "clean"])
+
+    for texts, marks in rows_of(batches, "text", "label"):
+        for x, label in zip(texts, marks, strict=True):
+            seen[label].update(_stems(x))
+            if len(seen[0]) + len(seen[1]) >= held:
+                yield counted()
+                seen = (Counter(), Counter())
+    yield counted()
+
+
 def _signature(text: str) -> int:
     """The smallest hash of three words in a row: near copies mostly share it, and count once in a fit."""
     words = fold(text).split()
@@ -184,22 +205,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT
         .select("text", "label", F.xxhash64("signature", "label").alias("id"))
     )
 
-    def count(batches):
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for texts, marks in rows_of(batches, "text", "label"):
-            for x, label in zip(texts, marks, strict=True):
-                seen[label].update(_stems(x))
-        terms = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), *(pa.array([seen[k][t] for t in terms], pa.int64()) for k in (1, 0))], names=["term", "toxic", "clean"]
-        )
-
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic:
         return ToxicityModel()
     odds = n_toxic / (n_toxic + n_clean) if n_clean else 0.5
-    counts = sample.mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.mapInArrow(term_counts, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     telling = F.col("toxic") * F.log(share / F.lit(odds)) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / F.lit(1 - odds))).otherwise(0.0)
     candidates = (
